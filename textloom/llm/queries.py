@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -13,9 +14,61 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90).withColumnRenamed("id", "doc_id")
 
 
+def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of all documents by the law `rows`, along source, language, size and id."""
+    from .shard import hashed_dimension, scaled_dimension, shards
+
+    docs = table(spark, sf_dir, "documents")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    narrow = docs.select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), "source", "lang")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    scale = scaled_dimension(F.log2(F.col("size")), 3, 24)
+    cut = shards(narrow, [hashed_dimension(F.col("source")), hashed_dimension(F.col("lang")), scale, scaled_dimension(F.col("doc_id"), low, high)], F.col("doc_id"), 24)
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("curve").alias("curve_index"))
+
+
+def op4_pstable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pack import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back."""
+    from .chat import digests, format_conversations
+
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    part = F.struct(F.lit("text").alias("type"), F.col("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
+    return digests(format_conversations(turns.withColumn("parts", F.array(part))))
+
+
+def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .license import oracle
+
+    return {"op10_license_scan": oracle()}
