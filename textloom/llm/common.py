@@ -62,8 +62,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def most_counted(counts: DataFrame, key: str, n: str, most: int) -> list[tuple[int, int]]:
-    """All (key, n) whose n reaches the least threshold that at most `most` keys reach: a bounded list, ties kept together.
+def most_counted(counts: DataFrame, key: str, n: str, most: int, *more: str) -> list[tuple]:
+    """All (key, n, *more) whose n reaches the least threshold that at most `most` keys reach: a bounded list, ties kept together.
 
     The threshold comes from a histogram of n (values of 1024 and more to three digits in base 2), not from a sort.
     """
@@ -76,12 +76,13 @@ def most_counted(counts: DataFrame, key: str, n: str, most: int) -> list[tuple[i
         least = level
     if least is None:
         return []
-    return [(r[0], r[1]) for r in counts.where(F.col(n) >= least).select(key, n).collect()]
+    return [tuple(r) for r in counts.where(F.col(n) >= least).select(key, n, *more).collect()]
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), once nothing reads it any more."""
+    """Delete the files of a table made by written(), once nothing reads it any more, and let Spark clean up old shuffles."""
     spark = df.sparkSession
+    spark._jvm.System.gc()
     path = spark._jvm.org.apache.hadoop.fs.Path(df._textloom_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -27,6 +27,20 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("curve").alias("curve_index"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the items they hold."""
+    from .decontam import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", "coverage")
+
+
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_pstable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import near_vectors
 
@@ -41,6 +55,12 @@ def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op7_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that says control strings, formatted and read back."""
     from .chat import digests, format_conversations
