@@ -120,9 +120,8 @@ def held_out(id_col: Column) -> Column:
 def described(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and `x`, the statistics of each whole text."""
     ready(docs.sparkSession)
-    kept = docs.select(*keep, F.col(text))
-    fields = [f for f in kept.schema.fields if f.name != text or text in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", x array<double>"
+    kept = docs.select(*keep, F.col(text).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", x array<double>"
 
     def read(batches):
         for batch in batches:
