@@ -20,18 +20,18 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 # Openings and notices of public licenses, as their authors publish them.
 TEMPLATES = {
     "agpl-3.0": "gnu affero general public license version 3",
-    "apache-2.0": "licensed under the apache license version 2.0",
+    "apache-2.0": "licensed under the apache license version 2 0",
     "apache-2.0-terms": "you may not use this file except in compliance with the license",
     "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-4.0": "this work is licensed under a creative commons attribution 4.0 international license",
-    "cc-by-nc-4.0": "licensed under cc by nc 4.0",
+    "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-notice": "gnu lesser general public license as published by the free software foundation",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-release": "released under the mit license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.9  # share of the words of a template
