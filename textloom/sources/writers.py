@@ -69,7 +69,7 @@ def packed_groups(sizes: DataFrame, limit: int, name: str = "name", size: str =
             out.append(group)
         return pdf.sort_values(name).assign(grp=out)
 
-    return sizes.select(name, size).groupBy(F.lit(1)).applyInPandas(fold, f"{name} string, {size} long, grp long")
+    return sizes.select(name, size).groupBy().applyInPandas(fold, f"{name} string, {size} long, grp long")
 
 
 def html_table(df: DataFrame) -> Column:
