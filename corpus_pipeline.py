@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import table, written
 from textloom.llm.decontam import clean
-from textloom.llm.jaccard import jaccard_groups
+from textloom.llm.jaccard import jaccard_groups, row_key
 from textloom.llm.pack import pack
 from textloom.llm.pii import masked
 from textloom.llm.quality import quality
@@ -28,8 +28,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document without an id stays unless it is a copy of one that has an id.
     """
     groups = written(jaccard_groups(docs, k=5, num=80, den=100), "groups")
-    stay = written(groups.where("id <=> component_id").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "stay")
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay["__id"]))
+    stay = written(groups.where("id <=> component_id").groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("__rows")), "stay")
+    kept = docs.join(stay, row_key("doc_id", "text") == F.col("__row"))
     if stay.where("__rows > 1").isEmpty():
         return kept.select(docs.columns)
     once = kept.where("__rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])

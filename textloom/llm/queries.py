@@ -11,7 +11,7 @@ from .common import table
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
 
-    return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90).withColumnRenamed("id", "doc_id")
+    return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90).drop("row").withColumnRenamed("id", "doc_id")
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from .common import Forest, bounds, components, ready, whole_groups, written
 
 BLOCK = 512
 WIDTH = 1.0
-RECALL = 0.999
+RECALL = 0.99999
 
 
 def meets(distance: float, width: float) -> float:
