@@ -145,3 +145,24 @@ def ranked_scan(units: DataFrame, query: str, k: int, key: str = "pid", text: st
     part = F.col("idf") * saturation(F.col("tf"), norm(F.col("len"), F.col("avgdl")))
     scores = hits.join(F.broadcast(known), "term").groupBy(key).agg(F.round(F.sum(part), digits).alias("score"))
     return top(scores, k, key)
+
+
+def with_tail(indexed: DataFrame, candidates: DataFrame | None, processed: int, key: str, order: str) -> DataFrame:
+    """Rows that the index names as candidates, and all rows that it has not seen yet (order from `processed` on)."""
+    done, tail = indexed.where(F.col(order) < processed), indexed.where(F.col(order) >= processed)
+    return (done if candidates is None else done.join(candidates.select(key), key, "left_semi")).unionByName(tail)
+
+
+def marked_hits(hits: DataFrame, key: str, loud: list[str], most: int = 100) -> DataFrame:
+    """Hits (key, pos, term) to mark: those of words worth marking where a unit has any, else all; the first `most`."""
+    order = Window.partitionBy(key)
+    rows = hits.withColumn("__loud", F.col("term").isin(loud)).withColumn("__any", F.bool_or("__loud").over(order)).where("__loud = __any")
+    return per_group(rows.drop("__loud", "__any"), key, most, F.asc("pos"))
+
+
+def snippet(text: Column, at: Column, width: int = 600) -> Column:
+    """A window with a third of it before a place, cut to whole words at both ends."""
+    start = F.greatest(F.lit(0), at - width // 3)
+    body = F.substring(text, start + 1, F.lit(width))
+    body = F.when(start > 0, F.regexp_replace(body, r"^\S*\s+", "")).otherwise(body)
+    return F.when(F.length(text) > start + width, F.regexp_replace(body, r"\s+\S*$", "")).otherwise(body)

@@ -28,6 +28,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import relations, retrieval, structure  # noqa: F401  they register their queries
+    from . import details, relations, retrieval, structure  # noqa: F401  they register their queries
 
     return QUERIES, ORACLES
