@@ -89,6 +89,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from .license import oracle
+    from .oracles import oracle_sql as known
 
-    return {"op10_license_scan": oracle()}
+    return known()
