@@ -9,6 +9,7 @@ from ..functions import locators
 from ..functions import text as tx
 from ..operators import events, metrics, nearest, passages, resolve, search, trees
 from ..sources import writers
+from ..streaming import incremental
 from .catalog import query
 from .retrieval import LINES, LOUD, TERMS, TOKENS, WORD, doc_tokens
 
@@ -230,3 +231,28 @@ def corpora_union(spark, t):
     return both.groupBy("doc_id").agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"))
 
 
+
+
+@query("SELECT page_id, 'https://site.example/en/' || left(host, 2) || '/laws/stat/' || page_id || '/latest/' || page_id || '.html' AS url FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?]*)', 1) AS host FROM pages)")
+def instrument_urls(spark, t):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?]*)", 1)
+    return t("pages").select("page_id", tx.instrument_url("https://site.example/", F.lit("English"), host, F.lit("stat"), F.col("page_id").cast("string")).alias("url"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cite:2016scc' || page_id ELSE 'site:' || regexp_replace(regexp_replace(u, '/(?:en|fr)(/)', '\\1', 'g'), '/(?:latest|current)(/|$)', '\\1', 'g') END AS key FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) || substr(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]+$', ''), '/(?:index\\.html?)?$', ''), length(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) + 1), '^[a-z]+://(?:www\\.)?', '') AS u FROM pages WHERE NOT regexp_matches(url, 'utm_|clid=|&&'))")
+def identity_keys(spark, t):
+    rows = t("pages").where(~F.col("url").rlike("utm_|clid=|&&"))
+    cite = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("2016 SCC "), F.col("page_id").cast("string")))
+    return rows.select("page_id", tx.identity_key(cite, F.col("url")).alias("key"))
+
+
+@query("SELECT user_id, max(ts) <= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 6 HOUR AS stale FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY")
+def fresh_state(spark, t):
+    state = t("events").groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("read_at"))
+    return incremental.fresh(state, "read_at", F.lit("2024-01-30 00:00:00").cast("timestamp"), "6 hours", "1 day").select("user_id", "stale")
+
+
+@query("SELECT c_custkey AS tab, c_nationkey AS doc, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE (SELECT min(x.c_custkey) FROM customer x WHERE x.c_custkey % 2 = 0 AND x.c_nationkey = customer.c_nationkey) END AS now FROM customer WHERE c_custkey < 60 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)")
+def moved_handles(spark, t):
+    c = t("customer").select(F.col("c_custkey").alias("tab"), F.col("c_nationkey").alias("doc"))
+    return incremental.moved(c.where("tab < 60"), c.where("tab % 2 = 0"))

@@ -194,6 +194,8 @@ def read_any(name: str, data: bytes) -> list[dict]:
         return read_mail(data)
     if kind == "docx":
         return read_word(data)
+    if kind == "pdf":
+        return read_pdf(data)
     text = data.decode("utf-8-sig", errors="replace")
     if kind in ("html", "htm"):
         return [{"part": t, "locator": str(i), "text": x} for i, (t, x) in enumerate(read_blocks(text))]
@@ -210,3 +212,36 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     once = raw.withColumn("id", F.sha2("content", 256)).dropDuplicates(["id"])
     return once.select("id", F.element_at(F.split("path", "/"), -1).alias("name"), "content").select("id", "name", document_blocks("name", "content").alias("blocks"))
+
+
+def query_set(spark: SparkSession, path: str) -> DataFrame:
+    """(id, set, type, query, docs, passage) of a JSON list of test queries."""
+    schema = "id string, `set` string, type string, query string, docs array<string>, passage struct<doc: string, start: int, len: int>"
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def keyed(df: DataFrame, keys: list[str] | None = None, prefix: str | None = None, key: str = "key") -> DataFrame:
+    """Stored records by key list or by prefix."""
+    out = df.where(F.col(key).isin(keys)) if keys is not None else df
+    return out.where(F.col(key).startswith(prefix)) if prefix else out
+
+
+def scoped(df: DataFrame, scope: str, current: str | None = None, group: list[str] | None = None, window: str | None = None) -> DataFrame:
+    """Rows of the current document, of a group of them, of a window, or all."""
+    if scope == "current":
+        return df.where(F.col("doc_id") == current)
+    if scope == "group":
+        return df.where(F.col("doc_id").isin(group or []))
+    return df.where(F.col("window_id") == window) if scope == "window" else df
+
+
+def read_pdf(data: bytes) -> list[dict]:
+    """Lines of a PDF's text layer; needs the optional library pypdf. Pages without text would need OCR, which is outside."""
+    try:
+        import pypdf
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs pypdf") from e
+    out = []
+    for n, page in enumerate(pypdf.PdfReader(io.BytesIO(data)).pages):
+        out += [{"part": f"page {n + 1}", "locator": str(i), "text": t.strip()} for i, t in enumerate(page.extract_text().split("\n")) if t.strip()]
+    return out

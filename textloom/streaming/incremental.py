@@ -80,3 +80,18 @@ def sessions(events: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
     rows = events.withColumn("__t", F.col(time).cast("timestamp"))
     out = rows.groupBy(F.session_window("__t", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return out.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def fresh(table: DataFrame, read_at: str, now: Column, recheck: str = "10 minutes", expire: str = "15 minutes") -> DataFrame:
+    """State with `stale` (to be read again) for rows older than `recheck`; rows older than `expire` are gone."""
+    age = F.col(read_at)
+    kept = table.where(age > now - F.expr(f"INTERVAL {expire}"))
+    return kept.withColumn("stale", age <= now - F.expr(f"INTERVAL {recheck}"))
+
+
+def moved(handles: DataFrame, registry: DataFrame, tab: str = "tab", doc: str = "doc") -> DataFrame:
+    """The tab each result handle (tab, doc) points to now: its own where that still shows the document, else any tab
+    that does; none where the document is gone."""
+    now = registry.select(F.col(tab).alias("now"), doc)
+    met = handles.join(now, doc)
+    return met.groupBy(tab, doc).agg(F.coalesce(F.max(F.when(F.col("now") == F.col(tab), F.col("now"))), F.min("now")).alias("now"))
