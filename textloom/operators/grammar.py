@@ -297,4 +297,5 @@ def _term_spans(tree: Node, tokens: DataFrame) -> DataFrame:
 
 def _with_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A join with a query's few words: a filter would be pushed below the fold and repeat all of it."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in keys], "key string")), "key", "left_semi")
+    asked = rows.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
+    return rows.join(F.broadcast(asked), "key").select(rows.columns)

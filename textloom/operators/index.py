@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 K1, B = 1.2, 0.75
 LEVELS = 15
 MOST_COUNT, MOST_LENGTH = 255, 65535
@@ -22,9 +24,10 @@ class Index:
 
 
 def build(tokens: DataFrame, unit: str = "pid", term: str = "term") -> Index:
-    """From one row for each token with its unit. Terms are counted once with a combining aggregate; the counts of a
-    unit and of a term come from that smaller table."""
+    """From one row for each token with its unit. Terms are counted once with a combining aggregate and written; the
+    lengths of units and the counts of terms come from that smaller table."""
     tf = tokens.where(F.col(term).isNotNull()).groupBy(F.col(unit).alias("pid"), F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    tf = written(tf)
     lengths = tf.groupBy("pid").agg(F.least(F.sum("n"), F.lit(MOST_LENGTH)).alias("len"))
     dictionary = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(tf.select("term", "pid", F.least("n", F.lit(MOST_COUNT)).alias("tf")), lengths, dictionary)

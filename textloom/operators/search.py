@@ -13,10 +13,11 @@ from .index import LEVELS, Index, idf, norm, saturation, statistics
 def only(rows: DataFrame, terms: list[str]) -> DataFrame:
     """Rows of the query's terms. On a stored table a filter, which prunes files; on computed terms a join with the
     few terms, for a filter would be pushed below the fold and repeat all of it."""
-    if rows._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+    plan = rows.select("term")._jdf.queryExecution().optimizedPlan()
+    if "LogicalRelation" in (plan.nodeName(), *(plan.children().apply(i).nodeName() for i in range(plan.children().size()))):
         return rows.where(F.col("term").isin(terms))
-    asked = rows.sparkSession.createDataFrame([(x,) for x in terms], "term string")
-    return rows.join(F.broadcast(asked), "term", "left_semi")
+    asked = rows.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
+    return rows.join(F.broadcast(asked), "term").select(rows.columns)  # inner: a semi-join would be pushed down too
 
 
 def chosen(index: Index, terms: list[str]) -> DataFrame:
@@ -138,7 +139,7 @@ def ranked_scan(units: DataFrame, query: str, k: int, key: str = "pid", text: st
 
     terms, _ = query_terms(query)
     sized = units.select(key, words(F.col(text)).alias("__ws")).withColumn("len", F.least(F.size("__ws"), F.lit(65535)))
-    hits = only(with_fold(sized.select(key, "len", F.explode("__ws").alias("word"))), terms)
+    hits = only(with_fold(sized.select(key, "len", F.explode_outer("__ws").alias("word"))), terms)
     hits = hits.groupBy(key, "len", "term").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("tf"))
     stats = sized.agg(F.count(F.lit(1)).alias("units"), F.avg("len").alias("avgdl"))
     known = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).select("term", idf(F.col("units"), F.col("df")).alias("idf"), "avgdl")

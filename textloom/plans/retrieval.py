@@ -53,7 +53,7 @@ def line_tokens(t):
     """Tokens (doc, para, sent, pos, word, term); a sentence ends with a word that has . ! or ? after it."""
     lines = passages.lines(t("documents"), F.col("doc_id").alias("doc"))
     found = F.regexp_extract_all("line", F.lit(f"{WORD}|[.!?]"), F.lit(0))
-    rows = lines.select("doc", "para", F.posexplode(found).alias("at", "word"))
+    rows = lines.select("doc", "para", F.posexplode_outer(found).alias("at", "word")).where("word IS NOT NULL")
     order = Window.partitionBy("doc", "para").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.col("word").isin(".", "!", "?")
     rows = rows.withColumn("sent", F.sum(stop.cast("int")).over(order)).withColumn("pos", F.sum((~stop).cast("int")).over(order) - 1).where(~stop)
@@ -71,7 +71,7 @@ def scan_projection(spark, t):
     return readers.projected(t("documents"))
 
 
-@query()
+@query(raw=True)
 def row_identity(spark, t):
     docs = t("documents")
     return docs.select("doc_id", F.col("_metadata.row_index").alias("row_index"), F.sha2(F.concat_ws("|", "_metadata.file_name", F.col("_metadata.file_size").cast("string")), 256).alias("file_id"))

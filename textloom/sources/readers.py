@@ -245,3 +245,9 @@ def read_pdf(data: bytes) -> list[dict]:
     for n, page in enumerate(pypdf.PdfReader(io.BytesIO(data)).pages):
         out += [{"part": f"page {n + 1}", "locator": str(i), "text": t.strip()} for i, t in enumerate(page.extract_text().split("\n")) if t.strip()]
     return out
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out by key where its scan has fewer partitions than the cluster has cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
