@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, written
+from textloom.llm.common import table, without, written
 from textloom.llm.decontam import clean
 from textloom.llm.jaccard import jaccard_groups, row_key
 from textloom.llm.pack import pack
 from textloom.llm.pii import masked
-from textloom.llm.quality import quality
+from textloom.llm.quality import accepted
 
 ORACLE_SQL = None  # the stages train models, tokenise and follow links
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score reaches the threshold, unchanged."""
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    scored = quality(rows, table(spark, sf_dir, "labels"), columns=("row",))
-    return scored.where("predicted = 1").select("row.*")
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +26,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document without an id stays unless it is a copy of one that has an id.
     """
     groups = written(jaccard_groups(docs, k=5, num=80, den=100), "groups")
-    stay = written(groups.where("id <=> component_id").groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).alias("__rows")), "stay")
-    kept = docs.join(stay, row_key("doc_id", "text") == F.col("__row"))
-    if stay.where("__rows > 1").isEmpty():
-        return kept.select(docs.columns)
-    once = kept.where("__rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.where("__rows = 1").select(docs.columns).unionByName(once)
+    rows = groups.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), F.bool_or(~F.expr("id <=> component_id")).alias("gone"))
+    odd = written(rows.where("gone OR copies > 1"), "odd")
+
+    def once(met: DataFrame) -> DataFrame:
+        known = met.join(odd, F.col("__key") == F.col("row"), "left").where("NOT coalesce(gone, false)")
+        single = known.where("coalesce(copies, 1) = 1").select(docs.columns)
+        if odd.where("NOT gone").isEmpty():
+            return single
+        return single.unionByName(known.where("copies > 1").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+
+    return without(docs, row_key("doc_id", "text"), odd.select("row"), once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITS = 1 << 26  # of a broadcast map of keys
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -31,10 +33,13 @@ def scratch(spark: SparkSession) -> str:
     made = getattr(spark, "_textloom_scratch", None)
     if made is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
+        own = not base
+        if own:
             base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         made = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
         spark._textloom_scratch = made
+        if own:
+            atexit.register(shutil.rmtree, made.removeprefix("file://"), ignore_errors=True)
         atexit.register(release, spark)
     return made
 
@@ -87,6 +92,47 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bit_map(rows: DataFrame, bit):
+    """A broadcast map of BITS bits, those set that the column `bit` names; of fixed size, whatever the rows."""
+    import numpy as np
+
+    words = rows.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("w")).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words["at"].to_numpy()] = words["w"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def holds(bits: "np.ndarray", at: "np.ndarray") -> "np.ndarray":
+    return ((bits[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def without(df: DataFrame, key, dropped_keys: DataFrame, kept=None) -> DataFrame:
+    """df without the rows whose `key` is in dropped_keys (one column, long).
+
+    Rows that a bit map of the dropped keys rules out pass at once; only the others meet the exact keys in a join, so
+    texts are not shuffled for the sake of a few of them. kept(rows), where given, replaces that anti-join.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    name = dropped_keys.columns[0]
+    bits = bit_map(dropped_keys, F.pmod(name, F.lit(BITS)))
+
+    def part(wanted: bool) -> DataFrame:
+        def read(batches):
+            for batch in batches:
+                keys = batch.column(batch.num_columns - 1).to_numpy().astype(np.int64)
+                mask = pa.array(holds(bits.value, keys % BITS) == wanted)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(batch.num_columns - (not wanted))], names=batch.schema.names[: batch.num_columns - (not wanted)])
+
+        rows = df.select("*", key.alias("__key"))
+        return rows.mapInArrow(read, rows.schema if wanted else df.schema)
+
+    met = part(True)
+    met = met.join(dropped_keys.select(F.col(name).alias("__key")), "__key", "left_anti").drop("__key") if kept is None else kept(met)
+    return part(False).unionByName(met)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component) for every node that an edge names; component is the least node reachable.
 

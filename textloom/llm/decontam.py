@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, written
+from .common import ready, without, written
 from .wordhash import chunks, hashes, mix
 
 WINDOW = 6
@@ -182,5 +182,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of docs that no item contaminates, unchanged."""
-    found = written(contaminated(docs, items, id_col, text, **more).select(F.col("key").alias("__key")).distinct(), "found")
-    return docs.join(found, text_key(id_col, text) == F.col("__key"), "left_anti")
+    found = written(contaminated(docs, items, id_col, text, **more).select("key").distinct(), "found")
+    return without(docs, text_key(id_col, text), found)
