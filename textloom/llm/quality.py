@@ -178,24 +178,39 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """One row for each document: `columns` (the id where None), held_out, score and predicted.
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
+    """The model of the labelled documents outside the held-out fold."""
+    learnt = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = labels.select(F.col(id_col).alias("__id"), F.col("quality").alias("y")).where("y in (0, 1)")
+    rows = described(learnt, text, (id_col,))
+    return fit(written(rows.join(known, rows[id_col] == known["__id"]).select("x", "y"), "labelled"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """One row for each document: id, held_out, score and predicted.
 
     labels has the id and `quality`; rows whose label is neither 0 nor 1 are not learnt from, and neither are those
     whose crc32 of the id as text is divisible by 5. A document whose id is repeated, or labelled more than once, is
     learnt from each time. Null ids are scored and never learnt from. Empty and null texts get the model's score
     of no statistics. An empty table gives no rows. Without labels every score is 0.5.
     """
-    keep = columns or (id_col,)
-    rows = described(docs, text, tuple(dict.fromkeys([*keep, id_col])))
-    narrow = written(described(docs, text, (id_col,)).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).join(labels.select(id_col, F.col("quality").alias("y")).where("quality in (0, 1)"), id_col).select("x", "y"), "labelled")
-    model = fit(narrow)
+    model = trained(docs, labels, id_col, text)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def read(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(statistics(batch.column(1))))], names=["id", "score"])
 
-    @F.pandas_udf("double")
-    def score(x):
-        import pandas as pd
+    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(read, f"id {kind}, score double")
+    return out.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
-        return pd.Series(model.score(np.stack(x.to_list())) if len(x) else np.zeros(0))
 
-    out = rows.withColumn("score", score("x")).withColumn("held_out", F.coalesce(held_out(F.col(id_col)), F.lit(False)))
-    return out.select(*keep, "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, unchanged, whose score reaches the threshold."""
+    model, place = trained(docs, labels, id_col, text), docs.columns.index(text)
+
+    def read(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(statistics(batch.column(place))) >= threshold))
+
+    return docs.mapInArrow(read, docs.schema)
