@@ -161,6 +161,22 @@ def test_slots_are_read_from_the_text():
     assert [(bytes(data[a:b]).decode(), int(k)) for a, b, k in zip(start, stop, kinds, strict=True) if k] == [("2024", 1), ("Bob", 3), ("3.5", 1), ("km", 2), ("Three", 1)]
 
 
+def found_in(spark, items, cases):
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    return {(r.id, r.item) for r in decontam.contaminated(odd(spark, list(enumerate(cases))), rows).collect()}
+
+
+def test_copies_with_few_literals(spark):
+    items = ["What is 12 + 34 + 56 + 78?", "12 kg 15 kg 19 kg 23 kg 31 kg 44 kg", "法国的首都是哪个城市？请写出它的名字。", "Which red planet has two moons?", "zyzzyva 17", "“Name seven very old rivers”"]
+    cases = [f"Some words before. {items[0]} And after.", f"so {items[1]} it was", f"前面的话，{items[2]}后面的话", "Question: Which red planet has two moons? Mars.", "a Zyzzyva 17 there", 'say "Name seven very old rivers" now', "What is 13 + 34 + 56 + 78? 法国的人口是多少？ A planet of two moons, 12 kg 15 kg and zyzzyva 18."]
+    assert found_in(spark, items, cases) == {(i, i) for i in range(6)}
+
+
+def test_first_word_is_name_or_literal(spark):
+    item = "Divide 36 apples among the 4 children there"
+    assert found_in(spark, [item], ["Task: " + item.replace("36", "48").replace("4 ", "6 "), "Task: divide the apples"]) == {(0, 0)}
+
+
 # 3. Personal data.
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -5,6 +5,10 @@ typed placeholders; all other words count by their case-folded form. Windows of
 agree are joined by hash, so a question with other numbers or names still meets its source. The aligned windows of a
 text and an item must then fill the placeholders consistently: one filler of the item always stands for the same
 filler of the text. A text is contaminated by an item when consistent windows cover enough of the item's words.
+
+Windows are also joined by their case-folded words, whatever they are, so copies with few or no literals count too,
+and so do items shorter than LITERALS. Characters of scripts without spaces are words of their own. What stands before
+a window decides whether its first word looks like a name or a unit, so that word is tried both ways.
 """
 
 from __future__ import annotations
@@ -32,6 +36,26 @@ _LETTER = _UPPER | _LOWER | (_B >= 128)
 _STOP = np.isin(_B, list(b".!?\n"))
 _POINT = np.isin(_B, list(b".,"))
 NUMBER, UNIT, NAME = 1, 2, 3
+BASE, OTHER, EXACT = 0, 1, 2  # how a window was met: by its template, with its first word taken the other way, by its words
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of punctuation beyond ASCII, and first bytes of characters that are words of their own and of what follows them."""
+    gap, cut = np.zeros(len(data), bool), np.zeros(len(data) + 4, bool)
+    at = np.flatnonzero(data >= 0xC2)
+    a, b, c = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    size = np.where(a >= 0xF0, 4, np.where(a >= 0xE0, 3, 2))
+    mark = (a == 0xC2) & ~np.isin(b, [0xAA, 0xB5, 0xBA]) | (a == 0xE2) & np.isin(b, [0x80, 0x81])
+    mark |= (a == 0xE3) & (b == 0x80) & ~((c >= 0x85) & (c <= 0x87))
+    mark |= (a == 0xEF) & ((b == 0xBC) & ((c <= 0x8F) | (c >= 0x9A) & (c <= 0xA0) | (c >= 0xBB)) | (b == 0xBD) & ((c == 0x80) | (c >= 0x9B) & (c <= 0xA5)))
+    # Han, kana and full-width forms; Thai, Lao, Burmese and Khmer; rarer Han.
+    own = (a == 0xE2) & (b >= 0xBA) | (a >= 0xE3) & (a <= 0xE9) | (a == 0xEF) & ((b >= 0xA4) & (b <= 0xAB) | (b >= 0xBC) & (b <= 0xBE))
+    own |= (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F)) | (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    for j in range(4):
+        gap[np.minimum(at[mark & (size > j)] + j, len(data) - 1)] = True
+    own &= ~mark
+    cut[at[own]] = cut[at[own] + size[own]] = True
+    return gap, cut[: len(data)]
 
 
 def _word_set(words: str) -> np.ndarray:
@@ -42,18 +66,24 @@ def _word_set(words: str) -> np.ndarray:
 
 def canonical(data: np.ndarray, off: np.ndarray):
     """For each word: byte start, end, template hash, kind (0 for a literal); and the words before each text."""
+    return _canonical(data, off)[:5]
+
+
+def _canonical(data: np.ndarray, off: np.ndarray):
+    """What canonical gives, and for each word its own hash and whether it would be a name inside a sentence."""
     empty = np.zeros(0, np.int64)
     if not len(data):
-        return empty, empty, empty.view(np.uint64), empty, np.zeros(len(off), np.int64)
+        return empty, empty, empty.view(np.uint64), empty, np.zeros(len(off), np.int64), empty.view(np.uint64), empty.astype(bool)
     digit, letter = _DIGIT[data], _LETTER[data]
     inner = np.zeros(len(data), bool)
     inner[1:-1] = _POINT[data[1:-1]] & digit[:-2] & digit[2:]
     numeric = digit | inner
-    kind = np.where(numeric, 1, np.where(letter, 2, 0)).astype(np.int8)
+    gap, cut = _wide(data)
+    kind = np.where(numeric, 1, np.where(letter & ~gap, 2, 0)).astype(np.int8)
     first = off[:-1][off[:-1] < len(data)]
     opens = np.zeros(len(data), bool)
     opens[first] = True
-    change = np.concatenate(([True], kind[1:] != kind[:-1])) | opens
+    change = np.concatenate(([True], kind[1:] != kind[:-1])) | opens | cut
     start = np.flatnonzero(change & (kind > 0))
     stops = np.flatnonzero(np.concatenate((change[1:], [True])) & (kind > 0)) + 1
     words = np.searchsorted(start, off)
@@ -64,33 +94,49 @@ def canonical(data: np.ndarray, off: np.ndarray):
     fresh[1:] = sentence[start[1:]] > sentence[stops[:-1]]
     fresh[words[:-1][words[:-1] < len(start)]] = True
     second = np.where(stops - start > 1, data[np.minimum(start + 1, len(data) - 1)], 0)
-    name = ~fresh & ~number & _UPPER[data[start]] & _LOWER[second]
+    capital = ~number & _UPPER[data[start]] & _LOWER[second]
+    name = ~fresh & capital
     after = np.concatenate(([False], number[:-1]))
     unit = ~number & ~name & after & np.isin(folded, _UNITS)
     what = np.select([number, unit, name], [NUMBER, UNIT, NAME], 0)
-    return start, stops, np.where(what > 0, what.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), folded), what, words
+    return start, stops, np.where(what > 0, what.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), folded), what, words, folded, capital
 
 
 _NUMBERS, _UNITS = _word_set(NUMBER_WORDS), _word_set(UNITS)
 
 
-def windows(template: np.ndarray, kinds: np.ndarray, words: np.ndarray, size: int):
-    """First words and hashes of all windows of `size` words that lie in one text and have enough literals."""
-    total = len(template) - size + 1
-    if total <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(total, size, np.uint64)
+def _hashed(template: np.ndarray, at: np.ndarray, size: int, seed: int, first: np.ndarray | None = None) -> np.ndarray:
+    h = np.full(len(at), seed, np.uint64)
     for j in range(size):
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + template[j : total + j])
-    literal = np.concatenate(([0], np.cumsum(kinds == 0)))
-    row_end = np.repeat(words[1:], np.diff(words))[:total]
-    at = np.arange(total)
-    keep = (at + size <= row_end) & (literal[size:] - literal[:total] >= min(LITERALS, size))
-    return at[keep], h[keep]
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + (first if j == 0 and first is not None else template[at + j]))
+    return h
 
 
-def _fillers(data, start, stops, kinds, at: int, size: int) -> list[str]:
-    return [f"{kinds[i]}{bytes(data[start[i] : stops[i]]).decode(errors='replace').lower()}" for i in range(at, at + size) if kinds[i]]
+def windows(template: np.ndarray, kinds: np.ndarray, words: np.ndarray, size: int, folded: np.ndarray, capital: np.ndarray | None = None):
+    """First words, hashes and ways of all windows of `size` words that lie in one text: those with enough literals by
+    their template, with `capital` also with the first word taken the other way, and all by their words."""
+    total = max(len(template) - size + 1, 0)
+    at = np.arange(total)
+    at = at[at + size <= np.repeat(words[1:], np.diff(words))[:total]]
+    literal = np.concatenate(([0], np.cumsum(kinds == 0)))
+    enough = literal[at + size] - literal[at]
+    base = at[enough >= LITERALS]
+    found = [(base, _hashed(template, base, size, size), BASE), (at, _hashed(folded, at, size, size + 1000), EXACT)]
+    if capital is not None:
+        was, named = kinds[at] > 0, np.uint64(NAME) * np.uint64(0x9E3779B97F4A7C15)
+        turned = (was & (kinds[at] != NUMBER) | ~was & capital[at]) & (enough + np.where(was, 1, -1) >= LITERALS)
+        other = at[turned]
+        found.append((other, _hashed(template, other, size, size, np.where(was[turned], folded[other], named)), OTHER))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), np.repeat([x[2] for x in found], [len(x[0]) for x in found])
+
+
+def _fillers(data, start, stops, kinds, at: int, size: int, how: int = BASE) -> list[str]:
+    if how == EXACT:
+        return []
+    what = [int(k) for k in kinds[at : at + size]]
+    if how == OTHER:
+        what[0] = 0 if what[0] else NAME
+    return [f"{k}{bytes(data[start[i] : stops[i]]).decode(errors='replace').lower()}" for i, k in enumerate(what, at) if k]
 
 
 def _item_windows(items: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -101,14 +147,14 @@ def _item_windows(items: DataFrame, id_col: str, text: str) -> DataFrame:
             out = []
             ids = batch.column(0).to_pylist()
             for a, b, data, off in chunks(batch.column(1)):
-                start, stops, template, kinds, words = canonical(data, off)
+                start, stops, template, kinds, words, folded, _ = _canonical(data, off)
                 for i in range(b - a):
                     lo, n = int(words[i]), int(words[i + 1] - words[i])
                     size = min(n, WINDOW)
-                    if size < LITERALS:
+                    if not size:
                         continue
-                    at, h = windows(template[lo : lo + n], kinds[lo : lo + n], np.array([0, n]), size)
-                    out += [(ids[a + i], n, size, p, x, _fillers(data, start, stops, kinds, lo + p, size)) for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                    at, h, how = windows(template[lo : lo + n], kinds[lo : lo + n], np.array([0, n]), size, folded[lo : lo + n])
+                    out += [(ids[a + i], n, size, p, x, _fillers(data, start, stops, kinds, lo + p, size, w)) for p, x, w in zip(at.tolist(), h.view(np.int64).tolist(), how.tolist(), strict=True)]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -117,7 +163,7 @@ def _item_windows(items: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _text_hits(docs: DataFrame, id_col: str, text: str, sizes: list[int], bits: np.ndarray) -> DataFrame:
     """Windows of the texts whose hash may be one of the benchmark's."""
-    schema = "id long, key long, size int, at long, hash long, ours array<string>"
+    schema = "id long, key long, size int, at long, hash long, how int, ours array<string>"
     used = np.flatnonzero(bits)
     values = bits[used]
 
@@ -128,15 +174,15 @@ def _text_hits(docs: DataFrame, id_col: str, text: str, sizes: list[int], bits:
             out = []
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, _, data, off in chunks(batch.column(2)):
-                start, stops, template, kinds, words = canonical(data, off)
+                start, stops, template, kinds, words, folded, capital = _canonical(data, off)
                 for size in sizes:
-                    at, h = windows(template, kinds, words, size)
+                    at, h, how = windows(template, kinds, words, size, folded, capital)
                     cell = h & np.uint64(BITS - 1)
                     hit = (table[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
-                    at, h = at[hit], h[hit]
+                    at, h, how = at[hit], h[hit], how[hit]
                     row = np.searchsorted(words, at, "right") - 1
-                    out += [(ids[a + r], keys[a + r], size, p - int(words[r]), x, _fillers(data, start, stops, kinds, p, size)) for r, p, x in zip(row.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+                    out += [(ids[a + r], keys[a + r], size, p - int(words[r]), x, w, _fillers(data, start, stops, kinds, p, size, w)) for r, p, x, w in zip(row.tolist(), at.tolist(), h.view(np.int64).tolist(), how.tolist(), strict=True)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_key(id_col, text).alias("key"), F.col(text).alias("text")).mapInArrow(read, schema)
@@ -151,8 +197,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """Rows (key, id, item, windows, coverage), one for each contaminated text and item; clean texts give none.
 
     windows counts the item's matched windows, coverage is the share of its words inside them. Items with fewer words
-    than WINDOW are one window; with fewer than LITERALS words, null or empty, they match nothing. So do null and
-    empty texts. Equal rows are one text, rows of one id with different texts are several; a null id is carried
+    than WINDOW are one window; below LITERALS words it matches by its words only. Null and empty items match nothing,
+    nor do null and empty texts. Equal rows are one text, rows of one id with different texts are several; a null id is carried
     along. Empty tables give no rows.
     """
     ready(docs.sparkSession)
@@ -166,14 +212,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     hits = _text_hits(docs, id_col, text, sizes, bits)
     met = hits.join(F.broadcast(bench) if rows <= BROADCAST_ROWS else bench, ["hash", "size"])
     # One alignment of a text and an item has no more windows than the item.
+    pairs = lambda *how: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("how").isin(*how), F.arrays_zip("theirs", "ours")))))
+    places = lambda how: F.collect_set(F.when(F.col("how") == how, F.col("pos")))
+    agrees = lambda c: F.size(c) == F.size(F.array_distinct(F.col(c)["theirs"]))
     line = met.groupBy("key", "item", (F.col("at") - F.col("pos")).alias("shift")).agg(
         F.first("id").alias("id"),
         F.first("words").alias("words"),
         F.first("size").alias("size"),
-        F.collect_set("pos").alias("pos"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("theirs", "ours")))).alias("filled"),
+        places(BASE).alias("base"),
+        places(OTHER).alias("other"),
+        places(EXACT).alias("exact"),
+        pairs(BASE).alias("filled"),
+        pairs(BASE, OTHER).alias("filled_too"),
     )
-    line = line.where(F.size("filled") == F.size(F.array_distinct("filled.theirs")))
+    line = line.where(agrees("filled")).withColumn("pos", F.array_union(F.array_union("base", "exact"), F.when(agrees("filled_too"), F.col("other")).otherwise(F.array().cast("array<int>"))))
     whole = line.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pos"))).alias("pos"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(p, p + F.col("size") - 1)))))
     whole = whole.select("key", "id", "item", F.size("pos").cast("long").alias("windows"), (covered / F.col("words")).alias("coverage"))
