@@ -177,6 +177,12 @@ def test_first_word_is_name_or_literal(spark):
     assert found_in(spark, [item], ["Task: " + item.replace("36", "48").replace("4 ", "6 "), "Task: divide the apples"]) == {(0, 0)}
 
 
+def test_long_runs_are_leaks_whatever_their_share(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    run = lambda a, n: "before it " + " ".join(words[a : a + n]) + " after it"
+    assert found_in(spark, [" ".join(words), " ".join(words[:59])], [run(70, 119), run(20, 35), run(90, 13), run(90, 12)]) == {(0, 0), (1, 0), (1, 1), (2, 0)}
+
+
 # 3. Personal data.
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

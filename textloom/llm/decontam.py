@@ -24,6 +24,7 @@ from .wordhash import chunks, hashes, mix
 WINDOW = 6
 LITERALS = 3  # a window needs so many words that are no placeholders
 COVERAGE = 0.6
+RUN = 13  # words of an item in a row that make a leak, whatever share of the item they are
 BITS = 1 << 24  # of the map of benchmark windows that spares a join of all windows of all texts
 BROADCAST_ROWS = 100_000  # benchmark windows up to which their table is sent to every task
 # Number words and units.
@@ -198,7 +199,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     windows counts the item's matched windows, coverage is the share of its words inside them. Items with fewer words
     than WINDOW are one window; below LITERALS words it matches by its words only. Null and empty items match nothing,
-    nor do null and empty texts. Equal rows are one text, rows of one id with different texts are several; a null id is carried
+    nor do null and empty texts. RUN of an item's words in a row contaminate whatever the coverage: in windows that agree,
+    or word by word even where the fillers around them do not. Equal rows are one text, rows of one id with different texts are several; a null id is carried
     along. Empty tables give no rows.
     """
     ready(docs.sparkSession)
@@ -225,11 +227,17 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         pairs(BASE).alias("filled"),
         pairs(BASE, OTHER).alias("filled_too"),
     )
-    line = line.where(agrees("filled")).withColumn("pos", F.array_union(F.array_union("base", "exact"), F.when(agrees("filled_too"), F.col("other")).otherwise(F.array().cast("array<int>"))))
-    whole = line.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pos"))).alias("pos"))
+    none = F.array().cast("array<int>")
+    every = F.array_union(F.array_union("base", "exact"), F.when(agrees("filled_too"), F.col("other")).otherwise(none))
+    line = line.withColumn("pos", F.array_sort(F.when(agrees("filled"), every).otherwise(F.col("exact"))))
+    # Sorted distinct places are consecutive where so many of them span no more than that many.
+    more = RUN - F.col("size")
+    line = line.withColumn("run", F.exists(F.sequence(F.lit(0), F.greatest(F.size("pos") - 1, F.lit(0))), lambda i: F.get("pos", i + more) - F.get("pos", i) == more))
+    line = line.where(agrees("filled") | F.col("run"))
+    whole = line.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pos"))).alias("pos"), F.coalesce(F.bool_or("run"), F.lit(False)).alias("run"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(p, p + F.col("size") - 1)))))
-    whole = whole.select("key", "id", "item", F.size("pos").cast("long").alias("windows"), (covered / F.col("words")).alias("coverage"))
-    return whole.where(F.col("coverage") >= coverage)
+    whole = whole.select("key", "id", "item", F.size("pos").cast("long").alias("windows"), (covered / F.col("words")).alias("coverage"), "run")
+    return whole.where((F.col("coverage") >= coverage) | F.col("run")).drop("run")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
