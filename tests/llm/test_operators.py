@@ -225,6 +225,20 @@ def test_repeated_mentions_get_the_label_of_the_first(spark):
     assert "555" not in out[1] and "example.com" not in out[1] and "[PHONE]" in out[1] and out[100] == noise[0][1]
 
 
+def test_labels_reach_the_end_of_a_skip_chain():
+    far = pii.Graph()
+    text = "Call +1 (649) 555-1648 now. " + ("More words stand here, so that no units are neighbours. " + "Or 649-555-1648 it is. ") * 400
+    far.add(0, text, pii.base_spans(text))
+    far.add(1, "Room 12 on floor 3", [])
+    unary, skip = np.log(np.full((pii.SHAPES, pii.LABELS), 0.2)), 8.0 * np.eye(pii.LABELS)
+    belief = pii.infer(far, unary, np.stack((np.zeros_like(skip), skip)))
+    assert far.label[0] == 4 and len(belief) == 403
+    # The field of one text is a chain here, so the marginals are powers of its normalised transitions.
+    step = np.exp(skip) / np.exp(skip).sum(1, keepdims=True)
+    want = [np.linalg.matrix_power(step, i)[4] for i in range(401)]
+    assert np.abs(belief[:401] - want).max() < 1e-2 and np.abs(belief[401:] - 0.2).max() < 1e-9
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000 + "x", "a" * 200_000 + " @ b", "1." * 100_000, "+1" + "." * 200_000, "1 " * 100_000):
         pii.find(pa.array([text]), np.zeros((pii.SHAPES, pii.LABELS)), np.zeros((2, pii.LABELS, pii.LABELS)))
