@@ -103,9 +103,18 @@ k AS (SELECT id, 't' || k AS k, 1 AS w FROM t1 UNION ALL SELECT id, 'd' || date,
 p AS (SELECT x.id AS a, y.id AS b, sum(x.w)::BIGINT AS overlap FROM k x JOIN k y USING (k) WHERE x.id < y.id GROUP BY ALL HAVING sum(x.w) >= 2)"""
 
 
+def _day():
+    return F.concat(F.lit("2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0"))
+
+
 def _mentions(t):
-    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0"))
-    return t("conversations").where("turn <= 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("text"), day.alias("date"), "conv_id")
+    """The mentions that the SQL of the pairs is about: the openings of the first turns."""
+    return t("conversations").where("turn <= 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("text"), _day().alias("date"), "conv_id")
+
+
+def _all_mentions(t):
+    """Every turn with its whole text. Ids leave room for 2 ** 20 turns."""
+    return t("conversations").select((F.col("conv_id").cast("long") * (1 << 20) + F.col("turn")).alias("id"), "text", _day().alias("date"), "conv_id")
 
 
 @query(f"WITH {PAIRS} SELECT a, b, overlap FROM p")
@@ -124,12 +133,12 @@ def pair_similarity(spark, t):
 
 @query()
 def cluster_greedy(spark, t):
-    return events.clustered(_mentions(t), "date").select("date", "id", "cluster")
+    return events.clustered(_all_mentions(t), "date").select("date", "id", "cluster")
 
 
 @query()
 def cluster_events(spark, t):
-    mentions = _mentions(t)
+    mentions = _all_mentions(t)
     found = events.clustered(mentions, "date").join(mentions.select("id", "text"), "id")
     out = events.cluster_events(found.withColumn("block", F.col("date")), "block", "cluster")
     return out.select("block", "cluster", F.size("mentions").alias("mentions"), "text", "date").orderBy(*events.event_order(key="cluster"))
