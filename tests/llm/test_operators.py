@@ -630,3 +630,16 @@ def test_license_filters_lose_nothing(spark):
     for i, text in cases:
         want = {label for label, t in templates.items() for line in text.split("\n") if len(set(t.split()) & set(line.split())) >= math.ceil(0.7 * len(set(t.split())) - 1e-9)}
         assert got[i] == ",".join(sorted(want))
+
+
+def test_wrapped_notices_are_found(spark):
+    wrapped = {
+        "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n",
+        "bsd-3-clause": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that",
+        "isc": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided",
+        "gpl-notice": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+    }
+    spread = "Permission is hereby\n" + "other words stand here\n" * 9 + "granted free of charge to any person obtaining a copy\n" + "and here\n" * 9 + "of this software and associated documentation files"
+    rows = license.scan(odd(spark, enumerate([*wrapped.values(), spread])), across=True).collect()
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in rows}
+    assert all(label in got[i][0] and got[i][1] == 1.0 for i, label in enumerate(wrapped)) and got[4] == ([""], 0.0)

@@ -1,6 +1,6 @@
 """License scans by an exact set-similarity join, with DataFrame and SQL functions only.
 
-Text blocks are lines. A template matches a block when at least `threshold` of its distinct words stand in the block.
+Text blocks are lines; with `across` also, for notices that are wrapped, all runs of as many words as a template has. A template matches a block when at least `threshold` of its distinct words stand in the block.
 Template words are put in one global order, rarest in the corpus first (their block counts come from all texts). A
 block that meets a template must hold one of its first |T| - need + 1 words (prefix filter), need words of any
 template at all (length filter), and, from the first shared prefix word on, enough words on both sides (positional
@@ -69,15 +69,16 @@ def template_index(counts: dict[str, int], templates: dict[str, str], threshold:
     for label, text in templates.items():
         words = sorted(set(text.split()), key=lambda w: (counts[w], w))
         need = max(1, -int(-threshold * len(words) // 1))
-        out.append({"label": label, "words": words, "need": need, "prefix": len(words) - need + 1})
+        out.append({"label": label, "words": words, "need": need, "prefix": len(words) - need + 1, "size": len(text.split())})
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, across: bool = False) -> DataFrame:
     """One row for each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of PHRASES, first_word and last_word are their least and greatest start (null without
-    any). labels adds the templates that a line contains to at least `threshold`. score is 1 where a phrase stands,
+    any). labels adds the templates that a line contains to at least `threshold`, and with
+    `across` those that a run of as many words as the template contains to it, whatever lines the run stands on. score is 1 where a phrase stands,
     else the greatest containment that met the threshold, else 0. A null or empty text has no words and score 0;
     equal and repeated rows are judged each; null ids stay. An empty table gives no rows.
     """
@@ -89,7 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     lead = sorted({w for t in index for w in t["words"][: t["prefix"]]})
 
     def literal(t: dict) -> Column:
-        return F.struct(F.lit(t["label"]).alias("label"), F.array(*map(F.lit, t["words"])).alias("words"), F.lit(t["need"]).alias("need"), F.lit(t["prefix"]).alias("prefix"))
+        return F.struct(F.lit(t["label"]).alias("label"), F.array(*map(F.lit, t["words"])).alias("words"), F.lit(t["need"]).alias("need"), F.lit(t["prefix"]).alias("prefix"), F.lit(t["size"]).alias("size"))
 
     def shared(t: Column, block: Column) -> Column:
         """Containment of a template in a block (its vocabulary words, in global order); 0 where a filter rules it out."""
@@ -106,9 +107,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(hint))
     order = F.array(*map(F.lit, ranked))
     matched = F.flatten(F.transform(lines, lambda line: F.filter(F.transform(F.array(*map(literal, index)), lambda t: F.struct(t["label"].alias("label"), shared(t, F.array_intersect(order, F.split(lower(line), GAP))).alias("part"))), lambda x: x["part"] > 0)))
-    rows = docs.select(F.col(id_col).alias("id"), F.size(word_list(body)).cast("long").alias("n_words"), F.when(body.rlike("(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)), word_list(body)).alias("words"), F.when(body.rlike(hint), matched).alias("matched"))
+    rows = docs.select(F.col(id_col).alias("id"), F.size(word_list(body)).cast("long").alias("n_words"), F.when(body.rlike("(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)), word_list(body)).alias("words"), F.when(body.rlike(hint), matched).alias("matched"), F.when(body.rlike(hint), F.array_intersect(order, F.split(lower(body), GAP))).alias("vocabulary"), body.alias("body"))
     at = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
     starts = F.concat(*[F.transform(places(F.col("words"), p), at(label)) for p, label in PHRASES.items()])
+    if across:
+        # Only a text that holds enough words of a template anywhere is cut into windows.
+        window = lambda t, i: F.size(F.array_intersect(t["words"], F.slice(F.col("all"), i + 1, t["size"])))
+        here = lambda t: F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.array_contains(t["words"], F.get("all", i)))
+        most = F.transform("near", lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("of"), F.array_max(F.transform(here(t), lambda i: window(t, i))).alias("both")))
+        found = F.transform(F.filter(most, lambda x: x["both"] >= x["need"]), lambda x: F.struct(x["label"].alias("label"), (x["both"] / x["of"]).alias("part")))
+        rows = rows.withColumn("near", F.filter(F.array(*map(literal, index)), lambda t: F.size(F.array_intersect(t["words"], F.col("vocabulary"))) >= t["need"]))
+        rows = rows.withColumn("all", F.when(F.size("near") > 0, word_list(F.col("body"))))
+        rows = rows.withColumn("matched", F.when(F.size("near") > 0, F.concat("matched", found)))
     rows = rows.select("id", "n_words", F.coalesce(starts, F.array().cast("array<struct<at:int,label:string>>")).alias("starts"), F.coalesce("matched", F.array().cast("array<struct<label:string,part:double>>")).alias("matched"))
     base, more = F.col("starts.label"), F.col("matched.label")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -81,7 +81,7 @@ def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license import scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), across=True)
 
 
 def queries() -> dict:
