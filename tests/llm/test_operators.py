@@ -366,7 +366,6 @@ def check_packed(rows, texts, size=2048):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, t in texts:
         want[i, hashlib.md5(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()).hexdigest()] += 1
@@ -425,10 +424,33 @@ def test_ids_are_those_of_the_vocabulary(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     encode = pack.encoder(VOCABULARY)
     for t in [*texts.values(), "  two  spaces\n\n\tand tabs ", "don't we'll I'VE", "x" * 1200, "日本語 텍스트 😀😀", "a b c\x1cd\x85e", "<|endoftext|>"]:
         assert encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 50256 in np.frombuffer(encode("a <|endoftext|> b"), "<u4")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=150), st.integers(1, 6))
+def test_placement_is_best_fit_and_the_fullest_goes(lengths, most):
+    """Against a plain simulation: windows as (free, number), searched in full for every piece."""
+    w, got = pack.Windows(100, most), []
+    plain, want, made = {}, [], 0
+    for i, n in enumerate(lengths):
+        got += [(p[0], win, off) for p, win, off in w.put((i, n), n)]
+        fits = [(100 - sum(x for _, x, _ in own), win) for win, own in plain.items() if 100 - sum(x for _, x, _ in own) >= n]
+        if fits:
+            win = min(fits)[1]
+        else:
+            if len(plain) >= most:
+                full = min(plain, key=lambda win: (100 - sum(x for _, x, _ in plain[win]), win))
+                want += [(p, full, off) for p, _, off in plain.pop(full)]
+            win, made = made, made + 1
+            plain[win] = []
+        plain[win].append((i, n, sum(x for _, x, _ in plain[win])))
+        if sum(x for _, x, _ in plain[win]) == 100:
+            want += [(p, win, off) for p, _, off in plain.pop(win)]
+    assert got == want
 
 
 # 7. Language model.
@@ -544,8 +566,35 @@ def test_parts(spark):
     assert chat.read_back(r.formatted) == [("user", "See "), ("assistant", "ok <|image:0|>"), ("user", "")]
     assert [chat.unescape(r.formatted[x.start : x.end]) for x in r.loss] == ["ok <|image:0|>"]
     assert out[None].n_turns == 1 and chat.read_back(out[None].formatted) == [("", "")]
-    with pytest.raises(Exception, match="unknown part type"):
-        chat.format_conversations(spark.createDataFrame([(1, 0, "user", [part("video")])], df.schema)).collect()
+
+
+def test_no_part_stops_the_job(spark):
+    """Random parts of any type and size against a plain flattening."""
+    rng = np.random.default_rng(8)
+    kinds, seconds, whole = ["text", "image", "audio", "document", "video", "other", "_place", None], [None, 0.0, -1.0, 2.5, math.nan, math.inf, 1e300], [None, 0, -5, 1, 57, 3_000_000, 2**31 - 1]
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    rows = [(i, t, pick(["user", "assistant", None]), [{"type": pick(kinds), "text": pick([None, "hi <|image:0|>", "<|unknown:0|>", "\\"]), "ref": f"r{j}", "width": pick(whole), "height": pick(whole), "seconds": pick(seconds), "pages": pick(whole)} for j in range(rng.integers(0, 4))]) for i in range(40) for t in range(2)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {chat.PARTS}")
+    out = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    for i in range(40):
+        want, texts, loss = [], [], ""
+        for _, _, role, parts in rows[2 * i : 2 * i + 2]:
+            said = ""
+            for p in parts:
+                if p["type"] in ("text", None):
+                    said += p["text"] or ""
+                    continue
+                tiles = lambda x: math.ceil(max(1 if not x else x, 0) / 28)
+                heard = p["seconds"] or 0
+                size = {"image": tiles(p["width"]) * tiles(p["height"]), "document": max(1 if p["pages"] is None else p["pages"], 0) * 1024, "audio": 0 if not math.isfinite(heard) or heard < 0 else min(math.ceil(heard * 25), 2**63 - 1)}
+                want.append((p["type"] if p["type"] in size else "unknown", p["ref"], size.get(p["type"], 0)))
+            texts.append((role or "", said))
+            loss += said if role == "assistant" else ""
+        r = out[i]
+        assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == want and chat.read_back(r.formatted) == texts
+        assert r.attachment_tokens == min(sum(x[2] for x in want), 2**63 - 1)
+        assert all(r.formatted[a.at :].startswith(f"<|{a.kind}:{k}|>") for k, a in enumerate(r.attachments))
+        assert "".join(chat.unescape(chat._PLACE.sub("", r.formatted[x.start : x.end])) for x in r.loss) == loss
 
 
 def test_conversations(spark, sf):

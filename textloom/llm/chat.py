@@ -2,7 +2,8 @@ r"""Chat formatting of typed content parts, with a reversible template.
 
 A conversation becomes <|turn|>role<|text|>content<|end|> for each turn. A visitor walks a turn's parts in order:
 text is escaped, an image, audio or document part becomes a placeholder <|image:0|> numbered through the conversation,
-and its reference and expanded token count are recorded. Escaping puts a backslash before every backslash and inside
+and its reference and expanded token count are recorded. A part of any other type becomes <|unknown:0|>, with its
+reference and no tokens. Escaping puts a backslash before every backslash and inside
 every control string, so that no control string, of this template or of other common ones, is left in content.
 """
 
@@ -25,8 +26,9 @@ CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s
 _CONTROL = re.compile("|".join([r"\\", *map(re.escape, CONTROLS)]))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _PIECE = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.DOTALL)
-_PLACE = re.compile(r"<\|(?:image|audio|document):\d+\|>")
-FORMATTED = "formatted string, n_turns long, loss array<struct<start: int, end: int>>, attachments array<struct<at: int, kind: string, ref: string, tokens: int>>, attachment_tokens long"
+_PLACE = re.compile(r"<\|(?:image|audio|document|unknown):\d+\|>")
+_MOST = (1 << 63) - 1
+FORMATTED = "formatted string, n_turns long, loss array<struct<start: int, end: int>>, attachments array<struct<at: int, kind: string, ref: string, tokens: long>>, attachment_tokens long"
 
 
 def escape(text: str) -> str:
@@ -44,22 +46,27 @@ class Visitor:
         self.tile, self.audio_rate, self.page_tokens, self.attachments = tile, audio_rate, page_tokens, []
 
     def visit(self, part: dict, at: int) -> str:
-        return getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part, at)
+        kinds = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        return kinds.get(part.get("type") or "text", self.visit_other)(part, at)
 
     def visit_text(self, part, at):
         return escape(part.get("text") or "")
 
-    def visit_other(self, part, at):
-        raise ValueError(f"unknown part type {part['type']!r}")
-
     def visit_image(self, part, at):
-        return self._place("image", part, at, math.ceil((part.get("width") or 1) / self.tile) * math.ceil((part.get("height") or 1) / self.tile))
+        tiles = [-(-max(part.get(side) or 1, 0) // self.tile) for side in ("width", "height")]
+        return self._place("image", part, at, tiles[0] * tiles[1])
 
     def visit_audio(self, part, at):
-        return self._place("audio", part, at, math.ceil((part.get("seconds") or 0) * self.audio_rate))
+        seconds = part.get("seconds") or 0.0
+        known = math.isfinite(seconds) and seconds > 0
+        return self._place("audio", part, at, min(math.ceil(seconds * self.audio_rate), _MOST) if known and math.isfinite(seconds * self.audio_rate) else 0)
 
     def visit_document(self, part, at):
-        return self._place("document", part, at, (part.get("pages") or 1) * self.page_tokens)
+        pages = part.get("pages")
+        return self._place("document", part, at, (1 if pages is None else max(pages, 0)) * self.page_tokens)
+
+    def visit_other(self, part, at):
+        return self._place("unknown", part, at, 0)
 
     def _place(self, kind, part, at, tokens):
         mark = f"<|{kind}:{len(self.attachments)}|>"
@@ -73,7 +80,11 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn: str =
 
     Turns go by number, equal numbers by role and parts; repeated rows are turns of their own; a null number comes
     first. A null role is empty, null parts and null text are empty content. A null id is a conversation like any
-    other. The rows of a conversation arrive in order and only its output is held. An empty table gives no rows.
+    other. The rows of a conversation arrive in order and only its output is held. An empty table gives no rows, and
+    other columns of turns, whatever their names, are ignored.
+
+    Image sizes and page counts that are null count as one tile or page, negative ones as none; seconds that are null,
+    negative or not finite are no tokens; a conversation's sum stops at the greatest long.
     """
     ready(turns.sparkSession)
     kind = turns.schema[id_col].dataType.simpleString()
@@ -84,7 +95,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn: str =
 
         def close():
             body, size, count, loss, visitor = state
-            done.append((own, "".join(body), count, loss, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)))
+            done.append((own, "".join(body), count, loss, visitor.attachments, min(sum(a["tokens"] for a in visitor.attachments), _MOST)))
 
         def frame():
             cols = list(zip(*done, strict=True))
@@ -92,7 +103,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn: str =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=out_type.names)
 
         for batch in batches:
-            out_type = pa.schema([("id", batch.schema.field(0).type), ("formatted", pa.string()), ("n_turns", pa.int64()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("attachments", pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))), ("attachment_tokens", pa.int64())])
+            out_type = pa.schema([("id", batch.schema.field(0).type), ("formatted", pa.string()), ("n_turns", pa.int64()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("attachments", pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("attachment_tokens", pa.int64())])
             for i, name, content in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if state is None or i != own:
                     if state is not None:
@@ -126,7 +137,11 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted text says: turns and text under the loss spans, hashed, and lengths in code points."""
+    """What the formatted text says: turns and text under the loss spans, hashed, and lengths in code points.
+
+    One row for each row of conversations, null ids and repeats included; an empty table gives none. Only id_col,
+    `formatted` and `loss` are read, which format_conversations never leaves null.
+    """
     kind = conversations.schema[id_col].dataType.simpleString()
 
     def read(batches):
