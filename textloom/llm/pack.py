@@ -33,14 +33,15 @@ _LONG = re.compile(r"\S{500}|\s{500}")
 def encoder(vocabulary: str):
     """Text -> ids as little-endian unsigned 32-bit bytes, by the byte-level BPE file `vocabulary` (.json).
 
-    The rank file of the same name, where there is one, holds the same vocabulary for a faster library; texts with
-    very long unbroken runs, which that library takes long for, go through the .json file. Strings of special tokens
-    are ordinary text.
+    The ids are those that `tokenizers` gives with add_special_tokens=False: the strings of the file's special tokens
+    stand for their ids. The rank file of the same name, where there is one, holds the same vocabulary for a faster
+    library, with equal ids; texts with a special string, which that library does not know, and texts with very long
+    unbroken runs, which it takes long for, go through the .json file.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
     by_file = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     try:
         import public_tokenizers
@@ -51,7 +52,7 @@ def encoder(vocabulary: str):
         return by_file
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: by_file(text) if _LONG.search(text) else np.array(fast.encode_ordinary(text), "<u4").tobytes()
+    return lambda text: by_file(text) if any(x in text for x in special) or _LONG.search(text) else np.array(fast.encode_ordinary(text), "<u4").tobytes()
 
 
 class Windows:
@@ -88,6 +89,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
     A document's ids are those of its text, then `end`. `ids` holds a piece's ids only where keep_ids is set. Null
     and empty texts are one id long; equal and repeated rows are packed each; null ids stay null; an empty table
     gives no rows. sequence_id is unique, not gapless. A lost executor's partition is packed again the same way.
+    Texts of any length are encoded whole; the choice between the two encoders (see encoder) changes no id. Other
+    columns of docs, whatever their names, are ignored.
     """
     ready(docs.sparkSession)
 
