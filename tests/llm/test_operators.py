@@ -120,6 +120,26 @@ def test_shards(spark, sf, texts, tmp_path):
     assert queries.op1_hilbert_sharding(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_shards_are_runs_of_the_curve(spark, monkeypatch):
+    """Curve index, order and cut recomputed plainly, with columns of clashing names and cells cut into bins."""
+    monkeypatch.setattr(shard, "LEAST_BIN", 7)
+    rng = np.random.default_rng(1)
+    data = [(i, int(x), int(y), str(z)) for i, (x, y, z) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 2, 300) * 3, rng.integers(0, 2, 300), strict=True))]
+    df = spark.createDataFrame(data, "cell long, first int, rank int, shard string")
+    got = shard.shards(F.struct("cell", "shard"), [F.col("first"), F.col("rank")], F.col("cell"), 7, df, bits=2).collect()
+    curve = dict(zip([r[0] for r in data], shard.hilbert(np.array([r[1:3] for r in data]), 2).tolist(), strict=True))
+    line = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert sorted(r.row.cell for r in got) == list(range(300)) and all(r.curve == curve[r.row.cell] for r in got)
+    assert [r.curve for r in line] == sorted(curve.values())
+    assert [(r.shard, r.slot) for r in line] == [(s, k) for s in range(7) for k in range(300 // 7 + (s < 300 % 7))]
+    assert len({(r.curve) for r in got}) == 8
+
+
+def test_bits_follow_the_rows():
+    assert [shard.bits_for(n, 4) for n in (0, 10**4, 10**9)] == [3, 3, 4] and shard.bits_for(10**8, 2) == 8
+    assert shard.CELLS == 16
+
+
 # 2. Decontamination.
 
 

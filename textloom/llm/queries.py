@@ -16,15 +16,18 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 of all documents by the law `rows`, along source, language, size and id."""
-    from .shard import hashed_dimension, scaled_dimension, shards
+    from .shard import bits_for, listed_dimension, scaled_dimension, shards
 
     docs = table(spark, sf_dir, "documents")
     body = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), "source", "lang")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    scale = scaled_dimension(F.log2(F.col("size")), 3, 24)
-    cut = shards(narrow, [hashed_dimension(F.col("source")), hashed_dimension(F.col("lang")), scale, scaled_dimension(F.col("doc_id"), low, high)], F.col("doc_id"), 24)
-    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("curve").alias("curve_index"))
+    size, crc = (F.octet_length(body) + 8).cast("long"), F.crc32(body.cast("binary"))
+    total, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    bits = bits_for(total, 4)
+    known = {c: [r[0] for r in docs.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1 << bits).collect()] for c in ("source", "lang")}
+    scale = scaled_dimension(F.log2(size), 3, 24, bits)
+    row = F.struct("doc_id", size.alias("size"), crc.alias("text_crc32"))
+    cut = shards(row, [*(listed_dimension(F.col(c), known[c], bits) for c in known), scale, scaled_dimension(F.col("doc_id"), low, high, bits)], F.col("doc_id"), 24, docs, bits)
+    return cut.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("curve").alias("curve_index"))
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

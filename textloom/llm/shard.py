@@ -1,8 +1,8 @@
 """Sharding in Hilbert order: several quantised dimensions, sorted along the curve, cut into even runs.
 
 Shards are runs of the curve, so each covers a compact region in every dimension and its ranges prune files. No task
-ranks all rows: rows are counted by curve cell and a salt (a bounded table), running sums give each such bin its
-first rank, and rows are ranked only inside their bin.
+ranks all rows: rows are counted by curve cell, cells are cut into bins of about equal size by a hash of the key (a
+bounded table), running sums give each bin its first rank, and rows are ranked only inside their bin.
 """
 
 from __future__ import annotations
@@ -12,8 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BITS = 3  # of each dimension
-SALTS = 8  # bins of a curve cell
+BITS = 3  # of each dimension, at least
+CELLS = 16  # bits of a cell over all dimensions, at most: the counts of 2**CELLS cells go to the driver
+CELL_ROWS = 4096  # rows of an average cell beyond which a dimension gets another bit
+BINS = 1 << 17  # bins that all rows may be cut into, besides one for each cell
+LEAST_BIN = 1000  # rows below which a cell is not cut
+
+
+def bits_for(rows: int, dimensions: int) -> int:
+    """Bits of each dimension, so that an average cell has CELL_ROWS rows, within BITS and CELLS."""
+    bits = BITS
+    while (bits + 1) * dimensions <= CELLS and rows >> bits * dimensions > CELL_ROWS:
+        bits += 1
+    return bits
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -41,42 +52,53 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def hashed_dimension(col: Column) -> Column:
-    """A category's cell: equality on it prunes, and null has cell 0."""
-    return F.when(col.isNull(), 0).otherwise(F.pmod(F.xxhash64(col), F.lit(1 << BITS))).cast("int")
+
+def listed_dimension(col: Column, known: list, bits: int) -> Column:
+    """A category's cell by its place in `known`, most frequent first: equality on it prunes, and only values beyond
+    2**bits - 1 share the last cell. Null has cell 0."""
+    last = (1 << bits) - 1
+    cells = [x for i, v in enumerate(known[: last - 1]) for x in (F.lit(v), F.lit(i + 1))]
+    found = F.element_at(F.create_map(*cells), col) if cells else F.lit(None).cast("int")
+    return F.when(col.isNull(), 0).otherwise(F.coalesce(found, F.lit(last))).cast("int")
 
 
-def scaled_dimension(col: Column, low, high) -> Column:
+def scaled_dimension(col: Column, low, high, bits: int) -> Column:
     """A number's cell on the way from the least to the greatest value; null has cell 0."""
     if low is None or high == low:
         return F.lit(0)
     share = (col.cast("double") - float(low)) / (float(high) - float(low))
-    return F.coalesce(F.least(F.lit((1 << BITS) - 1), F.floor(share * (1 << BITS))), F.lit(0)).cast("int")
+    return F.coalesce(F.least(F.lit((1 << bits) - 1), F.greatest(F.lit(0), F.floor(share * (1 << bits)))), F.lit(0)).cast("int")
 
 
-def shards(df: DataFrame, dimensions: list[Column], key: Column, count: int) -> DataFrame:
-    """df with `curve` (Hilbert index of its cell), `shard` (0 to count - 1, sizes at most one apart) and `slot`.
+def shards(rows: Column, dimensions: list[Column], key: Column, count: int, df: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows (row, curve, shard, slot): `row` is the given struct column of df, curve the Hilbert index of its cell;
+    shards are 0 to count - 1, of sizes at most one apart, and slots are gapless from 0.
 
-    Rows are in order of curve, a hash of the key, then the key and all other columns; rows that are equal in all of
-    them are interchangeable. An empty df stays empty. df's columns must not be called cell, salt, curve, shard or
-    slot; the caller selects under its own names.
+    Rows are in order of curve, a hash of the key, the key and then the whole row; rows that are equal in all of them
+    are interchangeable. Each dimension has 2**bits cells. df's columns are never mixed with those made here, so they
+    may have any names. Null keys and repeated rows are placed like others; an empty df gives no rows.
     """
-    cell = sum((d * F.lit(1 << BITS * i) for i, d in enumerate(dimensions)), F.lit(0)).cast("int")
-    binned = df.withColumn("cell", cell).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    counts = np.array([tuple(r) for r in binned.groupBy("cell", "salt").count().collect()], np.int64).reshape(-1, 3)
-    coords = counts[:, :1] >> BITS * np.arange(len(dimensions)) & (1 << BITS) - 1
-    curve = hilbert(coords, BITS)
-    order = np.lexsort((counts[:, 1], curve))
-    first = np.zeros(len(counts), np.int64)
-    first[order] = np.cumsum(counts[order, 2]) - counts[order, 2]
-    total = int(counts[:, 2].sum())
-    # At most 2**(BITS * dimensions) * SALTS rows, whatever the input.
-    bins = df.sparkSession.createDataFrame([(*map(int, c[:2]), int(h), int(f)) for c, h, f in zip(counts, curve, first, strict=True)], "cell int, salt int, curve int, first long")
-    inside = Window.partitionBy("cell", "salt").orderBy(key, *[F.col(f"`{c}`") for c in df.columns])
-    ranked = binned.join(F.broadcast(bins), ["cell", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(inside) - 1)
+    cell = sum((d.cast("long") * F.lit(1 << bits * i) for i, d in enumerate(dimensions)), F.lit(0).cast("long"))
+    placed = df.select(rows.alias("row"), cell.alias("cell"), key.alias("key")).withColumn("spread", F.xxhash64("key", "row"))
+    cells = np.array([tuple(r) for r in placed.groupBy("cell").count().collect()], np.int64).reshape(-1, 2)  # 2**CELLS rows at most
+    total = int(cells[:, 1].sum())
+    wanted = max(LEAST_BIN, -(-total // BINS))
+    cuts = np.maximum(1, cells[:, 1] // wanted)
+    curve = hilbert(cells[:, :1] >> bits * np.arange(len(dimensions)) & (1 << bits) - 1, bits)
+    spark = df.sparkSession
+    cut = spark.createDataFrame([(int(c), int(n), int(h)) for (c, _), n, h in zip(cells, cuts, curve, strict=True)], "cell long, cuts int, curve long")
+    binned = placed.join(F.broadcast(cut), "cell").withColumn("bin", F.pmod("spread", F.col("cuts")).cast("int"))
+    counts = sorted(tuple(r) for r in binned.groupBy("curve", "bin").count().collect())  # BINS and the cells at most
+    first, start = [], 0
+    for c, b, n in counts:
+        first.append((c, b, start))
+        start += n
+    bins = spark.createDataFrame(first, "curve long, bin int, first long")
+    inside = Window.partitionBy("curve", "bin").orderBy("spread", "key", "row")
+    ranked = binned.join(F.broadcast(bins), ["curve", "bin"]).withColumn("rank", F.col("first") + F.row_number().over(inside) - 1)
     small, larger = divmod(total, count)
     edge = larger * (small + 1)  # ranks below lie in shards of one row more
     rank, most = F.col("rank"), F.lit(max(small, 1))
     shard = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(larger + F.floor((rank - edge) / most))
     slot = F.when(rank < edge, F.pmod(rank, F.lit(small + 1))).otherwise(F.pmod(rank - edge, most))
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).drop("cell", "salt", "first", "rank")
+    return ranked.select("row", "curve", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
