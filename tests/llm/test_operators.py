@@ -295,6 +295,17 @@ def test_vectors(spark, sf):
     check_vectors(spark, [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()])
 
 
+def test_classes_of_one_number_are_told_apart(spark, monkeypatch):
+    """Another seed is taken where two classes have one number; labels that start alike stay apart."""
+    made = vectors._class
+    monkeypatch.setattr(vectors, "_class", lambda label, x, seed: (5, made(label, x, seed)[1]) if not seed else made(label, x, seed))
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(8)
+    rows = [(i, "long label " * 9 + str(i % 2), (base + 0.02 * rng.standard_normal(8)).tolist()) for i in range(20)]
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")).collect()
+    assert {r.id: r.component_id for r in found} == {i: i % 2 for i in range(20)}
+
+
 def test_hot_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 20)
     rng = np.random.default_rng(1)
