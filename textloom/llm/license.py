@@ -1,20 +1,26 @@
 """License scans by an exact set-similarity join, with DataFrame and SQL functions only.
 
-Text blocks are lines; with `across` also, for notices that are wrapped, all runs of as many words as a template has. A template matches a block when at least `threshold` of its distinct words stand in the block.
-Template words are put in one global order, rarest in the corpus first (their block counts come from all texts). A
-block that meets a template must hold one of its first |T| - need + 1 words (prefix filter), need words of any
-template at all (length filter), and, from the first shared prefix word on, enough words on both sides (positional
-filter); what is left is counted exactly. The templates are a fixed list, so the index is a literal of the plan and
-the join needs no shuffle.
+A text's blocks are its runs of consecutive words, SPREAD times as long as the template, whatever lines they stand on.
+A template matches where at least `threshold` of its distinct words stand in one block.
+
+Template words are put in one global order, rarest in the corpus first (they are counted in all texts). An inverted
+index lists every template under its words, with their places in that order. Only texts that hold a word of some
+prefix, the first |T| - need + 1 words of a template, send their vocabulary words to the index. A text and a template
+go on when their first shared word lies in the prefix, so that enough words may follow it (prefix and positional
+filter), and when they share `need` words at all (length filter); then the words inside the blocks are counted exactly.
 
 Apart from that, fixed phrases are located word by word.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Phrases whose places are listed, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 # Openings and notices of public licenses, as their authors publish them.
@@ -35,6 +41,7 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.9  # share of the words of a template
+SPREAD = 1.5  # length of a block in words, times that of the template
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
@@ -57,70 +64,71 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def word_counts(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
-    """In how many lines of all texts each of the given words stands."""
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-    own = lines.select(F.explode(F.array_intersect(F.split(lower("line"), GAP), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    """In how many texts each of the given words stands."""
+    own = docs.select(F.explode(F.array_intersect(F.split(lower(F.col(text)), GAP), F.array(*map(F.lit, vocabulary)))).alias("word"))
     return dict.fromkeys(vocabulary, 0) | {r[0]: r[1] for r in own.groupBy("word").count().collect()}
 
 
+def needed(words: int, threshold: float) -> int:
+    """How many of a template's distinct words make a match."""
+    return max(1, math.ceil(threshold * words - 1e-9))
+
+
 def template_index(counts: dict[str, int], templates: dict[str, str], threshold: float) -> list[dict]:
-    """For each template: its words in global order, how many are needed, and its prefix."""
+    """For each template with any words: its distinct words in global order, how many are needed, its prefix and its
+    block's length."""
     out = []
     for label, text in templates.items():
         words = sorted(set(text.split()), key=lambda w: (counts[w], w))
-        need = max(1, -int(-threshold * len(words) // 1))
-        out.append({"label": label, "words": words, "need": need, "prefix": len(words) - need + 1, "size": len(text.split())})
+        if words:
+            need = needed(len(words), threshold)
+            out.append({"label": label, "words": words, "need": need, "prefix": len(words) - need + 1, "block": math.ceil(SPREAD * len(text.split()))})
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, across: bool = False) -> DataFrame:
+def matches(docs: DataFrame, key: list[Column], body: Column, templates: dict[str, str], threshold: float) -> DataFrame:
+    """Rows (k1, k2, label, part) of the texts, named by two key columns, and the templates that one of their blocks holds."""
+    spark = docs.sparkSession
+    vocabulary = sorted({w for t in templates.values() for w in t.split()})
+    index = template_index(word_counts(docs.select(body.alias("body")), "body", vocabulary), templates, threshold)
+    schema = "word string, label string, place int, of int, need int, prefix int"
+    inverted = spark.createDataFrame([(w, t["label"], i, len(t["words"]), t["need"], t["prefix"]) for t in index for i, w in enumerate(t["words"])], schema)
+    listed = spark.createDataFrame([(t["label"], t["words"], t["block"]) for t in index], "label string, words array<string>, block int")
+    lead = sorted({w for t in index for w in t["words"][: t["prefix"]]})
+    hint = "(?i)(?<!{0})(?:{1})(?!{0})".format(WORD, "|".join(w.replace(".", r"\.") for w in lead)) if lead else r"(?!)"
+    placed = F.transform(word_list(body), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    hits = docs.where(body.rlike(hint)).select(key[0].alias("k1"), key[1].alias("k2"), F.filter(placed, lambda x: x["word"].isin(vocabulary)).alias("hits"))
+    hits = written(hits.dropDuplicates(["k1", "k2"]), "hits")
+    met = hits.select("k1", "k2", F.explode(F.array_distinct("hits.word")).alias("word")).join(F.broadcast(inverted), "word")
+    met = met.groupBy("k1", "k2", "label").agg(F.count(F.lit(1)).alias("shared"), F.min("place").alias("first"), F.first("of").alias("of"), F.first("need").alias("need"), F.first("prefix").alias("prefix"))
+    met = met.where("first < prefix AND shared >= need").join(F.broadcast(listed), "label").join(hits, ["k1", "k2"])
+    own = met.withColumn("hits", F.filter("hits", lambda x: F.array_contains("words", x["word"])))
+    # A block holds no more hits than words, so the hits of the block that starts with one lie among the next `block`.
+    inside = lambda i: F.filter(F.slice("hits", i + 1, F.col("block")), lambda x: x["at"] < F.get("hits", i)["at"] + F.col("block"))
+    most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: F.size(F.array_distinct(F.transform(inside(i), lambda x: x["word"])))))
+    return own.select("k1", "k2", "label", "of", "need", most.alias("most")).where("most >= need").select("k1", "k2", "label", (F.col("most") / F.col("of")).alias("part"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of PHRASES, first_word and last_word are their least and greatest start (null without
-    any). labels adds the templates that a line contains to at least `threshold`, and with
-    `across` those that a run of as many words as the template contains to it, whatever lines the run stands on. score is 1 where a phrase stands,
+    any). labels adds the templates of which a block holds at least `threshold`. score is 1 where a phrase stands,
     else the greatest containment that met the threshold, else 0. A null or empty text has no words and score 0;
-    equal and repeated rows are judged each; null ids stay. An empty table gives no rows.
+    equal and repeated rows are judged each, and alike; null ids stay; texts of any length are scanned whole. Other
+    columns of docs, whatever their names, are ignored. An empty table gives no rows, a template without words
+    matches nothing.
     """
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    counts = word_counts(docs, text, vocabulary)
-    index = template_index(counts, templates, threshold)
-    ranked = sorted(vocabulary, key=lambda w: (counts[w], w))
-    lead = sorted({w for t in index for w in t["words"][: t["prefix"]]})
-
-    def literal(t: dict) -> Column:
-        return F.struct(F.lit(t["label"]).alias("label"), F.array(*map(F.lit, t["words"])).alias("words"), F.lit(t["need"]).alias("need"), F.lit(t["prefix"]).alias("prefix"), F.lit(t["size"]).alias("size"))
-
-    def shared(t: Column, block: Column) -> Column:
-        """Containment of a template in a block (its vocabulary words, in global order); 0 where a filter rules it out."""
-        prefix = F.slice(t["words"], F.lit(1), t["prefix"])
-        first = F.get(F.array_intersect(prefix, block), F.lit(0))
-        here, there = F.array_position(t["words"], first), F.array_position(block, first)
-        room = 1 + F.least(F.size(t["words"]) - here, F.size(block) - there)
-        both = F.size(F.array_intersect(t["words"], block))
-        # The first shared prefix word is the first shared word of all, so what stands before it counts for nothing.
-        return F.when((F.size(block) >= t["need"]) & first.isNotNull() & (room >= t["need"]) & (both >= t["need"]), both / F.size(t["words"])).otherwise(0.0)
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    hint = "(?i)(?<!{0})(?:{1})(?!{0})".format(WORD, "|".join(w.replace(".", r"\.") for w in lead))
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(hint))
-    order = F.array(*map(F.lit, ranked))
-    matched = F.flatten(F.transform(lines, lambda line: F.filter(F.transform(F.array(*map(literal, index)), lambda t: F.struct(t["label"].alias("label"), shared(t, F.array_intersect(order, F.split(lower(line), GAP))).alias("part"))), lambda x: x["part"] > 0)))
-    rows = docs.select(F.col(id_col).alias("id"), F.size(word_list(body)).cast("long").alias("n_words"), F.when(body.rlike("(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)), word_list(body)).alias("words"), F.when(body.rlike(hint), matched).alias("matched"), F.when(body.rlike(hint), F.array_intersect(order, F.split(lower(body), GAP))).alias("vocabulary"), body.alias("body"))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    body, key = F.col("body"), [F.xxhash64("id", "body"), F.xxhash64("body", "id", F.lit("second"))]
+    found = matches(docs, key, body, templates, threshold).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("part").alias("part"))
+    words = F.when(body.rlike("(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)), word_list(body))
+    rows = docs.select("id", key[0].alias("k1"), key[1].alias("k2"), F.size(word_list(body)).cast("long").alias("n_words"), words.alias("words"))
     at = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
     starts = F.concat(*[F.transform(places(F.col("words"), p), at(label)) for p, label in PHRASES.items()])
-    if across:
-        # Only a text that holds enough words of a template anywhere is cut into windows.
-        window = lambda t, i: F.size(F.array_intersect(t["words"], F.slice(F.col("all"), i + 1, t["size"])))
-        here = lambda t: F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.array_contains(t["words"], F.get("all", i)))
-        most = F.transform("near", lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("of"), F.array_max(F.transform(here(t), lambda i: window(t, i))).alias("both")))
-        found = F.transform(F.filter(most, lambda x: x["both"] >= x["need"]), lambda x: F.struct(x["label"].alias("label"), (x["both"] / x["of"]).alias("part")))
-        rows = rows.withColumn("near", F.filter(F.array(*map(literal, index)), lambda t: F.size(F.array_intersect(t["words"], F.col("vocabulary"))) >= t["need"]))
-        rows = rows.withColumn("all", F.when(F.size("near") > 0, word_list(F.col("body"))))
-        rows = rows.withColumn("matched", F.when(F.size("near") > 0, F.concat("matched", found)))
-    rows = rows.select("id", "n_words", F.coalesce(starts, F.array().cast("array<struct<at:int,label:string>>")).alias("starts"), F.coalesce("matched", F.array().cast("array<struct<label:string,part:double>>")).alias("matched"))
-    base, more = F.col("starts.label"), F.col("matched.label")
+    rows = rows.select("id", "k1", "k2", "n_words", F.coalesce(starts, F.array().cast("array<struct<at:int,label:string>>")).alias("starts"))
+    rows = rows.join(found, ["k1", "k2"], "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return rows.select(
         F.col("id").alias(id_col),
@@ -128,9 +136,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
         F.size("starts").cast("long").alias("n_base"),
         F.array_min("starts.at").cast("long").alias("first_word"),
         F.array_max("starts.at").cast("long").alias("last_word"),
-        joined(base).alias("base_labels"),
-        joined(F.concat(base, more)).alias("labels"),
-        F.when(F.size("starts") > 0, 1.0).otherwise(F.coalesce(F.array_max("matched.part"), F.lit(0.0))).alias("score"),
+        joined(F.col("starts.label")).alias("base_labels"),
+        joined(F.concat(F.col("starts.label"), F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.size("starts") > 0, 1.0).otherwise(F.coalesce("part", F.lit(0.0))).alias("score"),
     )
 
 
@@ -139,19 +147,22 @@ def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD
     templates = TEMPLATES if templates is None else templates
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     quoted = lambda items: ", ".join("'" + x + "'" for x in items)
-    values = ", ".join(f"('{label}', [{quoted(sorted(set(t.split())))}])" for label, t in templates.items())
+    values = ", ".join(f"('{label}', [{quoted(sorted(set(t.split())))}], {needed(len(set(t.split())), threshold)}, {math.ceil(SPREAD * len(t.split()))})" for label, t in templates.items())
     phrases = ", ".join(f"([{quoted(p.split())}], '{label}')" for p, label in PHRASES.items())
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
 w AS (SELECT r, doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
-t(label, words) AS (VALUES {values}),
+t(label, words, need, block) AS (VALUES {values}),
 p(words, label) AS (VALUES {phrases}),
 s AS (SELECT r, unnest(generate_series(1, len(words))) AS i, words FROM w WHERE regexp_matches(low, 'license|cc')),
 b AS (SELECT r, s.i - 1 AS pos, p.label FROM s JOIN p ON s.words[s.i] = p.words[1] AND s.words[s.i:s.i + len(p.words) - 1] = p.words),
 bs AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY r),
-l AS (SELECT r, list_distinct(regexp_extract_all(line, '{word}')) AS words FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT r, t.label, len(list_intersect(t.words, l.words)) / len(t.words) AS part FROM l JOIN t ON len(l.words) >= len(t.words) * {threshold} WHERE len(list_intersect(t.words, l.words)) >= ceil(len(t.words) * {threshold})),
+v AS (SELECT label, need, block, len(words) AS size, unnest(words) AS word FROM t),
+x AS (SELECT r, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM w),
+h AS (SELECT r, label, need, block, size, pos, x.word FROM x JOIN v ON v.word = x.word),
+k AS (SELECT r, label, need, size, count(DISTINCT word) OVER (PARTITION BY r, label ORDER BY pos RANGE BETWEEN CURRENT ROW AND block - 1 FOLLOWING) AS held FROM h),
+m AS (SELECT r, label, max(held) / max(size) AS part FROM k WHERE held >= need GROUP BY r, label),
 ms AS (SELECT r, max(part) AS part, list(DISTINCT label) AS labels FROM m GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
  coalesce(array_to_string(list_sort(bs.labels), ','), '') AS base_labels,
