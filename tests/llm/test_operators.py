@@ -192,6 +192,43 @@ def test_copies_with_few_literals(spark):
     assert found_in(spark, items, cases) == {(i, i) for i in range(6)}
 
 
+def test_fillers_agree_across_alignments(spark):
+    """One name with two fillers is no copy of the item, also where words between the halves shift the second one."""
+    item = "the farmer Alice went over some fields and then came in the old neighbour Alice with bags and called"
+    halves = item.split()[:10], item.split()[10:]
+    said = lambda a, b, between: " ".join(halves[0]).replace("Alice", a) + between + " ".join(halves[1]).replace("Alice", b)
+    between = " while it rained a bit "
+    got = found_in(spark, [item], [said("Maria", "Maria", between), said("Maria", "Peter", between), said("Maria", "Maria", " "), said("Maria", "Peter", " ")])
+    assert got == {(0, 0), (2, 0)}
+
+
+def test_templates_agree_with_a_plain_version(spark):
+    """Random items with other fillers: one alignment, all windows in plain Python."""
+    rng = np.random.default_rng(12)
+    names, words = ["Alice", "Bob", "Carol", "Dan"], "takes sells gives from under over with some red green old".split()
+    kind = lambda w: "#" if w.isdigit() else "@" if w in names else w
+    items = [["so"] + [str(rng.choice([rng.choice(names), rng.integers(2, 99), *rng.choice(words, 4)])) for _ in range(12)] for _ in range(25)]
+    texts = []
+    for item in items:
+        fill = {n: rng.permutation(names)[0] for n in names} | {str(n): str(n + rng.integers(0, 2)) for n in range(100)}
+        other = [fill.get(w, w) if rng.random() < 0.95 else "changed" for w in item]
+        if rng.random() < 0.4:
+            other[int(rng.integers(1, 13))] = "Alice"
+        texts.append(other)
+
+    def plain(item, text):
+        n, size = len(item), decontam.WINDOW
+        same = [p for p in range(n - size + 1) if item[p : p + size] == text[p : p + size]]
+        like = [p for p in range(n - size + 1) if [kind(w) for w in item[p : p + size]] == [kind(w) for w in text[p : p + size]] and sum(kind(w) == w for w in item[p : p + size]) >= decontam.LITERALS]
+        pairs = {(kind(item[i]) + item[i], text[i]) for p in like for i in range(p, p + size) if kind(item[i]) != item[i]}
+        pos = set(same) | (set(like) if len(pairs) == len({a for a, _ in pairs}) else set())
+        return len({i for p in pos for i in range(p, p + size)}) / n >= decontam.COVERAGE or any(all(p + j in pos for j in range(decontam.RUN - size + 1)) for p in pos)
+
+    got = found_in(spark, [" ".join(i) for i in items], [" ".join(t) for t in texts])
+    want = {(i, i) for i, (a, b) in enumerate(zip(items, texts, strict=True)) if plain(a, b)}
+    assert {(a, b) for a, b in got if a == b} == want and 3 < len(want) < 24
+
+
 def test_first_word_is_name_or_literal(spark):
     item = "Divide 36 apples among the 4 children there"
     assert found_in(spark, [item], ["Task: " + item.replace("36", "48").replace("4 ", "6 "), "Task: divide the apples"]) == {(0, 0)}
@@ -365,6 +402,24 @@ def test_hot_groups(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 3
 
 
+def test_a_passage_of_many_unlike_texts_makes_no_blocks(spark, monkeypatch):
+    """A shingle that the first order does not know as frequent stands in the prefixes of unlike classes: further orders part them."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    monkeypatch.setattr(jaccard, "FEW", 16)
+    rest, made = [], jaccard._verified_blocks
+    monkeypatch.setattr(jaccard, "_verified_blocks", lambda hot, *more: rest.append(hot.count()) or made(hot, *more))
+    rows = [(i, "all rights reserved here " + " ".join(f"t{i}_{j}" for j in range(12))) for i in range(1500)] + [(5000, "all rights reserved here " + " ".join(f"t7_{j}" for j in range(12)))]
+    got = {r.id: r.component_id for r in jaccard.jaccard_groups(odd(spark, rows), k=3, num=90).collect()}
+    assert got == {i: i for i in range(1500)} | {5000: 7} and rest == [0]
+
+
+def test_classes_of_one_number_take_another_seed(spark, monkeypatch):
+    made = jaccard._class
+    monkeypatch.setattr(jaccard, "_class", lambda s, seed=0: (5, made(s, seed)[1]) if not seed else made(s, seed))
+    got = {r.id: r.component_id for r in jaccard.jaccard_groups(odd(spark, [(1, "a b c d"), (2, "e f g h"), (3, "a b c d")]), k=3).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_groups_of_odd_rows(spark):
     got = jaccard.jaccard_groups(odd(spark, ODD)).collect()
     by = lambda i: [(r.n_shingles, r.component_id) for r in got if r.id == i]

@@ -33,6 +33,37 @@ def test_one_document_of_each_group_stays(spark, sf):
     assert [r.text for r in kept if r.doc_id is None] == ["no id but a text of its own"]
 
 
+def test_columns_of_any_name_pass_and_the_row_that_stays_is_defined(spark, sf):
+    text = " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, gone string, copies string, __key string, key string, doc string, size string"
+    rows = [(i, t, "en", "s", 0, x, None, "c", "k", "y", "d", "z") for i, t, x in [(1, text, "b"), (1, text, "a"), (2, text, "a"), (3, "one text", "q"), (None, None, "n"), (4, "", "e"), (4, "", "e")]]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.row) for r in kept.collect()) == [(0, "n"), (1, "a"), (3, "q"), (4, "e")]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, sf), "any")
+        assert docs.columns == schema_names(schema)
+
+
+def schema_names(schema):
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def test_the_keep_set_of_near_duplicates_is_that_of_all_pairs(spark, sf):
+    """The least id of every group of links, found by comparing all pairs of whole texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {r.doc_id: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for r in docs.collect() if (w := (r.text or "").encode().lower().split())}
+    group = {r.doc_id: r.doc_id for r in docs.collect()}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((group[a], group[b]))
+                group = {d: lo if g == hi else g for d, g in group.items()}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()}
+    assert kept == {d for d, g in group.items() if d == g} and len(kept) < len(group)
+
+
 def test_an_empty_table_goes_through(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):

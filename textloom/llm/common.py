@@ -12,7 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS = 1 << 26  # of a broadcast map of keys
+MOST_BITS = 1 << 28  # of a broadcast map of keys, 32 MB; LEAST_BITS for the smallest
+LEAST_BITS = 1 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -29,11 +30,14 @@ def ready(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """This session's folder under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """This session's folder under spark.checkpoint.dir; a temporary one only where that is unset and the session is
+    local, as in tests: the executors of a cluster do not share the driver's folders."""
     made = getattr(spark, "_textloom_scratch", None)
     if made is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         own = not base
+        if own and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if own:
             base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         made = f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
@@ -92,45 +96,61 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bit_map(rows: DataFrame, bit):
-    """A broadcast map of BITS bits, those set that the column `bit` names; of fixed size, whatever the rows."""
+class BitMap:
+    """A broadcast set of long keys that may hold others by chance: about 16 bits for each key, within MOST_BITS."""
+
+    def __init__(self, sent, size: int):
+        self.sent, self.size = sent, size
+
+    def holds(self, keys: "np.ndarray") -> "np.ndarray":
+        at = keys % self.size
+        return ((self.sent.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def bit_map(rows: DataFrame, key) -> BitMap:
+    """The map of the keys in a written table. What goes to the driver and out again is at most MOST_BITS // 32 bytes."""
     import numpy as np
 
-    words = rows.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("w")).toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * rows.count()).bit_length()))
+    at = F.pmod(key, F.lit(size))
+    words = rows.select(at.alias("b")).groupBy(F.expr("b div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("w")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
     bits[words["at"].to_numpy()] = words["w"].to_numpy()
-    return rows.sparkSession.sparkContext.broadcast(bits)
+    return BitMap(rows.sparkSession.sparkContext.broadcast(bits), size)
 
 
-def holds(bits: "np.ndarray", at: "np.ndarray") -> "np.ndarray":
-    return ((bits[at >> 6] >> (at & 63)) & 1).astype(bool)
+def row_key(id_col: str, text: str):
+    """A struct of two independent hashes, equal for rows of equal id and text; ids and texts may be null."""
+    parts = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`")
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("b"))
 
 
 def without(df: DataFrame, key, dropped_keys: DataFrame, kept=None) -> DataFrame:
-    """df without the rows whose `key` is in dropped_keys (one column, long).
+    """df without the rows whose `key` (see row_key) is in dropped_keys (a written table of one such column).
 
     Rows that a bit map of the dropped keys rules out pass at once; only the others meet the exact keys in a join, so
-    texts are not shuffled for the sake of a few of them. kept(rows), where given, replaces that anti-join.
+    texts are not shuffled for the sake of a few of them: the map is sized by the count of dropped keys. kept, where
+    given, replaces the anti-join: kept(rows) takes and gives the columns `doc` (a row of df as a struct) and `key`,
+    or `doc` alone. df may have columns of any names and null values; an empty df stays empty.
     """
     import numpy as np
     import pyarrow as pa
 
     name = dropped_keys.columns[0]
-    bits = bit_map(dropped_keys, F.pmod(name, F.lit(BITS)))
+    bits = bit_map(dropped_keys, F.col(f"{name}.a"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), key.alias("key"))
 
     def part(wanted: bool) -> DataFrame:
         def read(batches):
             for batch in batches:
-                keys = batch.column(batch.num_columns - 1).to_numpy().astype(np.int64)
-                mask = pa.array(holds(bits.value, keys % BITS) == wanted)
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(batch.num_columns - (not wanted))], names=batch.schema.names[: batch.num_columns - (not wanted)])
+                mask = pa.array(bits.holds(batch.column(1).field(0).to_numpy().astype(np.int64)) == wanted)
+                yield batch.filter(mask)
 
-        rows = df.select("*", key.alias("__key"))
-        return rows.mapInArrow(read, rows.schema if wanted else df.schema)
+        return rows.mapInArrow(read, rows.schema)
 
     met = part(True)
-    met = met.join(dropped_keys.select(F.col(name).alias("__key")), "__key", "left_anti").drop("__key") if kept is None else kept(met)
-    return part(False).unionByName(met)
+    met = met.join(dropped_keys.select(F.col(name).alias("key")), "key", "left_anti") if kept is None else kept(met)
+    return part(False).select("doc.*").unionByName(met.select("doc.*"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

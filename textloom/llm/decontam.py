@@ -4,7 +4,7 @@ Words are runs of letters or digits. Numbers, units after numbers, and capitalis
 typed placeholders; all other words count by their case-folded form. Windows of consecutive words whose templates
 agree are joined by hash, so a question with other numbers or names still meets its source. The aligned windows of a
 text and an item must then fill the placeholders consistently: one filler of the item always stands for the same
-filler of the text. A text is contaminated by an item when consistent windows cover enough of the item's words.
+filler of the text, within an alignment and across the alignments that are counted together. A text is contaminated by an item when consistent windows cover enough of the item's words.
 
 Windows are also joined by their case-folded words, whatever they are, so copies with few or no literals count too,
 and so do items shorter than LITERALS. Characters of scripts without spaces are words of their own. What stands before
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, without, written
+from .common import ready, row_key, without, written
 from .wordhash import chunks, hashes, mix
 
 WINDOW = 6
@@ -164,7 +164,7 @@ def _item_windows(items: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _text_hits(docs: DataFrame, id_col: str, text: str, sizes: list[int], bits: np.ndarray) -> DataFrame:
     """Windows of the texts whose hash may be one of the benchmark's."""
-    schema = "id long, key long, size int, at long, hash long, how int, ours array<string>"
+    schema = "id long, key struct<a: long, b: long>, size int, at long, hash long, how int, ours array<string>"
     used = np.flatnonzero(bits)
     values = bits[used]
 
@@ -173,7 +173,6 @@ def _text_hits(docs: DataFrame, id_col: str, text: str, sizes: list[int], bits:
         table[used] = values
         for batch in batches:
             out = []
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, _, data, off in chunks(batch.column(2)):
                 start, stops, template, kinds, words, folded, capital = _canonical(data, off)
                 for size in sizes:
@@ -182,16 +181,12 @@ def _text_hits(docs: DataFrame, id_col: str, text: str, sizes: list[int], bits:
                     hit = (table[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
                     at, h, how = at[hit], h[hit], how[hit]
                     row = np.searchsorted(words, at, "right") - 1
-                    out += [(ids[a + r], keys[a + r], size, p - int(words[r]), x, w, _fillers(data, start, stops, kinds, p, size, w)) for r, p, x, w in zip(row.tolist(), at.tolist(), h.view(np.int64).tolist(), how.tolist(), strict=True)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_key(id_col, text).alias("key"), F.col(text).alias("text")).mapInArrow(read, schema)
-
+                    out += [(a + r, size, p - int(words[r]), x, w, _fillers(data, start, stops, kinds, p, size, w)) for r, p, x, w in zip(row.tolist(), at.tolist(), h.view(np.int64).tolist(), how.tolist(), strict=True)]
+            row = pa.array([x[0] for x in out], pa.int64())
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array([x[j] for x in out], t) for j, t in enumerate(types, 1))], names=["id", "key", "size", "at", "hash", "how", "ours"])
 
-def text_key(id_col: str, text: str):
-    """A row's identity here: equal ids with equal texts are one."""
-    return F.xxhash64(F.col(id_col), F.col(text))
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text).alias("key"), F.col(text).alias("text")).mapInArrow(read, schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -200,8 +195,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     windows counts the item's matched windows, coverage is the share of its words inside them. Items with fewer words
     than WINDOW are one window; below LITERALS words it matches by its words only. Null and empty items match nothing,
     nor do null and empty texts. RUN of an item's words in a row contaminate whatever the coverage: in windows that agree,
-    or word by word even where the fillers around them do not. Equal rows are one text, rows of one id with different texts are several; a null id is carried
-    along. Empty tables give no rows.
+    or word by word even where the fillers around them do not. Of several alignments of a text and an item, those with
+    more windows go first, and one whose fillers contradict them counts only by its words. Equal rows are one text, rows
+    of one id with different texts are several; a null id is carried along. Texts of any length are read whole, other
+    columns are ignored. Empty tables give no rows.
     """
     ready(docs.sparkSession)
     bench = written(_item_windows(items, item_id, item_text), "items")
@@ -234,13 +231,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     more = RUN - F.col("size")
     line = line.withColumn("run", F.exists(F.sequence(F.lit(0), F.greatest(F.size("pos") - 1, F.lit(0))), lambda i: F.get("pos", i + more) - F.get("pos", i) == more))
     line = line.where(agrees("filled") | F.col("run"))
-    whole = line.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pos"))).alias("pos"), F.coalesce(F.bool_or("run"), F.lit(False)).alias("run"))
+    # Alignments are taken from the one with most windows on; one whose fillers contradict those taken before gives
+    # only the windows that agree word by word.
+    nothing = F.array().cast("array<struct<theirs: string, ours: string>>")
+    filled = F.when(agrees("filled"), F.when(agrees("filled_too"), F.col("filled_too")).otherwise(F.col("filled"))).otherwise(nothing)
+    alignment = F.struct((-F.size("pos")).alias("order"), "shift", "pos", "exact", filled.alias("filled"))
+    whole = line.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list(alignment)).alias("lines"), F.coalesce(F.bool_or("run"), F.lit(False)).alias("run"))
+
+    def taken(done, new):
+        both = F.array_union(done["filled"], new["filled"])
+        fits = F.size(both) == F.size(F.array_distinct(both["theirs"]))
+        return F.struct(F.array_union(done["pos"], F.when(fits, new["pos"]).otherwise(new["exact"])).alias("pos"), F.when(fits, both).otherwise(done["filled"]).alias("filled"))
+
+    start = F.struct(none.alias("pos"), nothing.alias("filled"))
+    whole = whole.withColumn("pos", F.aggregate("lines", start, taken)["pos"])
     covered = F.size(F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(p, p + F.col("size") - 1)))))
     whole = whole.select("key", "id", "item", F.size("pos").cast("long").alias("windows"), (covered / F.col("words")).alias("coverage"), "run")
     return whole.where((F.col("coverage") >= coverage) | F.col("run")).drop("run")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs that no item contaminates, unchanged."""
+    """The rows of docs that no item contaminates, unchanged, repeated rows and rows without id or text included; docs may
+    have columns of any names. Empty docs stay empty, without items all rows stay."""
     found = written(contaminated(docs, items, id_col, text, **more).select("key").distinct(), "found")
-    return without(docs, text_key(id_col, text), found)
+    return without(docs, row_key(id_col, text), found)

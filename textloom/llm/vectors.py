@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, Forest, bit_map, bounds, components, holds, ready, whole_groups, written
+from .common import Forest, bit_map, bounds, components, ready, whole_groups, written
 from .wordhash import mix
 
 BLOCK = 512
@@ -53,10 +54,15 @@ def _class(label: str, x: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(body[:8], "little", signed=True), int.from_bytes(body[8:], "little", signed=True)
 
 
+@lru_cache(maxsize=8)
+def _projections(size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(size)
+    return rng.standard_normal((size, count)), rng.uniform(0, WIDTH, count)
+
+
 def _cells(xs: np.ndarray, k: int, tables: int) -> np.ndarray:
     """Quantised projections (vector, table, projection) of unit vectors of one length; the same in every task."""
-    rng = np.random.default_rng(xs.shape[1])
-    a, b = rng.standard_normal((xs.shape[1], k * tables)), rng.uniform(0, WIDTH, k * tables)
+    a, b = _projections(xs.shape[1], k * tables)
     return np.floor((xs @ a + b) / WIDTH).astype(np.int32).reshape(len(xs), tables, k)
 
 
@@ -75,9 +81,10 @@ def _usable(values) -> np.ndarray | None:
     return x if np.isfinite(x).all() and x.any() else None
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max()
-    return x / np.sqrt(x @ x)
+def _units(xs: list) -> np.ndarray:
+    x = np.stack(xs).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98) -> DataFrame:
@@ -121,11 +128,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
                 cls, xs, salts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 for size in {len(x) for x in xs}:
                     at = [i for i, x in enumerate(xs) if len(x) == size]
-                    keys = _keys(_cells(np.stack([_unit(np.array(xs[i], np.float64)) for i in at]), k, tables), [salts[i] for i in at])
+                    keys = _keys(_cells(_units([xs[i] for i in at]), k, tables), [salts[i] for i in at])
                     t, own = np.tile(np.arange(tables, dtype=np.int32), len(at)), np.repeat(cls[at], tables)
                     keys = keys.ravel()
                     if bits is not None:
-                        met = holds(bits.value, keys % BITS)
+                        met = bits.holds(keys)
                         t, own, keys = t[met], own[met], keys[met]
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(t), pa.array(own)], names=["key", "t", "cls"])
 
@@ -134,7 +141,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     full = sign(None).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("m"), F.min("t").alias("t"), F.bit_xor(F.xxhash64("cls")).alias("held")).where("m > 1")
     # Buckets of the same classes are compared once, in the first table: a pair's first bucket is among those.
     full = written(full.groupBy("held", "m").agg(F.min_by("key", "t").alias("key"), F.min("t").alias("t")).select("key", "m", "t"), "buckets")
-    members = sign(bit_map(full, F.pmod("key", F.lit(BITS)))).drop("t").join(full, "key")
+    members = sign(bit_map(full, F.col("key"))).drop("t").join(full, "key")
     members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.expr("int(pmod(xxhash64(cls), blocks))"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     members = members.select("t", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cls")
@@ -172,7 +179,7 @@ def _compared(own: pd.DataFrame, cosine: float, k: int, tables: int) -> list[tup
     cls, n, salts = own["cls"].to_numpy(), own["n"].to_numpy(), own["salt"].to_numpy()
     if (salts != salts[0]).any():  # keys of 64 bits may agree by chance, labels must not
         return [row for salt in np.unique(salts) for row in _compared(own[salts == salt], cosine, k, tables)]
-    x = np.stack([_unit(np.asarray(v, np.float64)) for v in own["x"]])
+    x = _units(own["x"].to_list())
     half = len(own) if same else int((own["block"] == own["b1"].iloc[0]).sum())
     sums, forest, edges, keys = np.zeros(len(own), np.int64), Forest(len(own)), [], None
     for at in range(0, half, 256):
@@ -182,7 +189,7 @@ def _compared(own: pd.DataFrame, cosine: float, k: int, tables: int) -> list[tup
         keep = j > i if same else j >= half
         i, j = i[keep], j[keep]
         if t and len(i):
-            keys = _keys(_cells(x, k, tables), [0] * len(x))[:, :t] if keys is None else keys
+            keys = _keys(_cells(x, k, tables)[:, :t], [0] * len(x)) if keys is None else keys
             first = np.concatenate([~(keys[i[s : s + 65536]] == keys[j[s : s + 65536]]).any(1) for s in range(0, len(i), 65536)])
             i, j = i[first], j[first]
         for p, q in zip(i.tolist(), j.tolist(), strict=True):
