@@ -16,16 +16,24 @@ MONTHS = "january jan janvier janv; february feb février fevrier févr fevr; ma
 WEEKDAYS = "monday mon lundi lun; tuesday tue tues mardi mar; wednesday wed mercredi mer; thursday thu thur thurs jeudi jeu; friday fri vendredi ven; saturday sat samedi sam; sunday sun dimanche dim"
 RELATIVE = {"today": 0, "yesterday": -1, "tomorrow": 1, "aujourd'hui": 0, "hier": -1, "demain": 1}
 
-_MONTH = {name: i + 1 for i, names in enumerate(MONTHS.split(";")) for name in names.split()}
-_DAY = {name: i for i, names in enumerate(WEEKDAYS.split(";")) for name in names.split()}
-_ANY_MONTH = "|".join(sorted(_MONTH, key=len, reverse=True))
-_YEAR = r"((?:19|20)\d{2})"
-_ISO = re.compile(rf"\b{_YEAR}-(\d{{2}})-(\d{{2}})\b")
-_NUMERIC = re.compile(rf"\b(\d{{1,2}})[/-](\d{{1,2}})[/-]{_YEAR}\b")
-_DAY_FIRST = re.compile(rf"\b(\d{{1,2}})(?:st|nd|rd|th|er)?\s+(?:day\s+of\s+)?({_ANY_MONTH})\.?\s*,?\s*{_YEAR}?", re.I)
-_MONTH_FIRST = re.compile(rf"\b({_ANY_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:\s*,?\s*{_YEAR})?", re.I)
-_RELATIVE = re.compile(r"\b(today|yesterday|tomorrow|aujourd'hui|hier|demain)\b", re.I)
+_NUMBER = {name: i for names in (MONTHS, WEEKDAYS) for i, group in enumerate(names.split(";")) for name in group.split()}
+_ANY_MONTH = "|".join(sorted(re.findall(r"[^\s;]+", MONTHS), key=len, reverse=True))
 SCHEMA = "array<struct<start: int, end: int, raw: string, date: string, reason: string, alternatives: array<string>>>"
+# What a reading says when it is no plain date.
+NO_DAY = "the calendar has no such day"
+TWO_READINGS = "day and month can be read both ways"
+NO_YEAR = "the year is missing"
+COUNTED = "counted from the date of the message"
+NO_ANCHOR = "nothing dated to count from"
+# One scanner: the forms in the order in which they claim text, each with the parts of a date as named groups.
+FORMS = {
+    "iso": r"\b(?P<y>(?:19|20)\d\d)-(?P<m>\d\d)-(?P<d>\d\d)\b",
+    "slashed": r"\b(?P<one>\d\d?)[/-](?P<two>\d\d?)[/-](?P<y>(?:19|20)\d\d)\b",
+    "day_month": rf"\b(?P<d>\d\d?)(?:st|nd|rd|th|er)?\s+(?:day\s+of\s+)?(?P<name>{_ANY_MONTH})\b\.?(?:\s*,?\s*(?P<y>(?:19|20)\d\d)\b)?",
+    "month_day": rf"\b(?P<name>{_ANY_MONTH})\b\.?\s+(?P<d>\d\d?)(?:st|nd|rd|th)?\b(?:\s*,?\s*(?P<y>(?:19|20)\d\d)\b)?",
+    "spoken": r"\b(?P<word>" + "|".join(RELATIVE) + r")\b",
+}
+_FORMS = [(form, re.compile(pattern, re.IGNORECASE)) for form, pattern in FORMS.items()]
 
 
 def calendar(year, month, day) -> str | None:
@@ -35,33 +43,40 @@ def calendar(year, month, day) -> str | None:
         return None
 
 
+def _reading(form: str, part: dict, before: str, anchor: dt.date | None) -> tuple[str | None, list[str], str]:
+    """Date, alternatives and remark of one match; `before` is the text shortly before it."""
+    if form == "spoken":
+        if anchor is None:
+            return None, [], NO_ANCHOR
+        return (anchor + dt.timedelta(days=RELATIVE[part["word"].lower()])).isoformat(), [], COUNTED
+    if form == "slashed":
+        days = {calendar(part["y"], m, d): None for d, m in ((part["one"], part["two"]), (part["two"], part["one"]))}
+        days.pop(None, None)
+        words = re.findall(r"[^\W\d_]+", before)
+        weekday = _NUMBER.get(words[-1].lower()) if words and words[-1].lower() in WEEKDAYS.replace(";", " ").split() else None
+        said = [d for d in days if weekday is None or len(days) == 1 or dt.date.fromisoformat(d).weekday() == weekday]
+        return (said[0], said, "") if len(said) == 1 else (None, said, TWO_READINGS if said else NO_DAY)
+    if not part["y"]:
+        return None, [], NO_YEAR
+    month = part["m"] if form == "iso" else _NUMBER[part["name"].lower()] + 1
+    date = calendar(part["y"], month, part["d"])
+    return date, [], "" if date else NO_DAY
+
+
 def candidates(text: str, anchor: str | None = None) -> list[dict]:
-    """Dates of a text in order of place. Kinds are tried one after another, and a match that overlaps an accepted
-    one is passed over: ISO, numeric, day first, month first, relative (these need an ISO anchor)."""
-    out: list[dict] = []
-
-    def add(m: re.Match, date, reason="", alternatives=()):
-        if not any(m.start() < x["end"] and m.end() > x["start"] for x in out):
-            out.append({"start": m.start(), "end": m.end(), "raw": m[0], "date": date, "reason": reason, "alternatives": list(alternatives)})
-
-    for m in _ISO.finditer(text):
-        add(m, calendar(*m.groups()))
-    for m in _NUMERIC.finditer(text):
-        choices = [c for c in dict.fromkeys((calendar(m[3], m[2], m[1]), calendar(m[3], m[1], m[2]))) if c]
-        said = re.search(r"([^\W\d_]+)\.?,?\s*$", text[max(0, m.start() - 12) : m.start()])
-        day = _DAY.get(said[1].lower()) if said else None
-        if len(choices) > 1 and day is not None:
-            choices = [c for c in choices if dt.date.fromisoformat(c).weekday() == day]
-        reason = "Ambiguous day/month order" if len(choices) > 1 else "" if choices else "Invalid calendar date"
-        add(m, choices[0] if len(choices) == 1 else None, reason, choices)
-    for pattern, day, month in ((_DAY_FIRST, 1, 2), (_MONTH_FIRST, 2, 1)):
+    """Dates of a text in order of place. Where two forms claim the same characters, the one that FORMS lists first has
+    them. Relative days need an ISO anchor; what is no plain date says why, ambiguous ones with both readings."""
+    day = dt.date.fromisoformat(anchor) if anchor and re.fullmatch(r"\d{4}-\d\d-\d\d", anchor) else None
+    taken = bytearray(len(text))
+    found = []
+    for form, pattern in _FORMS:
         for m in pattern.finditer(text):
-            add(m, calendar(m[3], _MONTH[m[month].lower()], m[day]) if m[3] else None, "" if m[3] else "Year not stated")
-    known = bool(anchor) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", anchor) is not None
-    for m in _RELATIVE.finditer(text):
-        date = (dt.date.fromisoformat(anchor) + dt.timedelta(RELATIVE[m[1].lower()])).isoformat() if known else None
-        add(m, date, "Resolved from communication date; verify attribution" if known else "Relative date without a reliable communication date")
-    return sorted(out, key=lambda x: x["start"])
+            if any(taken[m.start() : m.end()]):
+                continue
+            taken[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
+            date, others, remark = _reading(form, m.groupdict(), text[max(0, m.start() - 12) : m.start()], day)
+            found.append({"start": m.start(), "end": m.end(), "raw": m[0], "date": date, "reason": remark, "alternatives": others})
+    return sorted(found, key=lambda f: f["start"])
 
 
 @vectorised(SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,47 +17,32 @@ _WORD = re.compile(r"[^ \t\r\n\xa0]+")
 SPANS = "array<struct<start: int, end: int, text: string>>"
 
 
+def _portions(words: int) -> list[int]:
+    """Word counts into which a line goes: whole up to MOST, else pieces of CHUNK until no more than MOST are left."""
+    pieces = -(-max(words - MOST, 0) // CHUNK)
+    return [CHUNK] * pieces + [words - pieces * CHUNK]
+
+
 def cut_passages(text: str) -> list[tuple[int, int]]:
-    """Passages of a text as (start, end): lines are gathered to LEAST words and never beyond MOST; a longer line
-    flushes what is open and is cut every CHUNK words; a short rest joins the last passage if both fit."""
-    out: list[list[int]] = []
-    sizes: list[int] = []
-    start = end = -1
-    held = 0
-
-    def flush():
-        nonlocal start, held
-        if held:
-            out.append([start, end])
-            sizes.append(held)
-        start, held = -1, 0
-
-    at = 0
-    for line in text.split("\n"):
-        words = [m.span() for m in _WORD.finditer(line)]
-        if len(words) > MOST:
-            flush()
-            i = 0
-            while len(words) - i > MOST:
-                out.append([at + words[i][0], at + words[i + CHUNK - 1][1]])
-                sizes.append(CHUNK)
-                i += CHUNK
-            out.append([at + words[i][0], at + words[-1][1]])
-            sizes.append(len(words) - i)
-        elif words:
-            if held + len(words) > MOST:
-                flush()
-            if start < 0:
-                start = at + words[0][0]
-            end, held = at + words[-1][1], held + len(words)
-            if held >= LEAST:
-                flush()
-        at += len(line) + 1
-    if held and held < TAIL and out and sizes[-1] + held <= MOST:
-        out[-1][1] = end
-    else:
-        flush()
-    return [(a, b) for a, b in out]
+    """Passages of a text as (start, end). A passage takes line after line until it has LEAST words, and never more than
+    MOST; pieces of a longer line are passages of their own. A rest under TAIL words at the end of the text goes to the
+    passage before it if MOST allows."""
+    places = [[m.span() for m in _WORD.finditer(line)] for line in text.split("\n")]
+    base = list(accumulate((len(line) + 1 for line in text.split("\n")), initial=0))
+    spans = [(at + a, at + b) for at, line in zip(base, places, strict=False) for a, b in line]
+    sizes: list[int] = []  # words of the passages so far
+    growing = False  # whether the last one takes more lines
+    for line in filter(None, places):
+        portions = _portions(len(line))
+        if growing and len(portions) == 1 and sizes[-1] + portions[0] <= MOST:
+            sizes[-1] += portions[0]
+        else:
+            sizes += portions
+        growing = len(portions) == 1 and sizes[-1] < LEAST
+    if growing and len(sizes) > 1 and sizes[-1] < TAIL and sizes[-2] + sizes[-1] <= MOST:
+        sizes[-2:] = [sizes[-2] + sizes[-1]]
+    ends = list(accumulate(sizes))
+    return [(spans[end - size][0], spans[end - 1][1]) for size, end in zip(sizes, ends, strict=True)]
 
 
 def _structs(text: str, spans) -> list[dict]:
@@ -88,29 +74,33 @@ def character_windows(s: pd.Series) -> pd.Series:
     return s.map(lambda t: _structs(t, cut_windows(t)) if t else [])
 
 
-_MARK = re.compile(r"^[^\S\r\n  ]*(?:(\[\d+\]|\d+[.)](?=\s|$))|(\d+(?:\.\d+)+)[.)]?(?=\s|$))", re.M)
-_BREAK = re.compile(r"(?:\r\n|\r(?!\n)|[\n  ])((?:[^\S\r\n  ]*(?:\r\n|\r(?!\n)|[\n  ]))*)")
+_LINE = re.compile("[^\r\n\u2028\u2029]*(\r\n|[\r\n\u2028\u2029]|$)")
+_LABEL = re.compile(r"\s*(?:(?P<item>\[\d+\]|\d+[.)](?=\s|$))|(?P<under>\d+(?:\.\d+)*)\.(?P<number>\d+)[.)]?(?=\s|$))")
 
 
 def cut_paragraphs(text: str) -> list[tuple[int, int]]:
-    """Paragraphs: blank lines, paragraph separators and numbered starts divide; a dotted number only divides where
-    its neighbour under the same parent comes before or after it."""
-    starts, last = set(), {}
-    for m in _MARK.finditer(text):
-        if m[1]:
-            starts.add(m.start())
-            continue
-        parent, _, number = m[2].rpartition(".")
-        if parent in last and last[parent][0] + 1 == int(number):
-            starts |= {last[parent][1], m.start()}
-        last[parent] = (int(number), m.start())
-    out, start = [], 0
-    for m in _BREAK.finditer(text):
-        if m[1] or " " in m[0] or m.end() in starts:
-            if m.start() > start:
-                out.append((start, m.start()))
-            start = m.end()
-    return out + [(start, len(text))] if start < len(text) else out
+    """Paragraphs as (start, end): runs of lines with words. A blank line, a paragraph separator, an item label ([3],
+    3. or 3)) and a section number end a run; a number like 2.1 counts as a section only if the section before or after
+    it under the same 2 is its neighbour."""
+    lines = [m for m in _LINE.finditer(text) if m[0]]
+    labels = [_LABEL.match(m[0]) for m in lines]
+    sections: dict[str, list[tuple[int, int]]] = {}
+    for i, label in enumerate(labels):
+        if label and label["number"]:
+            sections.setdefault(label["under"], []).append((i, int(label["number"])))
+    opening = {i for i, label in enumerate(labels) if label and label["item"]}
+    for numbered in sections.values():
+        opening.update(i for (a, m), (b, n) in pairwise(numbered) if m + 1 == n for i in (a, b))
+    out: list[list[int]] = []
+    apart = True  # whether the next line with words begins a paragraph
+    for i, line in enumerate(lines):
+        end = line.start(1)
+        if line[0].strip():
+            if apart or i in opening:
+                out.append([line.start(), end])
+            out[-1][1] = end
+        apart = not line[0].strip() or line[1] == "\u2029"
+    return [(a, b) for a, b in out]
 
 
 @vectorised(SPANS)
