@@ -26,8 +26,8 @@ def test_index_terms():
 
 
 def test_queries_are_ranked_or_exact():
-    assert tx.is_ranked("duty of care") and tx.is_ranked("bread and butter")
-    assert not any(map(tx.is_ranked, ('"duty"', "duty /5 care", "a OR b", "neglig*", "-x", "?!")))
+    assert grammar.is_ranked("duty of care") and grammar.is_ranked("bread and butter")
+    assert not any(map(grammar.is_ranked, ('"duty"', "duty /5 care", "a OR b", "neglig*", "-x", "?!")))
     assert tx.query_terms("The duty, the DUTIES of care") == (["the", "duty", "of", "care"], ["duty", "care"])
 
 
@@ -95,11 +95,31 @@ def test_boolean_grammar(spark):
     assert ids("receipt*") == [1, 2, 3]
     assert ids('"receipt and" OR office') == [1, 3]
     assert ids("(receipt OR office) AND NOT dispatch") == [2, 3]
-    for bad in ("", "(a", "a)", "NOT", "a OR"):
+    assert ids("dispatch or office") == [1, 3] and ids("receipt and not dispatch") == [2]
+    assert ids("ｒｅｃｅｉｐｔ") == [1, 2] and ids("RECEIPT NOT NOT dispatch") == [1]
+    for bad in ("", "(a", "a)", "NOT", "a OR", 'a "b', 'a ""', "mid*dle", "*a", "AND a", "a AND AND b", "?!"):
         with pytest.raises(grammar.Syntax):
             grammar.parse_boolean(bad)
 
 
+def shape(tree):
+    near = f"{tree.kind}{tree.distance or ''}{'!' if tree.negated else ''}"
+    return tree.text if tree.op == "TERM" else (tree.op if tree.op != "NEAR" else near, *map(shape, tree.args))
+
+
+def test_proximity_precedence():
+    read = lambda q: shape(grammar.parse_proximity(q))
+    assert read("a /p b /3 c") == ("p", "a", ("n3", "b", "c")) and read("a /3 b /p c") == ("p", ("n3", "a", "b"), "c")
+    assert read("a /s b /p c /2 d OR e") == ("p", ("s", "a", "b"), ("n2", "c", ("OR", "d", "e")))
+    assert read('lease -"oral"') == read("lease -oral") == read("lease NOT oral") == read("-oral lease") == ("NOT", "lease", "oral")
+    assert read("lease - oral") == ("NOT", "lease", "oral") and read("a b NOT c d") == ("AND", ("AND", "a", ("NOT", "b", "c")), "d")
+    assert read("a /p NOT b") == read("NOT b /p a") == ("p!", "a", "b") and read("a /3 (b OR c)") == ("n3", "a", ("OR", "b", "c"))
+    assert read("a and b or c") == ("AND", "a", ("OR", "b", "c")) and read("exact(X y) a") == ("AND", "x y", "a")
+    for bad in ("NOT a NOT b", "a OR NOT b", "a -", 'a "b', 'a ""', "EXACT(a", "EXACT( )", "a /x b", "mid*dle", "a /1234 b", "a ) b", "/3 a"):
+        with pytest.raises(grammar.Syntax):
+            grammar.parse_proximity(bad)
+
+
 def test_proximity_grammar(spark):
     rows = [(1, 0, 0, i, w) for i, w in enumerate("the court gave written notice to all parties".split())] + [(2, 0, 0, 0, "notice"), (2, 1, 0, 0, "court")]
     tokens = tx.with_fold(spark.createDataFrame(rows, "doc int, para int, sent int, pos int, word string")).cache()
@@ -114,6 +134,9 @@ def test_proximity_grammar(spark):
     assert found("writ* OR gave") == [(1, 0, 2, 2), (1, 0, 3, 3)]
     assert found("notice AND court") == [(1, 0, 1, 1), (1, 0, 4, 4), (2, 0, 0, 0), (2, 1, 0, 0)]
     assert found("court /p gave /9 notice")[0] == (1, 0, 1, 4)
+    assert found("party /3 given OR gave") == [] and found("court -parties") == [(2, 1, 0, 0)]
+    few = grammar.hits(grammar.parse_proximity("notice -party"), tokens)
+    assert few.count() == 3 and grammar.search(grammar.parse_proximity("notice -party"), tokens).count() == 1
     for bad in ("", "a /3", "NOT a", "(a", "x " * 65):
         with pytest.raises(grammar.Syntax):
             grammar.parse_proximity(bad)

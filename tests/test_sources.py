@@ -71,7 +71,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").where("v = 'a'").count() == 1
 
 
-def test_stored_index(spark, sf, tmp_path):
+def test_stored_index(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 8)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     built = index.build(tx.with_fold(tx.exploded(docs, "doc_id")), "doc_id")
     index.write(built, str(tmp_path / "i"), 4)
@@ -80,7 +81,11 @@ def test_stored_index(spark, sf, tmp_path):
     want = search.top(search.bm25(built, terms), 5).collect()
     assert search.top(search.bm25(stored, terms), 5).collect() == want
     assert search.ranked_scan(docs, "license version the", 5, "doc_id").collect() == [type(r)(*r) for r in want]
-    plan = search.only(stored.postings, terms)._jdf.queryExecution().executedPlan().toString()
+    for k in (1, 5, 40, 10**6):
+        for first in (1, 16):
+            pruned = search.pruned_topk(stored, index.read_blocks(spark, str(tmp_path / "i")), terms, k, first).collect()
+            assert pruned == search.top(search.impacts(stored.postings, stored, terms), k).collect()
+    plan = search.only(stored.postings, terms, stored=True)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term" in plan
     assert search.missing(stored, ["the", "qqqq"]) == ["qqqq"]
 

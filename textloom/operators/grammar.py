@@ -1,20 +1,23 @@
 """Two query grammars, compiled to Column predicates and DataFrame plans.
 
-The boolean grammar tests one text: words, "phrases", prefix*, NOT, AND (also implied), OR (loosest), parentheses.
-The proximity grammar finds spans: OR, /n, /s, /p, NOT and AND, from tight to loose, all left-associative; EXACT(...)
-and * are literal; other words match any form with the same fold.
+The boolean grammar tests one text: words, "phrases", prefix*, NOT, AND (also implied), OR (loosest), parentheses;
+operators in any case. The proximity grammar finds spans. Its operators are, from tight to loose, OR, /n, /s, /p, NOT
+and AND (also implied), all left-associative; -term and -"phrase" stand for NOT; EXACT(...) and * are literal; other
+words match any form with the same fold. Both are read by one parser from a table of binding strengths.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CORPUS_WORD, fold
+from ..functions.text import CORPUS_WORD, fold, unaccent
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -31,72 +34,115 @@ class Syntax(ValueError):
     """A query that the grammar does not accept."""
 
 
+@dataclass(frozen=True)
+class Token:
+    kind: str  # TERM, NEAR, AND, OR, NOT, NEG, ( or )
+    term: Node | None = None
+    near: str = ""  # n, s or p
+    distance: int = 0
+
+
+class Parser:
+    """Reads tokens by binding strength. Operands that stand side by side are joined by AND."""
+
+    def __init__(self, tokens: list[Token], strength: dict[str, int], join):
+        self.tokens, self.strength, self.join, self.at = tokens, strength, join, 0
+
+    def tree(self) -> Node:
+        if not self.tokens:
+            raise Syntax("the query is empty")
+        out = self.climb(0)
+        if self.at < len(self.tokens):
+            raise Syntax("a parenthesis is closed twice")
+        return out
+
+    def operator(self) -> Token | None:
+        """The operator at this place; an implied AND takes no token."""
+        if self.at == len(self.tokens) or self.tokens[self.at].kind == ")":
+            return None
+        here = self.tokens[self.at]
+        return here if self.strength.get(here.near or here.kind) is not None else Token("AND")
+
+    def climb(self, least: int) -> Node:
+        left = self.operand()
+        while (op := self.operator()) and self.strength[op.near or op.kind] >= least:
+            self.at += op is self.tokens[self.at]
+            left = self.join(op, left, self.climb(self.strength[op.near or op.kind] + 1))
+        return left
+
+    def operand(self) -> Node:
+        if self.at == len(self.tokens):
+            raise Syntax("an operand is missing")
+        here = self.tokens[self.at]
+        self.at += 1
+        if here.kind == "TERM":
+            return here.term
+        if here.kind in ("NOT", "NEG"):
+            return Node("NOT", (self.operand(),))
+        if here.kind != "(":
+            raise Syntax("a word or a quoted phrase is expected")
+        inner = self.climb(0)
+        if self.at == len(self.tokens) or self.tokens[self.at].kind != ")":
+            raise Syntax("a parenthesis is open")
+        self.at += 1
+        return inner
+
+
+_PIECES = regex.compile(r"""(?P<quoted>"[^"]*")|(?P<open>")|(?P<paren>[()])|(?P<bare>[^\s()"]+)""")
+
+
+def _pieces(query: str):
+    """(kind, text) of quoted phrases, parentheses and bare words."""
+    for m in _PIECES.finditer(query):
+        if m.lastgroup == "open":
+            raise Syntax("a quotation mark is open")
+        yield m.lastgroup, m[0]
+
+
 # The boolean grammar.
 
 
+def compatible(text: str) -> str:
+    """A text as the boolean grammar compares it: compatibility composition, lower case."""
+    return unicodedata.normalize("NFKC", text).lower()
+
+
+def _boolean_term(kind: str, text: str) -> Node:
+    if kind == "quoted":
+        body = " ".join(compatible(text[1:-1]).split())
+        if not body:
+            raise Syntax("a quoted phrase is empty")
+    else:
+        body = compatible(text)
+        if "*" in body[:-1]:
+            raise Syntax("* stands at the end of a word only")
+    prefix = kind == "bare" and body.endswith("*")
+    parts = regex.findall(CORPUS_WORD, body.rstrip("*") if prefix else body)
+    if not parts:
+        raise Syntax(f"{text!r} has no letter or digit")
+    if kind == "quoted" or len(parts) > 1:
+        return Node("TERM", text=body, kind="phrase")
+    return Node("TERM", text=parts[0], kind="prefix" if prefix else "word")
+
+
 def parse_boolean(query: str) -> Node:
-    tokens = regex.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
-    at = 0
-
-    def peek():
-        return tokens[at] if at < len(tokens) else None
-
-    def either():
-        nonlocal at
-        out = [every()]
-        while peek() == "OR":
-            at += 1
-            out.append(every())
-        return out[0] if len(out) == 1 else Node("OR", tuple(out))
-
-    def every():
-        nonlocal at
-        out = []
-        while peek() not in (None, ")", "OR"):
-            if peek() == "AND":
-                at += 1
-                continue
-            out.append(one())
-        if not out:
-            raise Syntax("an operand is missing")
-        return out[0] if len(out) == 1 else Node("AND", tuple(out))
+    tokens = []
+    for kind, text in _pieces(query):
+        if kind == "paren" or kind == "bare" and text.upper() in ("AND", "OR", "NOT"):
+            tokens.append(Token(text.upper()))
+        else:
+            tokens.append(Token("TERM", _boolean_term(kind, text)))
 
-    def one():
-        nonlocal at
-        token = peek()
-        if token is None:
-            raise Syntax("an operand is missing")
-        at += 1
-        if token == "NOT":
-            return Node("NOT", (one(),))
-        if token == "(":
-            inner = either()
-            if peek() != ")":
-                raise Syntax("a parenthesis is open")
-            at += 1
-            return inner
-        if token == ")":
-            raise Syntax("a parenthesis is closed twice")
-        body = token.strip('"').lower()
-        if token.startswith('"'):
-            return Node("TERM", text=" ".join(body.split()), kind="phrase")
-        if body.endswith("*"):
-            return Node("TERM", text=body[:-1], kind="prefix")
-        parts = regex.findall(CORPUS_WORD, body)
-        if not parts:
-            raise Syntax(f"{token!r} has no word")
-        return Node("TERM", text=body, kind="word" if len(parts) == 1 and parts[0] == body else "phrase")
-
-    if not tokens:
-        raise Syntax("the query is empty")
-    tree = either()
-    if at < len(tokens):
-        raise Syntax("a parenthesis is closed twice")
-    return tree
+    def join(op: Token, left: Node, right: Node) -> Node:
+        same = left.args if left.op == op.kind else (left,)
+        return Node(op.kind, (*same, right))
+
+    return Parser(tokens, {"OR": 0, "AND": 1}, join).tree()
 
 
 def matches(tree: Node, text: Column, words: Column) -> Column:
-    """Whether a text satisfies the tree; words are its lower-case words, text is lower case."""
+    """Whether a text satisfies the tree; words are its lower-case words, text is lower case. Texts in compatibility forms
+    go through functions.text.corpus_form first, as queries do (see boolean_search)."""
     if tree.op == "TERM":
         if tree.kind == "word":
             return F.array_contains(words, tree.text)
@@ -139,88 +185,132 @@ def candidate_rows(tree: Node, postings: DataFrame, rows: DataFrame, key: str) -
 
 
 def boolean_search(texts: DataFrame, query: str, text: str = "text", words: str = "words") -> DataFrame:
+    """Rows whose text and words, lower-case and composed as `compatible` does it, satisfy the query."""
     return texts.where(matches(parse_boolean(query), F.lower(F.col(text)), F.col(words)))
 
 
+def is_ranked(query: str) -> bool:
+    """Whether a query is ranked by its words: no token of it is anything but a plain word. Small and/or are words here."""
+    try:
+        tokens = _proximity_tokens(" ".join(w for w in query.split() if w not in ("and", "or")))
+    except Syntax:
+        return False
+    plain = all(t.kind == "TERM" and t.term.kind == "word" for t in tokens)
+    return plain and any(regex.search(r"[\p{L}\p{N}]", t.term.text) for t in tokens)
+
+
 # The proximity grammar.
 
-_LEVELS = ("OR", "NEAR", "NOT", "AND")
+
+def _proximity_term(text: str, quoted: bool = False, exact: bool = False) -> Node:
+    body = text.strip()
+    if not body:
+        raise Syntax("EXACT( ) is empty" if exact else "a quoted phrase is empty")
+    if exact or quoted:
+        return Node("TERM", text=body.lower(), kind="exact" if exact else "phrase")
+    if body.startswith("/"):
+        raise Syntax("/p, /s or a number of words such as /5 is expected")
+    prefix = body.endswith("*")
+    stem = body[:-1] if prefix else body
+    if not stem or "*" in stem:
+        raise Syntax("* stands after a word only")
+    return Node("TERM", text=stem.lower(), kind="prefix" if prefix else "word")
+
+
+def _proximity_tokens(query: str) -> list[Token]:
+    tokens = []
+    rest = query.replace("“", '"').replace("”", '"')
+    while rest := rest.lstrip():
+        exact = re.match(r"exact\(([^)]*)(\))?", rest, re.I)
+        if exact:
+            if not exact[2]:
+                raise Syntax("the parenthesis of EXACT( is open")
+            tokens.append(Token("TERM", _proximity_term(exact[1], exact=True)))
+            rest = rest[exact.end() :]
+            continue
+        if rest[0] == "-" and len(rest) > 1 and not rest[1].isspace():
+            tokens.append(Token("NEG"))
+            rest = rest[1:]
+            continue
+        kind, text = next(_pieces(rest))
+        rest = rest[len(text) :]
+        near = re.fullmatch(r"/(\d{1,3}|[sp])", text, re.I)
+        if near:
+            counted = near[1].isdigit()
+            tokens.append(Token("NEAR", near="n" if counted else near[1].lower(), distance=int(near[1]) if counted else 0))
+        elif kind == "paren" or text == "-" or text == "NOT" or text.upper() in ("AND", "OR"):
+            tokens.append(Token("NEG" if text == "-" else text.upper()))
+        else:
+            tokens.append(Token("TERM", _proximity_term(text.strip('"') if kind == "quoted" else text, kind == "quoted")))
+    return tokens
+
+
+def _proximity_join(op: Token, left: Node, right: Node) -> Node:
+    """NOT beside an AND or a proximity operator becomes one operator with what must not stand there on the right."""
+    if op.kind == "NOT":
+        op, right = Token("AND"), Node("NOT", (right,))
+    negative = [len(n.args) == 1 for n in (left, right)]
+    if all(negative) or op.kind == "OR" and any(negative):
+        raise Syntax("each alternative needs something to find")
+    if negative[0]:
+        left, right = right, left
+    if any(negative):
+        (absent,) = right.args
+        if len(absent.args) == 1:
+            raise Syntax("NOT stands twice")
+        return Node("NOT", (left, absent)) if op.kind == "AND" else Node("NEAR", (left, absent), kind=op.near, distance=op.distance, negated=True)
+    return Node(op.kind, (left, right), kind=op.near, distance=op.distance)
 
 
 def parse_proximity(query: str, most_characters: int = 1024, most_tokens: int = 64) -> Node:
     if len(query) > most_characters:
         raise Syntax("the query is too long")
-    raw = regex.findall(r'EXACT\([^)]*\)|"[^"]*"|[“][^”]*[”]|\(|\)|[^\s()"]+', query)
-    if len(raw) > most_tokens:
+    tokens = _proximity_tokens(query)
+    if len(tokens) > most_tokens:
         raise Syntax("the query has too many words")
-    tokens: list[tuple] = []
-    for r in raw:
-        near = re.fullmatch(r"/(?:(\d{1,3})|([sp]))", r)
-        if r in "()":
-            tokens.append((r,))
-        elif near:
-            tokens.append(("NEAR", "n" if near[1] else near[2], int(near[1] or 0)))
-        elif r in ("AND", "OR", "NOT", "and", "or"):
-            tokens.append((r.upper(),))
-        else:
-            tokens.append(("TERM", _term(r)))
-    # Operands that stand side by side are joined by AND; NEAR NOT is one operator.
-    out: list[tuple] = []
-    for t in tokens:
-        if out and t[0] in ("TERM", "(") and out[-1][0] in ("TERM", ")"):
-            out.append(("AND",))
-        if t[0] == "NOT" and out and out[-1][0] == "NEAR":
-            out[-1] = (*out[-1], True)
-            continue
-        out.append(t)
-    at = 0
-
-    def climb(level: int) -> Node:
-        nonlocal at
-        if level < 0:
-            return atom()
-        left = climb(level - 1)
-        while at < len(out) and out[at][0] == _LEVELS[level]:
-            op = out[at]
-            at += 1
-            right = climb(level - 1)
-            left = Node("NEAR", (left, right), kind=op[1], distance=op[2], negated=len(op) > 3) if op[0] == "NEAR" else Node(op[0], (left, right))
-        return left
-
-    def atom() -> Node:
-        nonlocal at
-        if at >= len(out):
-            raise Syntax("an operand is missing")
-        t = out[at]
-        at += 1
-        if t[0] == "TERM":
-            return t[1]
-        if t[0] != "(":
-            raise Syntax(f"{t[0]} has no operand")
-        inner = climb(3)
-        if at >= len(out) or out[at][0] != ")":
-            raise Syntax("a parenthesis is open")
-        at += 1
-        return inner
-
-    if not out:
-        raise Syntax("the query is empty")
-    tree = climb(3)
-    if at < len(out):
-        raise Syntax("a parenthesis is closed twice")
-    if not positive(tree):
+    tree = Parser(tokens, {"AND": 0, "NOT": 1, "p": 2, "s": 3, "n": 4, "OR": 5}, _proximity_join).tree()
+    if len(tree.args) == 1 or not positive(tree):
         raise Syntax("nothing is asked for")
     return tree
 
 
-def _term(raw: str) -> Node:
-    if raw.startswith("EXACT("):
-        return Node("TERM", text=raw[6:-1].strip().lower(), kind="exact")
-    quoted = raw[0] in '"“'
-    body = raw.strip('"“”').lower()
-    if body.endswith("*") and not quoted:
-        return Node("TERM", text=body[:-1], kind="prefix")
-    return Node("TERM", text=body, kind="phrase" if quoted else "word")
+def terms_of(tree: Node) -> list[Node]:
+    return [tree] if tree.op == "TERM" else [t for a in tree.args for t in terms_of(a)]
+
+
+def _parts(term: Node) -> list[str]:
+    return regex.findall(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*", term.text)
+
+
+def beginnings(words: list[str]) -> str:
+    """A pattern of the letters with which every form of these words begins: a fold changes two letters at most."""
+    return "|".join(dict.fromkeys(regex.escape(fold(w)[: max(1, len(fold(w)) - 2)]) for w in words)) or "(?!)"
+
+
+def lines_with(lines: DataFrame, tree: Node, text: str = "line") -> DataFrame:
+    """The lines that can hold any word of the query, also one that must not stand there."""
+    words = [p[:-1] if t.kind == "prefix" and len(p) > 1 else p for t in terms_of(tree) for p in _parts(t)]
+    return lines.where(unaccent(F.lower(F.col(text))).rlike(beginnings(words)))
+
+
+def hits(tree: Node, tokens: DataFrame) -> DataFrame:
+    """The tokens that any term of the query names, written: every operator above reads them instead of the texts."""
+    terms = terms_of(tree)
+    folded = {fold(p) for t in terms if t.kind in ("word", "phrase") for p in _parts(t)}
+    asked = tokens.sparkSession.createDataFrame([(f, True) for f in sorted(folded)] or [("", False)], "__key string, __met boolean")
+    rows = tokens.join(F.broadcast(asked), F.col("term") == F.col("__key"), "left")  # outer: a filter would be pushed below the fold
+    literal = F.lit(False)
+    for t in terms:
+        if t.kind == "prefix":
+            literal = literal | F.startswith(F.lower("word"), F.lit(t.text))
+        elif t.kind == "exact":
+            literal = literal | F.lower("word").isin(_parts(t))
+    return written(rows.where(F.coalesce("__met", F.lit(False)) | literal).drop("__key", "__met"))
+
+
+def search(tree: Node, tokens: DataFrame, most: int = 1000) -> DataFrame:
+    """Spans of a parsed query, over the few tokens that it names."""
+    return spans(tree, hits(tree, tokens), most)
 
 
 def positive(tree: Node) -> bool:

@@ -21,6 +21,7 @@ class Index:
     postings: DataFrame
     passages: DataFrame
     dictionary: DataFrame
+    stored: bool = False  # read from a written index, where a filter on terms prunes files
 
 
 def build(tokens: DataFrame, unit: str = "pid", term: str = "term") -> Index:
@@ -69,9 +70,17 @@ def gaps(postings: DataFrame) -> DataFrame:
     return postings.withColumn("gap", F.col("pid") - F.coalesce(F.lag("pid").over(before), F.lit(-1)) - 1)
 
 
+BLOCK = 256  # units whose greatest impact is kept for each term
+
+
 def write(index: Index, path: str, buckets: int = 64) -> None:
-    """Postings sorted by term inside range partitions, so that a query's terms prune files and row groups."""
-    index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "pid").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    """Postings with impacts, sorted by term and unit inside range partitions, so that a query's terms prune files and
+    row groups; the greatest impact of each term in each block of units; statistics as a manifest."""
+    postings = with_impacts(index).join(index.postings, ["term", "pid"]).withColumn("block", F.expr(f"pid div {BLOCK}"))
+    postings.repartitionByRange(buckets, "term", "pid").sortWithinPartitions("term", "pid").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    kept = index.passages.sparkSession.read.parquet(f"{path}/postings")
+    most = kept.groupBy("term", "block").agg(F.max("q").alias("most"))
+    most.repartitionByRange(max(1, buckets // 8), "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     index.passages.write.mode("overwrite").parquet(f"{path}/passages")
     index.dictionary.repartitionByRange(max(1, buckets // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
     stats = statistics(index.passages).withColumn("k1", F.lit(K1)).withColumn("b", F.lit(B))
@@ -79,7 +88,12 @@ def write(index: Index, path: str, buckets: int = 64) -> None:
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "passages", "dictionary")))
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "passages", "dictionary")), stored=True)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(term, block, most) of a written index."""
+    return spark.read.parquet(f"{path}/blocks")
 
 
 def describe(index: Index) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import phrase_form
+from ..sources.scratch import written
 from .index import LEVELS, Index, idf, norm, saturation, statistics
 
 
-def only(rows: DataFrame, terms: list[str]) -> DataFrame:
+def only(rows: DataFrame, terms: list[str], stored: bool = False) -> DataFrame:
     """Rows of the query's terms. On a stored table a filter, which prunes files; on computed terms a join with the
     few terms, for a filter would be pushed below the fold and repeat all of it."""
-    plan = rows.select("term")._jdf.queryExecution().optimizedPlan()
-    if "LogicalRelation" in (plan.nodeName(), *(plan.children().apply(i).nodeName() for i in range(plan.children().size()))):
+    if stored:
         return rows.where(F.col("term").isin(terms))
     asked = rows.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(terms)], "term string")
     return rows.join(F.broadcast(asked), "term").select(rows.columns)  # inner: a semi-join would be pushed down too
@@ -22,9 +22,9 @@ def only(rows: DataFrame, terms: list[str]) -> DataFrame:
 
 def chosen(index: Index, terms: list[str]) -> DataFrame:
     """Postings of the query's terms with the terms' idf; what is joined has a row for each query term."""
-    known = only(index.dictionary, terms).join(F.broadcast(statistics(index.passages)))
+    known = only(index.dictionary, terms, index.stored).join(F.broadcast(statistics(index.passages)))
     known = known.select("term", idf(F.col("units"), F.col("df")).alias("idf"), "avgdl")
-    return only(index.postings, terms).join(F.broadcast(known), "term")
+    return only(index.postings, terms, index.stored).join(F.broadcast(known), "term")
 
 
 def missing(index: Index, terms: list[str]) -> list[str]:
@@ -41,7 +41,7 @@ def bm25(index: Index, terms: list[str], digits: int = 6) -> DataFrame:
 
 def impacts(postings: DataFrame, index: Index, terms: list[str], digits: int = 6) -> DataFrame:
     """(pid, score) as the sum of idf times impact level; postings has q."""
-    quantised = Index(postings, index.passages, index.dictionary)
+    quantised = Index(postings, index.passages, index.dictionary, index.stored)
     return chosen(quantised, terms).groupBy("pid").agg(F.round(F.sum(F.col("idf") * F.col("q")), digits).alias("score"))
 
 
@@ -132,22 +132,50 @@ def materialised(rows: DataFrame, wide: DataFrame, key: str, k: int, *order: Col
     return F.broadcast(rows.orderBy(*order).limit(k)).join(wide, key)  # k rows
 
 
+def asked_words(units: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """(key, len, words) of every unit with words: how many it has, and those that begin like a form of a term."""
+    from ..functions.text import TAB_WORD, unaccent, words
+    from .grammar import beginnings
+
+    begin = rf"(?={beginnings(terms)})(?<![\p{{L}}\p{{N}}]\p{{M}}{{0,8}})[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*"
+    likely = words(unaccent(F.lower(F.col(text))), begin)
+    return units.select(key, F.least(F.size(words(F.col(text), TAB_WORD)), F.lit(65535)).alias("len"), likely.alias("words")).where("len > 0")
+
+
 def ranked_scan(units: DataFrame, query: str, k: int, key: str = "pid", text: str = "text", digits: int = 6) -> DataFrame:
-    """The k best units (key, score) of a ranked query over plain texts, without an index: one pass finds the query's
-    words and carries each unit's length along; the statistics that meet them have a row for each query term."""
-    from ..functions.text import query_terms, with_fold, words
+    """The k best units (key, score) of a ranked query over plain texts, without an index. Texts are read once: what
+    remains of a unit is its length and the words that may be asked for; folds, counts and statistics read that."""
+    from ..functions.text import query_terms, with_fold
 
     terms, _ = query_terms(query)
-    sized = units.select(key, words(F.col(text)).alias("__ws")).withColumn("len", F.least(F.size("__ws"), F.lit(65535)))
-    hits = only(with_fold(sized.select(key, "len", F.explode_outer("__ws").alias("word"))), terms)
+    asked = written(asked_words(units, terms, key, text))
+    hits = only(with_fold(asked.select(key, "len", F.explode_outer("words").alias("word"))), terms)
     hits = hits.groupBy(key, "len", "term").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("tf"))
-    stats = sized.agg(F.count(F.lit(1)).alias("units"), F.avg("len").alias("avgdl"))
+    stats = asked.agg(F.count(F.lit(1)).alias("units"), F.avg("len").alias("avgdl"))
     known = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).select("term", idf(F.col("units"), F.col("df")).alias("idf"), "avgdl")
     part = F.col("idf") * saturation(F.col("tf"), norm(F.col("len"), F.col("avgdl")))
     scores = hits.join(F.broadcast(known), "term").groupBy(key).agg(F.round(F.sum(part), digits).alias("score"))
     return top(scores, k, key)
 
 
+def pruned_topk(index: Index, blocks: DataFrame, terms: list[str], k: int, first: int = 16, digits: int = 6) -> DataFrame:
+    """The k best units (pid, score) by impacts in a stored index, reading few blocks of units.
+
+    blocks has the greatest level of a term in each block of units; weighted and summed, they bound every score of the
+    block. The `first` blocks of greatest bound are scored, their k-th score is a threshold, and then only blocks whose
+    bound reaches it are read. The result is that of all blocks.
+    """
+    known = only(index.dictionary, terms, True).join(F.broadcast(statistics(index.passages))).select("term", idf(F.col("units"), F.col("df")).alias("idf"))
+    known = written(known)  # a row for each query term
+    bounds = written(only(blocks, terms, True).join(F.broadcast(known), "term").groupBy("block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound")))
+    postings = only(index.postings, terms, True).join(F.broadcast(known), "term")
+    scored = lambda some: postings.join(some, "block", "left_semi").groupBy("pid").agg(F.round(F.sum(F.col("idf") * F.col("q")), digits).alias("score"))
+    leading = top(bounds.withColumnRenamed("block", "pid"), first, score="bound").select(F.col("pid").alias("block"))
+    sure = top(scored(leading), k).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).first()  # one row
+    rest = bounds.where(F.col("bound") >= sure["least"] - 10**-digits) if sure["n"] == k else bounds
+    return top(scored(rest.select("block")), k)
+
+
 def with_tail(indexed: DataFrame, candidates: DataFrame | None, processed: int, key: str, order: str) -> DataFrame:
     """Rows that the index names as candidates, and all rows that it has not seen yet (order from `processed` on)."""
     done, tail = indexed.where(F.col(order) < processed), indexed.where(F.col(order) >= processed)

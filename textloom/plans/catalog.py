@@ -25,6 +25,7 @@ def query(sql: str | None = None, name: str | None = None, raw: bool = False):
                 df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
                 return spread(df, TEXTS[t]) if t in TEXTS and not raw else df
 
+            table.place = sf_dir
             return f(spark, table)
 
         QUERIES[key] = run

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..operators import grammar, index, metrics, nearest, passages, search
 from ..sources import readers
+from ..sources.scratch import folder
 from .catalog import query
 
 ASKED = "apache license version of the thering"
@@ -49,15 +50,18 @@ def doc_tokens(t):
     return tx.with_fold(tx.exploded(t("documents"), "doc_id"))
 
 
-def line_tokens(t):
-    """Tokens (doc, para, sent, pos, word, term); a sentence ends with a word that has . ! or ? after it."""
+def line_tokens(t, tree=None):
+    """Tokens (doc, para, sent, pos, word, term); a sentence ends with a word that has . ! or ? after it. With a query's
+    tree, only those of lines that can hold a word of it."""
     lines = passages.lines(t("documents"), F.col("doc_id").alias("doc"))
-    found = F.regexp_extract_all("line", F.lit(f"{WORD}|[.!?]"), F.lit(0))
-    rows = lines.select("doc", "para", F.posexplode_outer(found).alias("at", "word")).where("word IS NOT NULL")
-    order = Window.partitionBy("doc", "para").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.col("word").isin(".", "!", "?")
-    rows = rows.withColumn("sent", F.sum(stop.cast("int")).over(order)).withColumn("pos", F.sum((~stop).cast("int")).over(order) - 1).where(~stop)
-    return tx.with_fold(rows.select("doc", "para", "sent", "pos", "word"))
+    lines = lines if tree is None else grammar.lines_with(lines, tree)
+    # Places are known inside the line: the words of each sentence, and how many come before it.
+    found = F.transform(F.split("line", "[.!?]"), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))
+    rows = lines.select("doc", "para", found.alias("found"))
+    before = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.aggregate(F.slice("found", F.lit(1), i), F.lit(0), lambda n, s: n + F.size(s)))
+    rows = rows.select("doc", "para", F.posexplode_outer(F.arrays_zip("found", before.alias("before"))).alias("sent", "s"))
+    rows = rows.select("doc", "para", "sent", F.col("s.before").alias("before"), F.posexplode_outer("s.found").alias("at", "word")).where("word IS NOT NULL")
+    return tx.with_fold(rows.select("doc", "para", "sent", (F.col("before") + F.col("at")).alias("pos"), "word"))
 
 
 # The same tokens in SQL, with sentences.
@@ -125,10 +129,10 @@ def bm25_topk(spark, t):
     return search.ranked_scan(t("documents"), ASKED, 10, "doc_id")
 
 
-@query(f"WITH {LINE_TOKENS}, u AS (SELECT doc_id * 10000 + para AS pid, term FROM ft), {bm25_sql('u', 'pid', 20)}")
+@query(f"WITH {LINE_TOKENS}, u AS (SELECT doc_id::BIGINT * 1048576 + para AS pid, term FROM ft), {bm25_sql('u', 'pid', 20)}")
 def bm25_by_line(spark, t):
     lines = passages.lines(t("documents"), "doc_id")
-    units = lines.select((F.col("doc_id") * 10000 + F.col("para")).alias("pid"), F.col("line").alias("text")).where(F.size(tx.words(F.col("text"))) > 0)
+    units = lines.select((F.col("doc_id").cast("long") * (1 << 20) + F.col("para")).alias("pid"), F.col("line").alias("text")).where(F.size(tx.words(F.col("text"))) > 0)
     return search.ranked_scan(units, ASKED, 20)
 
 
@@ -148,6 +152,31 @@ def impact_topk(spark, t):
     return search.top(search.impacts(postings, built, TERMS), 100)
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark, t) -> str:
+    """The place of the stored index of a session's documents, written at the first call."""
+    known = (spark.sparkContext.applicationId, t.place)
+    if known not in _STORED:
+        place = folder(spark)
+        index.write(index.build(doc_tokens(t), "doc_id"), place, max(4, spark.sparkContext.defaultParallelism))
+        _STORED[known] = place
+    return _STORED[known]
+
+
+@query(f"WITH {IMPACTS}, df AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st WHERE term IN ({_LIST}) GROUP BY term, n) SELECT pid, round(sum(idf * q), 6) AS score FROM im JOIN df USING (term) GROUP BY pid ORDER BY score DESC, pid LIMIT 10")
+def stored_index_topk(spark, t):
+    """Top units read from a stored index, pruned by the maxima of its blocks."""
+    place = stored(spark, t)
+    return search.pruned_topk(index.read(spark, place), index.read_blocks(spark, place), TERMS, 10)
+
+
+@query(f"WITH {TOKENS}, {bm25_sql('ft', 'doc_id', 10).replace('SELECT doc_id, round', 'SELECT doc_id AS pid, round')}")
+def stored_index_bm25(spark, t):
+    return search.top(search.bm25(index.read(spark, stored(spark, t)), TERMS), 10)
+
+
 @query(f"WITH {IMPACTS} SELECT term, pid, q FROM im WHERE term IN ({_LIST})")
 def impact_levels(spark, t):
     _, postings = _impacts(t)
@@ -165,7 +194,7 @@ def index_stats(spark, t):
     return index.describe(index.build(doc_tokens(t), "doc_id")).select("units", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
 
 
-PASSAGES = f"""WITH {LINE_TOKENS}, u AS (SELECT doc_id, doc_id * 10000 + para AS pid, term FROM ft),
+PASSAGES = f"""WITH {LINE_TOKENS}, u AS (SELECT doc_id, doc_id::BIGINT * 1048576 + para AS pid, term FROM ft),
 tf AS (SELECT pid, doc_id, term, least(count(*), 255) AS tf FROM u GROUP BY ALL), len AS (SELECT pid, least(count(*), 65535) AS len FROM u GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len) AS l FROM len),
 df AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st WHERE term IN ({_LIST}) GROUP BY term, n),
 hit AS (SELECT doc_id AS doc, pid, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / l))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (pid), st GROUP BY ALL ORDER BY score DESC, pid LIMIT 100)"""
@@ -173,9 +202,9 @@ hit AS (SELECT doc_id AS doc, pid, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25
 
 def _line_hits(t, k: int = 100):
     tokens = tx.with_fold(tx.exploded(passages.lines(t("documents"), "doc_id"), "doc_id", "para", text="line"))
-    units = tokens.select((F.col("doc_id") * 10000 + F.col("para")).alias("pid"), "term")
+    units = tokens.select((F.col("doc_id").cast("long") * (1 << 20) + F.col("para")).alias("pid"), "term")
     hits = search.top(search.bm25(index.build(units), TERMS), k)
-    return hits.withColumn("doc", F.expr("pid div 10000"))
+    return hits.withColumn("doc", F.expr("pid div 1048576"))
 
 
 @query(f"{PASSAGES} SELECT doc, max(score) AS best, list(pid ORDER BY score DESC, pid)::VARCHAR AS passages FROM hit GROUP BY doc")
@@ -243,7 +272,8 @@ def near_sql(left: str, right: str, on: str) -> str:
 
 
 def _near(t, asked: str):
-    found = grammar.spans(grammar.parse_proximity(asked), line_tokens(t))
+    tree = grammar.parse_proximity(asked)
+    found = grammar.search(tree, line_tokens(t, tree))
     return found.select("doc", "para", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
@@ -274,7 +304,7 @@ def doc_level_not(spark, t):
 
 @query(f"WITH {SENTENCE_TOKENS}, h AS (SELECT doc_id AS doc, para, pos AS s, pos + 3 AS e FROM ft WHERE term IN ('the', 'of')), m AS (SELECT *, max(e) OVER (PARTITION BY doc, para ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM h), i AS (SELECT *, sum((far IS NULL OR s > far)::INT) OVER (PARTITION BY doc, para ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT doc, para::INT AS para, min(s)::BIGINT AS \"start\", max(e)::BIGINT AS \"end\", count(*)::BIGINT AS parts FROM i GROUP BY doc, para, g")
 def merge_hits(spark, t):
-    hits = search.only(line_tokens(t), ["the", "of"]).select("doc", "para", F.col("pos").cast("long").alias("start"), (F.col("pos") + 3).cast("long").alias("end"))
+    hits = search.only(line_tokens(t, grammar.parse_proximity("the OR of")), ["the", "of"]).select("doc", "para", F.col("pos").cast("long").alias("start"), (F.col("pos") + 3).cast("long").alias("end"))
     return passages.merged(hits, "doc", "para")
 
 
