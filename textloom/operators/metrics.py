@@ -39,3 +39,26 @@ def report(rows: DataFrame, group: Column, *measures: Column) -> DataFrame:
 
 def majority_split(rows: DataFrame, group: str, *conditions: tuple[str, Column]) -> DataFrame:
     return rows.groupBy(group).agg(*[F.sum(c.cast("int")).alias(name) for name, c in conditions])
+
+
+def receipts(cases: DataFrame, family: str, checks: dict[str, Column]) -> DataFrame:
+    """(family, cases, passed, failed_…) of evaluated cases: a case passes if all its checks hold; an unknown check fails."""
+    held = {name: F.coalesce(c, F.lit(False)) for name, c in checks.items()}
+    every = F.lit(True)
+    for c in held.values():
+        every = every & c
+    failed = [F.sum((~c).cast("int")).alias(f"failed_{name}") for name, c in held.items()]
+    return cases.groupBy(family).agg(F.count(F.lit(1)).alias("cases"), F.sum(every.cast("int")).alias("passed"), *failed)
+
+
+def resolution_audit(asked: DataFrame, found: DataFrame, key: str, family: str) -> DataFrame:
+    """(family, exact, consolidated, wrong, ambiguous, missing) of requests (key, family, expected, consolidated) and
+    what they resolved to (key, id): one id that is expected, one that the expected instrument was consolidated into,
+    another one, several, none."""
+    ids = found.groupBy(key).agg(F.min("id").alias("__low"), F.max("id").alias("__high"))
+    rows = asked.join(ids, key, "left")
+    several, one = F.col("__low") < F.col("__high"), F.col("__low") == F.col("__high")
+    exact = one & F.col("__low").eqNullSafe(F.col("expected"))
+    later = one & ~exact & F.col("__low").eqNullSafe(F.col("consolidated"))
+    kinds = {"exact": exact, "consolidated": later, "wrong": one & ~exact & ~later, "ambiguous": several, "missing": F.col("__low").isNull()}
+    return rows.groupBy(family).agg(*[F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(name) for name, c in kinds.items()])

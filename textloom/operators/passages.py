@@ -109,14 +109,22 @@ def paragraphs(s: pd.Series) -> pd.Series:
 
 
 # Abbreviations that end no sentence.
-ABBREVIATIONS = "mr mrs ms dr prof hon st no nos art arts para paras s ss c ch p pp v vs inc ltd co corp jr sr e.g i.e etc al cf"
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof Mme Mlle M Me Mtre v vs No Nos para paras s ss art arts al"
+LONGEST = 1200  # characters of a sentence unit
+_PIECE = r"(?s).{1,600}.{0,600}$|.{600}.{1,600} |.{1,600}.{0,600}"
 
 
 def sentences(col: Column) -> Column:
-    """Sentences of a text: cut after . ! ? and a space, unless an abbreviation or one letter stands before."""
-    short = "|".join(re.escape(a) for a in ABBREVIATIONS.split())
-    marked = F.regexp_replace(col, rf"(?i)(?<!\b(?:{short}|\p{{L}})\.)(?<=[.!?])\s+", "\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences of a text: cut at white space after . ! ? and closing signs, unless an abbreviation stands before it, a
+    small letter after it, or initials (A.B.) before it and a digit after it. Blank lines divide too. What is longer
+    than LONGEST goes in pieces, cut at the last space after half of that."""
+    short = "|".join(ABBREVIATIONS.split())
+    apart = r"(?<![\p{L}\p{N}])"
+    initials = rf"(?:(?<!{apart}[A-Z]\.[A-Z]\.)|(?!\s+[0-9]))"
+    cut = rf"(?<=[.!?][\"'’”)]{{0,3}})(?<!{apart}(?i:{short})\.){initials}\s+(?!\s|\p{{Ll}})|\n\s*\n"
+    units = F.transform(F.split(F.regexp_replace(col, cut, "\u0001"), "\u0001"), lambda s: F.trim(s))
+    pieces = F.transform(units, lambda s: F.when(F.length(s) <= LONGEST, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(_PIECE), F.lit(0))))
+    return F.filter(F.transform(F.flatten(pieces), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -158,9 +166,9 @@ def marks(hits: Column, start: Column, width: int = 460, most: int = 50) -> Colu
     return F.slice(F.transform(inside, lambda h: F.struct((h["start"] - start).alias("start"), (h["end"] - start).alias("end"))), 1, most)
 
 
-def ends(units: DataFrame, *keys: str, start: str = "start", total: str = "total") -> DataFrame:
-    """Units that end where the next one starts, the last with the whole."""
-    return units.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(*keys).orderBy(start)), F.col(total)))
+def ends(units: DataFrame, *keys: str, start: str = "start", total: str = "total", tie: tuple[str, ...] = ()) -> DataFrame:
+    """Units that end where the next one starts, the last with the whole; units of one start go by `tie`."""
+    return units.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(*keys).orderBy(start, *tie)), F.col(total)))
 
 
 def containing(points: DataFrame, ranges: DataFrame, point: str, first: str, *keys: str) -> DataFrame:
@@ -172,17 +180,50 @@ def containing(points: DataFrame, ranges: DataFrame, point: str, first: str, *ke
     return both.withColumn(first, F.last("__start", ignorenulls=True).over(order)).where("__kind = 1").drop("__start", "__kind")
 
 
-def longest_run(values: list[int], step: int = 2, first: int = 3) -> list[int]:
-    """Indices of the longest ascending run of printed numbers: it starts at most at `first`, steps by at most `step`."""
-    best: list[int] = []
-    chains: dict[int, list[int]] = {}
-    for i, v in enumerate(values):
-        options = [chains[v - s] for s in range(1, step + 1) if v - s in chains]
-        chain = [*max(options, key=len), i] if options else [i] if v <= first else None
-        if chain and len(chain) > len(chains.get(v, [])):
-            chains[v] = chain
-            best = chain if len(chain) > len(best) else best
-    return best
+def longest_run(values: list[int], step: int = 2, first: int = 3, least: int = 3) -> list[int]:
+    """Indices of the longest run of printed numbers, the earliest of equal ones; none under `least` items.
+
+    A run starts with a number up to `first` and takes, going on, the next number that is greater by 1 to `step`, also
+    where leaving that one out would make it longer. Read from the end, so that each number knows what follows it.
+    """
+    after: dict[int, int] = {}  # the nearest place of a number to the right
+    follows, length = [-1] * len(values), [1] * len(values)
+    for i in range(len(values) - 1, -1, -1):
+        near = [after[values[i] + d] for d in range(1, step + 1) if values[i] + d in after]
+        if near:
+            follows[i] = min(near)
+            length[i] += length[follows[i]]
+        after[values[i]] = i
+    i = max((j for j, v in enumerate(values) if v <= first), key=lambda j: (length[j], -j), default=-1)
+    out = []
+    while i >= 0:
+        out.append(i)
+        i = follows[i]
+    return out if len(out) >= least else []
+
+
+@vectorised("array<int>")
+def longest_runs(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: longest_run([int(x) for x in v]))
+
+
+def overlapping(selections: DataFrame, units: DataFrame, *keys: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Selections (keys, s_id, start, end) with the units (keys, u_id, start, end) that they overlap, half open; what is
+    empty overlaps nothing."""
+    a = selections.where(F.col(start) < F.col(end)).select(*keys, "s_id", F.col(start).alias("__s"), F.col(end).alias("__e"))
+    b = units.where(F.col(start) < F.col(end)).select(*keys, "u_id", F.col(start).alias("__from"), F.col(end).alias("__to"))
+    return a.join(b, list(keys)).where("__s < __to AND __from < __e").select(*keys, "s_id", "u_id")
+
+
+def numbered(lines: DataFrame, *keys: str, text: str = "line", longer: int = 200, many: int = 20, share: float = 0.3) -> DataFrame:
+    """Keys whose paragraph numbers are accepted: `many` of the long lines have one, or `share` of them."""
+    long = lines.where(F.length(text) > longer).groupBy(*keys).agg(F.count(F.lit(1)).alias("long"), F.sum(F.col(text).rlike(r"^\s*(?:\[[0-9]{1,4}\]|[0-9]{1,4}[.)])\s").cast("int")).alias("hit"))
+    return long.where((F.col("hit") >= many) | (F.col("hit") >= share * F.col("long"))).select(*keys)
+
+
+def intact(text: Column, start: Column, end: Column, quote: Column) -> Column:
+    """Whether a quotation still stands where it was taken from."""
+    return F.coalesce(F.substring(text, start + 1, end - start) == quote, F.lit(False))
 
 
 def consecutive(df: DataFrame, *keys: str, value: str, order: str, least: int = 3) -> DataFrame:

@@ -87,3 +87,13 @@ def merged_maps(ours: Column, theirs: Column) -> Column:
 
 def plausible(rows: DataFrame, base_year: str = "base_year", year: str = "year") -> DataFrame:
     return rows.where(F.abs(F.col(base_year) - F.col(year)) <= 1)
+
+
+def labelled(rows: DataFrame, *keys: str, label: str = "label", year: str = "year") -> DataFrame:
+    """One row for each key: its longest label, of equal ones the first in order, and its earliest year."""
+    return rows.groupBy(*keys).agg(F.min_by(label, F.struct(-F.length(label), label)).alias(label), F.min(year).alias(year))
+
+
+def united(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Both corpora under one key with `corpus` 1 or 2; a key of both is taken from the first. Repeated keys stay."""
+    return first.withColumn("corpus", F.lit(1)).unionByName(second.join(first.select(key).distinct(), key, "left_anti").withColumn("corpus", F.lit(2)))

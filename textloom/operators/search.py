@@ -195,3 +195,17 @@ def snippet(text: Column, at: Column, width: int = 600) -> Column:
     body = F.substring(text, start + 1, F.lit(width))
     body = F.when(start > 0, F.regexp_replace(body, r"^\S*\s+", "")).otherwise(body)
     return F.when(F.length(text) > start + width, F.regexp_replace(body, r"\s+\S*$", "")).otherwise(body)
+
+
+def places(rows: DataFrame, *order: Column, to: str = "place") -> DataFrame:
+    """rows with their place from 1 in a total order. Ranges of the order are sorted each in its own task, and the
+    counts of the ranges say where each begins."""
+    cut = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)  # its upper bits are the partition, its lower ones the row there
+    first, start = [], 0
+    for n, many in sorted((r[0], r[1]) for r in cut.groupBy(part.alias("n")).count().collect()):  # one row for each partition
+        first.append((n, start))
+        start += many
+    begins = cut.sparkSession.createDataFrame(first, "__part long, __first long")
+    out = cut.withColumn("__part", part).join(F.broadcast(begins), "__part")
+    return out.withColumn(to, F.expr("__first + (__at & 8589934591L) + 1")).drop("__at", "__part", "__first")

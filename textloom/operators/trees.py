@@ -10,19 +10,19 @@ from ..functions.locators import ancestors
 from ..sources.scratch import written
 
 
-def closure(folders: DataFrame, key: str = "id", parent: str = "parent", levels: int = 64) -> DataFrame:
+def closure(folders: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """(id, ancestor, distance) with each node as its own at distance 0. Each round doubles the reach, so a path of n
-    steps takes log n joins; a path ends at a missing parent or where it meets itself."""
+    steps takes log n joins, until nothing changes; a path ends at a missing parent or where it meets itself."""
     nodes = folders.select(F.col(key).alias("id"), F.col(parent).alias("up"))
     known = nodes.select(F.col("id").alias("__known"))
-    steps = nodes.join(known, F.col("up") == F.col("__known")).select("id", F.col("up").alias("ancestor"), F.lit(1).alias("distance")).where("id <> ancestor")
-    out, reach = steps, 1
-    while reach < levels:
+    out = written(nodes.join(known, F.col("up") == F.col("__known")).select("id", F.col("up").alias("ancestor"), F.lit(1).alias("distance")).where("id <> ancestor"))
+    held = out.count()
+    while True:
         more = out.alias("a").join(out.alias("b"), F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        grown = written(out.unionByName(more).where("id <> ancestor").groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
-        if grown.count() == out.count():
+        out = written(out.unionByName(more).where("id <> ancestor").groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
+        before, held = held, out.count()
+        if held == before:
             break
-        out, reach = grown, reach * 2
     return out.unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import locators
+from ..functions import dates, locators
 from ..functions import text as tx
-from ..operators import events, metrics, nearest, passages, resolve, search, trees
+from ..operators import events, metrics, nearest, passages, resolve, search
 from ..sources import writers
 from ..streaming import incremental
 from .catalog import query
@@ -88,34 +88,45 @@ def event_views(spark, t):
     return shown.groupBy("view").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, 9 AS d_start, 33 AS d_end, '2024-01-0' || (doc_id % 5 + 1) AS date, '2024-02-01' AS date_end FROM documents WHERE doc_id < 50")
+@query("SELECT o_orderkey AS id, 10 AS d_start, CASE WHEN o_orderkey % 3 = 1 THEN 32 ELSE 34 END AS d_end, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') AS date_end FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 5 > 0")
 def date_ranges(spark, t):
-    said = F.concat(F.lit("Closed on 2024-01-0"), (F.col("doc_id") % 5 + 1).cast("string"), F.lit(" to 2024-02-01, and 2024-03-01."))
-    rows = t("documents").where("doc_id < 50").select("doc_id", said.substr(2, 99).alias("text"))
-    day = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    places = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.length("text") - 10), lambda i: F.struct(i.alias("d_start"), (i + 10).alias("d_end"), F.substring(F.col("text"), i + 1, F.lit(10)).alias("date"))), lambda x: x["date"].rlike(f"^{day}$")))
-    dates = rows.select("doc_id", "text", places.alias("p")).select("doc_id", "text", "p.*")
-    return events.date_ranges(dates, "doc_id")
+    """Two dates with `to`, a dash or other words between them; every fifth order says them the wrong way round."""
+    day, later = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add("o_orderdate", 9), "yyyy-MM-dd")
+    between = F.element_at(F.array(F.lit(" or "), F.lit(" – ").substr(2, 2), F.lit(" to ")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    back = F.col("o_orderkey") % 5 == 0
+    said = F.concat(F.lit("Closed on "), F.when(back, later).otherwise(day), between, F.when(back, day).otherwise(later), F.lit(", and 2031-03-01."))
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), said.alias("text"))
+    found = rows.select("id", "text", F.explode(dates.date_candidates("text", F.lit(None).cast("string"))).alias("d"))
+    return events.date_ranges(found.select("id", "text", F.col("d.start").alias("d_start"), F.col("d.end").alias("d_end"), "d.date"), "id")
 
 
-@query("SELECT * FROM (VALUES (1, 1, 3), (3, 0, 3)) v(id, first, last)")
+@query("SELECT conv_id::BIGINT * 1048576 + turn AS id, CASE turn % 3 WHEN 0 THEN 1 ELSE 0 END AS first, CASE turn % 3 WHEN 0 THEN 3 ELSE 3 END AS last FROM conversations WHERE turn % 3 <> 1")
 def correspondence_headers(spark, t):
-    said = [(1, "Hello\nFrom: a\nTo: b\nSent: today\nText"), (2, "From: a\nText\nDate: x\nTo: b"), (3, "De : a\nObjet : b\nEnvoyé : c\nÀ : d")]
-    rows = passages.lines(spark.createDataFrame(said, "id int, text string"), "id")
+    """Turns as letters: a full header after a greeting, scattered header lines, a French header."""
+    said = F.element_at(F.array(F.lit("Hello\nFrom: "), F.lit("From: a\nText\nDate: x\nTo: b\n"), F.lit("De : a\nObjet : b\nEnvoyé : c\nÀ : ")), (F.col("turn") % 3 + 1).cast("int"))
+    text = F.concat(said, F.col("role"), F.when(F.col("turn") % 3 == 0, "\nTo: b\nSent: today\n").otherwise("\n"), F.regexp_replace("text", "(?i)(from|to|cc|bcc|date|sent|subject|re|de|à|envoyé|objet)(\\s*:)", "$1"))
+    rows = passages.lines(t("conversations").select((F.col("conv_id").cast("long") * (1 << 20) + F.col("turn")).alias("id"), text.alias("text")), "id")
     return events.header_lines(rows, "id")
 
 
-@query(f"WITH {LINES}, m AS (SELECT doc_id, count(*) FILTER (WHERE length(line) > 200) AS long, count(*) FILTER (WHERE length(line) > 200 AND regexp_matches(line, '^[A-ZÉÈÀÓÜ]')) AS hit FROM ln GROUP BY doc_id) SELECT doc_id FROM m WHERE hit >= 20 OR (long > 0 AND hit >= 0.3 * long)")
+_NUMBERED = "CASE WHEN para % 3 = 0 THEN (para + 1) || '. ' || line ELSE line END"
+
+
+@query(rf"WITH {LINES}, x AS (SELECT doc_id, {_NUMBERED} AS line FROM ln), m AS (SELECT doc_id, count(*) AS long, count(*) FILTER (WHERE regexp_matches(line, '^\s*(?:\[[0-9]{{1,4}}\]|[0-9]{{1,4}}[.)])\s')) AS hit FROM x WHERE length(line) > 200 GROUP BY doc_id) SELECT doc_id FROM m WHERE hit >= 20 OR hit >= 0.3 * long")
 def numbering_accepted(spark, t):
-    rows = passages.lines(t("documents"), "doc_id").where(F.length("line") > 200).groupBy("doc_id").agg(F.count(F.lit(1)).alias("long"), F.sum(F.col("line").rlike("^[A-ZÉÈÀÓÜ]").cast("int")).alias("hit"))
-    return rows.where((F.col("hit") >= 20) | (F.col("hit") >= 0.3 * F.col("long"))).select("doc_id")
+    rows = passages.lines(t("documents"), "doc_id")
+    rows = rows.withColumn("line", F.when(F.col("para") % 3 == 0, F.concat((F.col("para") + 1).cast("string"), F.lit(". "), F.col("line"))).otherwise(F.col("line")))
+    return passages.numbered(rows, "doc_id")
 
 
-@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS broken FROM documents WHERE length(text) > 80")
+@query("SELECT doc_id, (substr(coalesce(text, ''), doc_id % 50 + 1, 40) = CASE WHEN doc_id % 3 = 0 THEN upper(substr(coalesce(text, ''), doc_id % 50 + 1, 40)) ELSE substr(coalesce(text, ''), doc_id % 50 + 1, 40) END)::INT AS intact FROM documents")
 def source_integrity(spark, t):
-    quoted = t("documents").where(F.length("text") > 80).select("text", F.lit(20).alias("s"), F.lit(60).alias("e"), F.substring("text", 21, 40).alias("quote"))
-    ok = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s")) == F.col("quote")
-    return quoted.agg(F.count(F.lit(1)).alias("n"), F.sum((~ok).cast("int")).cast("long").alias("broken"))
+    """Quotations of every document, every third in capitals, against their places."""
+    start = (F.col("doc_id") % 50).cast("int")
+    text = F.coalesce("text", F.lit(""))
+    quote = F.substring(text, start + 1, F.lit(40))
+    rows = t("documents").select("doc_id", text.alias("text"), start.alias("s"), (start + 40).alias("e"), F.when(F.col("doc_id") % 3 == 0, F.upper(quote)).otherwise(quote).alias("quote"))
+    return rows.select("doc_id", passages.intact(F.col("text"), F.col("s"), F.col("e"), F.col("quote")).cast("int").alias("intact"))
 
 
 @query("SELECT l_suppkey, l_partkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
@@ -130,47 +141,60 @@ def routed_keys(spark, t):
     return resolve.cascade(steps, "k").withColumnRenamed("id", "v")
 
 
-@query("SELECT p_type AS kind, sum((n = 1)::INT)::BIGINT AS exact, sum((n > 1)::INT)::BIGINT AS ambiguous FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_type")
+@query("""WITH f AS (SELECT p_name AS name, min(p_partkey) AS low, max(p_partkey) AS high FROM part WHERE p_size > 5 GROUP BY p_name),
+r AS (SELECT p_type AS kind, CASE WHEN p_partkey % 10 = 0 THEN p_partkey + 1 ELSE p_partkey END AS expected, CASE WHEN p_partkey % 20 = 0 THEN p_partkey ELSE -1 END AS later, low, high FROM part LEFT JOIN f ON f.name = p_name)
+SELECT kind, count(*) FILTER (WHERE low = high AND low = expected)::BIGINT AS exact, count(*) FILTER (WHERE low = high AND low <> expected AND low = later)::BIGINT AS consolidated, count(*) FILTER (WHERE low = high AND low <> expected AND low <> later)::BIGINT AS wrong, count(*) FILTER (WHERE low < high)::BIGINT AS ambiguous, count(*) FILTER (WHERE low IS NULL)::BIGINT AS missing FROM r GROUP BY kind""")
 def resolution_audit(spark, t):
-    rows = t("part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
-    return metrics.majority_split(rows.withColumnRenamed("p_type", "kind"), "kind", ("exact", F.col("n") == 1), ("ambiguous", F.col("n") > 1))
+    k = F.col("p_partkey")
+    asked = t("part").select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.when(k % 10 == 0, k + 1).otherwise(k).alias("expected"), F.when(k % 20 == 0, k).otherwise(-1).alias("consolidated"))
+    found = t("part").where("p_size > 5").select(F.col("p_name").alias("name"), k.alias("id"))
+    return metrics.resolution_audit(asked, found, "name", "kind")
 
 
-@query("SELECT o_custkey, bool_and(o_totalprice > 2000)::INT AS passed, count(DISTINCT o_orderstatus)::BIGINT AS kinds FROM orders GROUP BY o_custkey")
-def evaluation_receipts(spark, t):
-    return t("orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_totalprice") > 2000).cast("int").alias("passed"), F.countDistinct("o_orderstatus").alias("kinds"))
+_CHECKS = {"price": "o_totalprice > 2000", "dear": "o_totalprice < 400000", "status": "o_orderstatus <> 'P'", "old": "o_orderdate < DATE '1998-06-01'", "new": "o_orderdate >= DATE '1992-03-01'", "key": "o_orderkey % 11 <> 0", "customer": "o_custkey % 13 <> 0", "said": "o_orderpriority NOT LIKE '5%'"}
 
 
-@query("SELECT s_nationkey, arg_max(s_name, (length(s_name), s_acctbal)) AS label, min(s_suppkey) AS first FROM supplier GROUP BY s_nationkey")
-def longest_label(spark, t):
-    return t("supplier").groupBy("s_nationkey").agg(F.max_by("s_name", F.struct(F.length("s_name"), "s_acctbal")).alias("label"), F.min("s_suppkey").alias("first"))
+@query("SELECT o_orderpriority AS family, count(*)::BIGINT AS cases, count(*) FILTER (WHERE " + " AND ".join(_CHECKS.values()) + ")::BIGINT AS passed, " + ", ".join(f"count(*) FILTER (WHERE NOT ({c}))::BIGINT AS failed_{n}" for n, c in _CHECKS.items()) + " FROM orders GROUP BY o_orderpriority")
+def evaluation_receipts(spark, t):
+    return metrics.receipts(t("orders").withColumnRenamed("o_orderpriority", "family").withColumn("o_orderpriority", F.col("family")), "family", {n: F.expr(c) for n, c in _CHECKS.items()})
 
 
-@query("SELECT * FROM (VALUES ('8(1)(a)', 'A8'), ('8(2)', 'A8'), ('9(1)(b)', 'A91'), ('12', NULL)) v(locator, anchor)")
-def nearest_anchor(spark, t):
-    nodes = spark.createDataFrame([(x,) for x in ("8(1)(a)", "8(2)", "9(1)(b)", "12")], "locator string")
-    anchors = spark.createDataFrame([("8", "A8"), ("9", "A9"), ("9(1)", "A91")], "locator string, anchor string")
-    return trees.nearest_anchor(nodes, anchors)
+@query("SELECT p_brand, arg_min(p_name, (-length(p_name), p_name)) AS label, min(p_size) AS year FROM part GROUP BY p_brand")
+def longest_label(spark, t):
+    return resolve.labelled(t("part").select("p_brand", F.col("p_name").alias("label"), F.col("p_size").alias("year")), "p_brand")
 
 
-@query("WITH g AS (SELECT doc_id % 7 AS query, doc_id AS doc, 0 AS s, 40 AS e FROM documents WHERE doc_id < 60), r AS (SELECT doc_id % 7 AS query, doc_id AS doc, 30 AS s, 90 AS e, (doc_id // 7 + 1) AS rank FROM documents WHERE doc_id % 2 = 0 AND doc_id < 200) SELECT round(avg(h), 3) AS recall FROM (SELECT g.query, max((r.doc IS NOT NULL)::INT) AS h FROM g LEFT JOIN r ON r.query = g.query AND r.doc = g.doc AND r.rank <= 10 AND g.s < r.e AND r.s < g.e GROUP BY g.query)")
+@query("WITH g AS (SELECT doc_id % 7 AS query, doc_id AS doc, 0 AS s, 40 AS e FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id % 7 AS query, doc_id AS doc, 30 AS s, 90 AS e, (doc_id // 7 + 1) AS rank FROM documents WHERE doc_id % 2 = 0) SELECT round(avg(h), 3) AS recall FROM (SELECT g.query, max((r.doc IS NOT NULL)::INT) AS h FROM g LEFT JOIN r ON r.query = g.query AND r.doc = g.doc AND r.rank <= 10 AND g.s < r.e AND r.s < g.e GROUP BY g.query)")
 def passage_recall(spark, t):
     d = t("documents").select((F.col("doc_id") % 7).alias("query"), F.col("doc_id").alias("doc"))
-    gold = d.where("doc < 60").select("query", "doc", F.lit(0).alias("start"), F.lit(40).alias("end"))
-    runs = d.where("doc % 2 = 0 AND doc < 200").select("query", "doc", F.lit(30).alias("start"), F.lit(90).alias("end"), (F.floor(F.col("doc") / 7) + 1).alias("rank"))
+    gold = d.where("doc % 3 = 0").select("query", "doc", F.lit(0).alias("start"), F.lit(40).alias("end"))
+    runs = d.where("doc % 2 = 0").select("query", "doc", F.lit(30).alias("start"), F.lit(90).alias("end"), (F.floor(F.col("doc") / 7) + 1).alias("rank"))
     return metrics.passage_recall(runs, gold)
 
 
-@query("SELECT p_partkey, p_name, (len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), ['part', 'name', '7'])) / least(len(list_distinct(string_split(lower(p_name), ' '))), 3) >= 0.5)::INT AS fits FROM part WHERE regexp_matches(p_name, '^[A-Za-z0-9 ]+$') AND NOT regexp_matches(lower(p_name), '^(the|la|le|les|l) | (18|19|20)[0-9]{2}$|regulations|reglements|  ')")
+def _loose(col: str) -> str:
+    """SQL of a loose title."""
+    key = f"trim(regexp_replace(replace(lower(translate({col}, '{tx.ACCENTED}', '{tx.PLAIN}')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({key}, '^(?:the|la|le|les|l) ', ''), ' (?:18|19|20)[0-9]{{2}}$', ''), '\bregulations\b', 'regulation', 'g'), '\breglements\b', 'reglement', 'g')"
+
+
+# Part names as titles: articles, years, plurals and signs are the part of the rule that matters.
+_TITLE = "CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_name || ' Regulations 1990' WHEN 1 THEN 'Les Règlements & ' || p_name WHEN 2 THEN p_name ELSE '' END"
+_WANTED = "The Part Name 7 Regulation, 2004"
+
+
+@query(f"SELECT p_partkey, title, (title = '' OR len(list_intersect(list_distinct(string_split({_loose('title')}, ' ')), list_distinct(string_split({_loose(chr(39) + _WANTED + chr(39))}, ' ')))) / least(len(list_distinct(string_split({_loose('title')}, ' '))), len(list_distinct(string_split({_loose(chr(39) + _WANTED + chr(39))}, ' ')))) >= 0.5)::INT AS fits FROM (SELECT p_partkey, {_TITLE} AS title FROM part)")
 def similar_titles(spark, t):
-    rows = t("part").where(F.col("p_name").rlike("^[A-Za-z0-9 ]+$") & ~F.lower("p_name").rlike("^(the|la|le|les|l) | (18|19|20)[0-9]{2}$|regulations|reglements|  "))
-    return rows.select("p_partkey", "p_name", tx.similar_titles(F.col("p_name"), F.lit("part name 7")).cast("int").alias("fits"))
+    way, name = F.col("p_partkey") % 4, F.col("p_name")
+    title = F.when(way == 0, F.concat(F.lit("The "), name, F.lit(" Regulations 1990"))).when(way == 1, F.concat(F.lit("Les Règlements & "), name)).when(way == 2, name).otherwise("")
+    rows = t("part").select("p_partkey", title.alias("title"))
+    return rows.select("p_partkey", "title", tx.similar_titles(F.col("title"), F.lit(_WANTED)).cast("int").alias("fits"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey < 100) a FULL JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS v FROM orders WHERE o_custkey < 150 GROUP BY ALL) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT o_custkey AS k, max(o_orderpriority) AS v FROM orders GROUP BY ALL) b ON a.k = b.k")
 def imported_maps(spark, t):
-    ours = t("customer").where("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.create_map(F.lit("x"), F.col("c_mktsegment")).alias("m"))
-    theirs = t("orders").where("o_custkey < 150").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("p")).select("k", F.create_map(F.lit("x"), F.col("p")).alias("m"))
+    ours = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.create_map(F.lit("x"), F.col("c_mktsegment")).alias("m"))
+    theirs = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("p")).select("k", F.create_map(F.lit("x"), F.col("p")).alias("m"))
     return writers.imported(ours, theirs, "k", ["m"]).select("k", F.col("m")["x"].alias("v"))
 
 
@@ -181,34 +205,41 @@ def merged_changes(spark, t):
     return writers.merged(table, changes, "c_custkey", "gone")
 
 
-@query("SELECT s_name AS name, floor(s_acctbal)::BIGINT + 2000 AS size FROM supplier")
+@query("""WITH RECURSIVE l AS (SELECT s_name AS name, floor(s_acctbal)::BIGINT + 2000 AS size, row_number() OVER (ORDER BY s_name) AS n FROM supplier),
+g(n, name, size, grp, held) AS (SELECT n, name, size, 0::BIGINT, size FROM l WHERE n = 1 UNION ALL SELECT l.n, l.name, l.size, CASE WHEN g.held > 0 AND g.held + l.size > 20000 THEN g.grp + 1 ELSE g.grp END, CASE WHEN g.held > 0 AND g.held + l.size > 20000 THEN l.size ELSE g.held + l.size END FROM g JOIN l ON l.n = g.n + 1)
+SELECT name, size, grp FROM g""")
 def packed_listing(spark, t):
     sizes = t("supplier").select(F.col("s_name").alias("name"), (F.floor("s_acctbal") + 2000).alias("size"))
-    return writers.packed_groups(sizes, 20000).select("name", "size")
+    return writers.packed_groups(sizes, 20000).select("name", "size", "grp")
 
 
-@query("SELECT event_id, (0.5 + (event_id % 5) / 10.0) - CASE WHEN event_id % 2 = 0 THEN 0.3 ELSE 0.2 END AS margin FROM events WHERE event_id < 400")
+@query("SELECT event_id, (0.5 + (event_id % 5) / 10.0) - CASE WHEN event_id % 2 = 0 THEN 0.3 ELSE 0.2 END AS margin FROM events")
 def probability_margin(spark, t):
     p = F.create_map(F.lit("a"), F.lit(0.5) + (F.col("event_id") % 5) / 10.0, F.lit("b"), F.when(F.col("event_id") % 2 == 0, 0.3).otherwise(0.2), F.lit("c"), F.lit(0.1))
-    return t("events").where("event_id < 400").select("event_id", nearest.margin(p).alias("margin"))
+    return t("events").select("event_id", nearest.margin(p).alias("margin"))
 
 
-@query("SELECT page_id, ':~:text=' || replace(replace(url_encode(regexp_extract(html, '<title>([A-Za-z ]+)', 1)), '-', '%2D'), '+', '%20') AS directive FROM pages WHERE length(regexp_extract(html, '<title>([A-Za-z ]+)', 1)) > 3")
+@query("SELECT page_id, ':~:text=' || replace(replace(url_encode(regexp_extract(html, '<title>([A-Za-z ]+)', 1)), '-', '%2D'), '+', '%20') AS directive FROM pages")
 def text_directives(spark, t):
     title = F.regexp_extract("html", "<title>([A-Za-z ]+)", 1)
-    return t("pages").where(F.length(title) > 3).select("page_id", tx.text_directive(title).alias("directive"))
+    return t("pages").select("page_id", tx.text_directive(title).alias("directive"))
 
 
-@query("SELECT * FROM (VALUES ('https://x/a#:~:text=pre-,start%20here,end,-post', 'pre', 'start here', 'end', 'post'), ('https://x/b#:~:text=only', NULL, 'only', NULL, NULL)) v(url, prefix, start, \"end\", suffix)")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pre ' || page_id END AS prefix, 'start here ' || page_id AS start, CASE WHEN page_id % 3 < 2 THEN 'end, of it' END AS \"end\", CASE WHEN page_id % 3 = 0 THEN 'post-it' END AS suffix FROM pages WHERE page_id % 4 > 0")
 def directive_parts(spark, t):
-    rows = spark.createDataFrame([("https://x/a#:~:text=pre-,start%20here,end,-post",), ("https://x/b#:~:text=only",), ("https://x/c",)], "url string")
-    return rows.select("url", tx.parse_directive(F.col("url")).alias("d")).where("d IS NOT NULL").select("url", "d.*")
+    """Links to text of every page, written and read back; every fourth has none."""
+    k = F.col("page_id").cast("string")
+    start, end = F.concat(F.lit("start here "), k), F.lit("end, of it")
+    way = F.col("page_id") % 3
+    said = F.when(way == 0, tx.text_directive(start, end, F.concat(F.lit("pre "), k), F.lit("post-it"))).when(way == 1, tx.text_directive(start, end)).otherwise(tx.text_directive(start))
+    url = F.concat(tx.clean_url(F.col("url")), F.lit("#"), F.when(F.col("page_id") % 4 > 0, said).otherwise("top"))
+    return t("pages").select("page_id", tx.parse_directive(url).alias("d")).where("d IS NOT NULL").select("page_id", "d.*")
 
 
-@query("SELECT * FROM (VALUES ('page', '12', 'p 12'), ('section', '8(1)', 's 8(1)'), ('rule', '3', 'r 3')) v(kind, locator, pinpoint)")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'p ' WHEN 1 THEN 'para ' WHEN 2 THEN 's ' WHEN 3 THEN 'r ' WHEN 4 THEN 'art ' ELSE '' END || p_size AS pinpoint FROM part")
 def pinpoints(spark, t):
-    rows = spark.createDataFrame([("page", "12"), ("section", "8(1)"), ("rule", "3")], "kind string, locator string")
-    return rows.select("kind", "locator", locators.pinpoint(F.col("kind"), F.col("locator")).alias("pinpoint"))
+    kind = F.element_at(F.array(*map(F.lit, ("page", "paragraph", "section", "rule", "article", "annex"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return t("part").select("p_partkey", locators.pinpoint(kind, F.col("p_size").cast("string")).alias("pinpoint"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, len(list_filter(list_distinct(list(term)), lambda x: x NOT IN ('the', 'of')))::INT AS quiet FROM ft GROUP BY doc_id")
@@ -224,13 +255,11 @@ def result_pages(spark, t):
     return best.select("query", F.row_number().over(w).alias("rank"), "doc_id")
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (a.doc_id IS NOT NULL)::INT AS ours, (b.doc_id IS NOT NULL)::INT AS theirs FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
+@query("SELECT doc_id, n_chars, corpus FROM (SELECT doc_id, n_chars + 1 AS n_chars, 1 AS corpus FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, n_chars, 2 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en'))")
 def corpora_union(spark, t):
-    d = t("documents").select("doc_id")
-    both = d.where("doc_id % 2 = 0").withColumn("ours", F.lit(1)).withColumn("theirs", F.lit(0)).unionByName(d.where("doc_id % 3 = 0").withColumn("ours", F.lit(0)).withColumn("theirs", F.lit(1)))
-    return both.groupBy("doc_id").agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"))
-
-
+    """Open documents, which may say more, before the corpus's own."""
+    d = t("documents").select("doc_id", "lang", "n_chars")
+    return resolve.united(d.where("lang = 'en'").select("doc_id", (F.col("n_chars") + 1).alias("n_chars")), d.select("doc_id", "n_chars"), "doc_id")
 
 
 @query("SELECT page_id, 'https://site.example/en/' || left(host, 2) || '/laws/stat/' || page_id || '/latest/' || page_id || '.html' AS url FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?]*)', 1) AS host FROM pages)")
@@ -239,11 +268,13 @@ def instrument_urls(spark, t):
     return t("pages").select("page_id", tx.instrument_url("https://site.example/", F.lit("English"), host, F.lit("stat"), F.col("page_id").cast("string")).alias("url"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cite:2016scc' || page_id ELSE 'site:' || regexp_replace(regexp_replace(u, '/(?:en|fr)(/)', '\\1', 'g'), '/(?:latest|current)(/|$)', '\\1', 'g') END AS key FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) || substr(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]+$', ''), '/(?:index\\.html?)?$', ''), length(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) + 1), '^[a-z]+://(?:www\\.)?', '') AS u FROM pages WHERE NOT regexp_matches(url, 'utm_|clid=|&&'))")
+CLEAN_URL = r"SELECT page_id, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) || substr(u, length(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')) + 1) AS url FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '([?&])(?:utm_[a-z]+|fbclid|gclid)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '[?&]+$', ''), '\?&', '?', 'g'), '/(?:index\.html?)?$', '') AS u FROM pages)"
+
+
+@query(rf"WITH c AS ({CLEAN_URL}) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cite:2016scc' || page_id ELSE 'site:' || regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://(?:www\.)?', ''), '/(?:en|fr)(/)', '\1', 'g'), '/(?:latest|current)(/|$)', '\1', 'g') END AS key FROM c")
 def identity_keys(spark, t):
-    rows = t("pages").where(~F.col("url").rlike("utm_|clid=|&&"))
     cite = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("2016 SCC "), F.col("page_id").cast("string")))
-    return rows.select("page_id", tx.identity_key(cite, F.col("url")).alias("key"))
+    return t("pages").select("page_id", tx.identity_key(cite, F.col("url")).alias("key"))
 
 
 @query("SELECT user_id, max(ts) <= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 6 HOUR AS stale FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY")
@@ -252,7 +283,7 @@ def fresh_state(spark, t):
     return incremental.fresh(state, "read_at", F.lit("2024-01-30 00:00:00").cast("timestamp"), "6 hours", "1 day").select("user_id", "stale")
 
 
-@query("SELECT c_custkey AS tab, c_nationkey AS doc, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE (SELECT min(x.c_custkey) FROM customer x WHERE x.c_custkey % 2 = 0 AND x.c_nationkey = customer.c_nationkey) END AS now FROM customer WHERE c_custkey < 60 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT c_custkey AS tab, c_nationkey AS doc, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE (SELECT min(x.c_custkey) FROM customer x WHERE x.c_custkey % 2 = 0 AND x.c_nationkey = customer.c_nationkey) END AS now FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0)")
 def moved_handles(spark, t):
     c = t("customer").select(F.col("c_custkey").alias("tab"), F.col("c_nationkey").alias("doc"))
-    return incremental.moved(c.where("tab < 60"), c.where("tab % 2 = 0"))
+    return incremental.moved(c, c.where("tab % 2 = 0"))

@@ -13,9 +13,9 @@ from ..streaming import incremental
 from .catalog import query
 
 
-@query("SELECT event_id, day FROM (SELECT e.event_id, (SELECT max(o.o_orderdate::DATE) FROM orders o WHERE o.o_custkey = e.user_id AND o.o_orderdate + INTERVAL 26 YEAR <= e.ts) AS day FROM events e WHERE e.event_id % 4 = 0)")
+@query("SELECT e.event_id, o.day FROM events e ASOF LEFT JOIN (SELECT DISTINCT o_custkey, o_orderdate + INTERVAL 26 YEAR AS since, o_orderdate::DATE AS day FROM orders) o ON e.user_id = o.o_custkey AND e.ts >= o.since")
 def asof_latest_order(spark, t):
-    points = t("events").where("event_id % 4 = 0").select("event_id", F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("at"))
+    points = t("events").select("event_id", F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("at"))
     ranges = t("orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 26 YEAR")).alias("first")).distinct()
     found = passages.containing(points, ranges, "at", "first", "k")
     return found.select("event_id", (F.col("first") - F.expr("INTERVAL 26 YEAR")).cast("date").alias("day"))
@@ -23,11 +23,10 @@ def asof_latest_order(spark, t):
 
 @query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_shipdate < b.l_shipdate + INTERVAL 5 DAY AND b.l_shipdate < a.l_shipdate + INTERVAL 5 DAY")
 def interval_overlap(spark, t):
-    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    a, b = li.alias("a"), li.alias("b")
-    on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber"))
-    on = on & (F.col("a.l_shipdate") < F.col("b.l_shipdate") + F.expr("INTERVAL 5 DAY")) & (F.col("b.l_shipdate") < F.col("a.l_shipdate") + F.expr("INTERVAL 5 DAY"))
-    return a.join(b, on).select("a.l_orderkey", F.col("a.l_linenumber").alias("a"), F.col("b.l_linenumber").alias("b"))
+    day = F.datediff("l_shipdate", F.lit("1990-01-01"))
+    li = t("lineitem").select("l_orderkey", "l_linenumber", day.alias("start"), (day + 5).alias("end"))
+    met = passages.overlapping(li.withColumnRenamed("l_linenumber", "s_id"), li.withColumnRenamed("l_linenumber", "u_id"), "l_orderkey")
+    return met.where("s_id < u_id").select("l_orderkey", F.col("s_id").alias("a"), F.col("u_id").alias("b"))
 
 
 @query("WITH s AS (SELECT l_returnflag, l_quantity AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, v AS percentile FROM s WHERE i = least(floor(n * 0.95), n - 1)")
@@ -109,10 +108,12 @@ def stream_windows(spark, t):
     """The same windows from a stream with a watermark, run until its input is used up."""
     source, place = folder(spark), folder(spark)
     t("events").select("ts", "value").repartition(2).write.parquet(source)
-    stream = spark.readStream.schema("ts timestamp_ntz, value double").parquet(source)
+    stream = spark.readStream.schema("ts timestamp_ntz, value double").option("maxFilesPerTrigger", 1).parquet(source)
     counted = incremental.tumbling(stream, "ts", "1 day", "40 days")
-    counted.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/v{n}")).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{place}/v0")
+    counting = counted.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/v{n}")).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    counting.awaitTermination()
+    last = max(b["batchId"] for b in counting.recentProgress)  # complete mode: the latest batch has every window
+    out = spark.read.parquet(f"{place}/v{last}")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("total", 6).alias("total"))
 
 

@@ -344,12 +344,40 @@ def paragraph_spans(spark, t):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.col("p.end") - F.col("p.start")).alias("chars"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, para::INT AS para, len(list_filter(string_split_regex(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''))::INT AS sentences FROM ln WHERE NOT regexp_matches(line, '(?i)(?:^|[^\\p{{L}}])(mr|mrs|ms|dr|prof|hon|st|nos?|arts?|paras?|ss?|c|ch|pp?|vs?|inc|ltd|co|corp|jr|sr|e\\.g|i\\.e|etc|al|cf|\\p{{L}})\\.')")
+_SHORT = "|".join(passages.ABBREVIATIONS.split())
+
+
+@query(rf"""WITH {LINES}, raw AS (SELECT doc_id, para, unnest(ps) AS piece, generate_subscripts(ps, 1) AS n FROM (SELECT doc_id, para, string_split(regexp_replace(line, '([.!?]["''’”)]{{0,3}})\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM ln)),
+f AS (SELECT *, lag(piece) OVER w AS before FROM raw WINDOW w AS (PARTITION BY doc_id, para ORDER BY n)),
+g AS (SELECT *, sum((before IS NOT NULL AND NOT regexp_matches(before, '(?:^|[^\p{{L}}\p{{N}}])(?i:{_SHORT})\.$') AND NOT regexp_matches(piece, '^\p{{Ll}}') AND NOT (regexp_matches(before, '(?:^|[^\p{{L}}\p{{N}}])[A-Z]\.[A-Z]\.$') AND regexp_matches(piece, '^[0-9]')))::INT) OVER (PARTITION BY doc_id, para ORDER BY n) AS s FROM f),
+u AS (SELECT doc_id, para, s, trim(string_agg(piece, ' ' ORDER BY n)) AS unit, sum(length(trim(piece))) AS solid FROM g GROUP BY ALL),
+c AS (SELECT doc_id, para, len(list_filter(CASE WHEN length(unit) <= {passages.LONGEST} THEN [unit] ELSE regexp_extract_all(unit, '(?s).{{1,600}}.{{0,600}}$|.{{600}}.{{1,600}} |.{{1,600}}.{{0,600}}') END, lambda x: trim(x) <> '')) AS n FROM u)
+SELECT doc_id, para::INT AS para, sum(n)::INT AS sentences FROM c GROUP BY doc_id, para""")
 def sentence_units(spark, t):
-    lines = passages.lines(t("documents"), "doc_id").where(~F.col("line").rlike(r"(?i)(?:^|[^\p{L}])(mr|mrs|ms|dr|prof|hon|st|nos?|arts?|paras?|ss?|c|ch|pp?|vs?|inc|ltd|co|corp|jr|sr|e\.g|i\.e|etc|al|cf|\p{L})\."))
+    lines = passages.lines(t("documents"), "doc_id")
     return lines.select("doc_id", "para", F.size(passages.sentences(F.col("line"))).alias("sentences"))
 
 
+@query(rf"SELECT doc_id::BIGINT AS doc_id, n::INT AS n, ' ' || array_to_string(regexp_extract_all(lower(translate(text, '{tx.ACCENTED}', '{tx.PLAIN}')), '[\p{{L}}\p{{N}}\p{{M}}]+'), ' ') || ' ' LIKE '% apache license %' AS found FROM (SELECT doc_id, n_chars AS n, text FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200) WHERE ' ' || array_to_string(regexp_extract_all(lower(translate(text, '{tx.ACCENTED}', '{tx.PLAIN}')), '[\p{{L}}\p{{N}}\p{{M}}]+'), ' ') || ' ' LIKE '% apache license %' ORDER BY n DESC, doc_id LIMIT 5")
+def phrases_in_order(spark, t):
+    """Of the 200 best candidates, here the longest texts, the first five that hold the phrase."""
+    best = t("documents").select(F.col("doc_id").alias("pid"), F.col("n_chars").cast("double").alias("score"))
+    texts = t("documents").select(F.col("doc_id").alias("pid"), "text")
+    found = search.verified_phrases(best, texts, ["Apache License"], 5, 200)
+    return found.select(F.col("pid").alias("doc_id"), F.col("score").cast("int").alias("n"), F.lit(True).alias("found"))
+
+
+@query(near_sql("licens", "version", "true").split("SELECT a.doc_id")[0] + " SELECT doc_id AS doc, para::INT AS para, pos::BIGINT AS first, pos::BIGINT AS last FROM ft WHERE term IN ('licens', 'mit')")
+def near_or(spark, t):
+    return _near(t, "licenses OR mit")
+
+
+@query(near_sql("licens", "version", "true").split("SELECT a.doc_id")[0] + " SELECT a.doc_id AS doc, a.para::INT AS para, least(a.pos, b.pos, c.pos)::BIGINT AS first, greatest(a.pos, b.pos, c.pos)::BIGINT AS last FROM ft a JOIN ft b ON a.doc_id = b.doc_id AND a.para = b.para JOIN ft c ON c.doc_id = b.doc_id AND c.para = b.para AND abs(c.pos - b.pos) <= 3 WHERE a.term = 'apach' AND b.term = 'licens' AND c.term = 'version'")
+def near_mixed(spark, t):
+    """/3 binds tighter than /p."""
+    return _near(t, "apache /p license /3 version")
+
+
 @query(f"WITH {LINES}, n AS (SELECT doc_id, para, sum(len) OVER (PARTITION BY doc_id ORDER BY para) - len AS first FROM (SELECT doc_id, para, length(line) + 1 AS len FROM ln)), p AS (SELECT doc_id, n_chars * k // 4 AS at FROM documents, (VALUES (1), (2), (3)) v(k)) SELECT p.doc_id, p.at, max(n.first)::BIGINT AS first FROM p LEFT JOIN n ON n.doc_id = p.doc_id AND n.first <= p.at GROUP BY p.doc_id, p.at")
 def range_join_pid_doc(spark, t):
     lines = passages.lines(t("documents"), "doc_id").select("doc_id", "para", (F.length("line") + 1).cast("long").alias("len"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import dates, fragments, html, locators
 from ..functions import text as tx
-from ..operators import events, passages, resolve, trees
+from ..operators import events, passages, resolve, search, trees
 from ..sources import readers, writers
 from .catalog import query
 from .retrieval import LINES
@@ -40,34 +39,64 @@ def page_hosts(spark, t):
     return t("pages").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.regexp_extract("url", "^[a-z]+://([^/?]*)", 1)).alias("hosts"))
 
 
-DATED = [
-    (1, "Filed 2024-02-30 and 2024-02-29.", None),
-    (2, "Due 03/04/2026 or 31/03/2026.", None),
-    (3, "Le 10 mars 2026 à Ottawa; March 10 too.", None),
-    (4, "We met yesterday and on the 5th day of June, 2024.", "2026-03-12"),
-    (5, "Fri 3/10/2023 at noon; tomorrow.", None),
-    (6, "Nothing.", None),
-]
-
-
-@query()
+MONTHS_FR = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
+_FR = ", ".join(f"'{m}'" for m in MONTHS_FR)
+# An order's day, said in one of eight ways; the SQL says what a reader must make of it.
+DATED = f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 8 AS way, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d/%m/%Y') AS slashed, day(o_orderdate) AS d, month(o_orderdate) AS m, year(o_orderdate) AS y, strftime(o_orderdate, '%B') AS name, [{_FR}][month(o_orderdate)] AS nom, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS before, strftime(o_orderdate, '%A') AS weekday, day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AND (o_orderkey % 8 = 1 OR coalesce(dayname(try_cast(year(o_orderdate) || '-' || day(o_orderdate) || '-' || month(o_orderdate) AS DATE)) = dayname(o_orderdate), false)) AS both_ways FROM orders),
+r AS (SELECT id, iso, CASE way WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 7 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE length(weekday) + 5 END AS s,
+ CASE way WHEN 0 THEN iso WHEN 1 THEN slashed WHEN 2 THEN d || 'th day of ' || name || ', ' || y WHEN 3 THEN d || ' ' || nom WHEN 4 THEN name || ' ' || d || ', ' || y WHEN 5 THEN 'yesterday' WHEN 6 THEN y || '-02-30' ELSE slashed END AS raw,
+ CASE WHEN way IN (0, 2, 4) THEN iso WHEN way IN (1, 7) AND NOT both_ways THEN iso WHEN way = 5 THEN before END AS date,
+ CASE WHEN way IN (1, 7) AND both_ways THEN '{dates.TWO_READINGS}' WHEN way = 3 THEN '{dates.NO_YEAR}' WHEN way = 5 THEN '{dates.COUNTED}' WHEN way = 6 THEN '{dates.NO_DAY}' ELSE '' END AS reason,
+ CASE WHEN way IN (1, 7) AND both_ways THEN iso || ' ' || y || '-' || lpad(d::VARCHAR, 2, '0') || '-' || lpad(m::VARCHAR, 2, '0') WHEN way IN (1, 7) THEN iso ELSE '' END AS alternatives FROM o)
+SELECT id, s::INT AS "start", (s + length(raw))::INT AS "end", raw, date, reason, alternatives FROM r"""
+
+
+def _dated(t):
+    """Orders with a text that says their day, and that day as the date of the message."""
+    day = F.col("o_orderdate")
+    of = lambda form: F.date_format(day, form)
+    nom = F.element_at(F.array(*map(F.lit, MONTHS_FR)), F.month(day))
+    said = [
+        F.concat(F.lit("Filed "), of("yyyy-MM-dd"), F.lit(" at noon.")),
+        F.concat(F.lit("Due "), of("dd/MM/yyyy"), F.lit(", at the latest.")),
+        F.concat(F.lit("on the "), of("d"), F.lit("th day of "), of("MMMM, yyyy"), F.lit(" there")),
+        F.concat(F.lit("Le "), of("d"), F.lit(" "), nom, F.lit(" à Ottawa")),
+        F.concat(F.lit("By "), of("MMMM d, yyyy"), F.lit(" or so")),
+        F.lit("Seen yesterday in section 7 of 12."),
+        F.concat(F.lit("Until "), of("yyyy"), F.lit("-02-30 only")),
+        F.concat(F.lit("on "), of("EEEE"), F.lit(", "), of("dd/MM/yyyy")),
+    ]
+    way = F.lit("")
+    for i, c in enumerate(said):
+        way = F.when(F.col("o_orderkey") % 8 == i, c).otherwise(way)
+    return t("orders").select(F.col("o_orderkey").alias("id"), way.alias("text"), of("yyyy-MM-dd").alias("anchor"))
+
+
+@query(DATED)
 def date_candidates(spark, t):
-    rows = spark.createDataFrame(DATED, "id int, text string, anchor string")
-    found = rows.select("id", F.explode(dates.date_candidates("text", "anchor")).alias("d"))
+    found = _dated(t).select("id", F.explode(dates.date_candidates("text", "anchor")).alias("d"))
     return found.select("id", "d.start", "d.end", "d.raw", "d.date", "d.reason", F.array_join("d.alternatives", " ").alias("alternatives"))
 
 
-@query("SELECT order_id, day FROM (SELECT o_orderkey AS order_id, unnest(regexp_extract_all('Ordered ' || strftime(o_orderdate, '%Y-%m-%d') || ', due 2024-02-30 or 2024-03-01', '\\b((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})\\b', 1)) AS day FROM orders WHERE o_orderkey % 10 = 0) WHERE try_cast(day AS DATE) IS NOT NULL")
+@query("SELECT o_orderkey AS id, array_to_string(list_sort(list_distinct([o_orderkey::VARCHAR, o_custkey::VARCHAR, '17.50'])), ' ') AS numbers FROM orders")
+def numeric_facts(spark, t):
+    """Numbers of a text whose dates count for nothing."""
+    said = F.concat(F.lit("Paid 17.50 on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(" for order "), F.col("o_orderkey"), F.lit(" of customer "), F.col("o_custkey"), F.lit(", see "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."))
+    return t("orders").select(F.col("o_orderkey").alias("id"), events.numeric_facts(said).alias("numbers"))
+
+
+@query("SELECT order_id, day FROM (SELECT o_orderkey AS order_id, unnest(regexp_extract_all('Ordered ' || strftime(o_orderdate, '%Y-%m-%d') || ', due 2024-02-30 or 2024-03-01', '\\b((?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})\\b', 1)) AS day FROM orders) WHERE try_cast(day AS DATE) IS NOT NULL")
 def iso_dates(spark, t):
     said = F.concat(F.lit("Ordered "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", due 2024-02-30 or 2024-03-01"))
-    return t("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("order_id"), F.explode(dates.iso_dates(said)).alias("day"))
+    return t("orders").select(F.col("o_orderkey").alias("order_id"), F.explode(dates.iso_dates(said)).alias("day"))
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND strftime(o_orderdate, '%Y%m%d')::INT BETWEEN 19970000 AND 19980399")
 def filter_dataset_date(spark, t):
-    day = dates.date_number(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    kept = t("orders").where(F.contains(F.lower("o_orderpriority"), F.lit("urgent")) & day.between(dates.padded(F.lit("1997"), "0"), dates.padded(F.lit("1998-03"), "9")))
-    return kept.select("o_orderkey", "o_orderpriority")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = t("orders").select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").alias("dataset"), day.alias("date"))
+    kept = rows.where(readers.accepted("URGENT", "1997-01-01", "1998-03-31"))
+    return kept.where(dates.date_number(F.col("date")).between(dates.padded(F.lit("1997"), "0"), dates.padded(F.lit("1998-03"), "9"))).select("o_orderkey", "o_orderpriority")
 
 
 SCREEN = r"""CASE WHEN len(regexp_extract_all(line, '\p{L}{2,}')) < 2 THEN 'fragment'
@@ -96,49 +125,57 @@ def action_lines(spark, t):
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in events.STOP)
-MENTIONS = """m AS (SELECT conv_id * 100 + turn AS id, left(text, 120) AS text, '2024-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS date FROM conversations WHERE turn <= 2)"""
-PAIRS = rf"""{MENTIONS}, b AS (SELECT id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body, date, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')), lambda w: length(w) > 2 AND w NOT IN ({STOP_LIST})) AS terms FROM m),
-t0 AS (SELECT id, unnest(terms) AS k FROM b), t1 AS (SELECT id, k FROM t0 WHERE k IN (SELECT k FROM t0 GROUP BY k HAVING count(*) <= 40)),
-k AS (SELECT id, 't' || k AS k, 1 AS w FROM t1 UNION ALL SELECT id, 'd' || date, 2 FROM b UNION ALL SELECT id, 'x' || body, 1000 FROM b),
+MENTIONS = """m AS (SELECT conv_id::BIGINT * 1048576 + turn AS id, text, '2024-01-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') AS date FROM conversations)"""
+REPS = rf"""{MENTIONS}, n AS (SELECT id, coalesce(text, '') AS text, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS body, date FROM m)"""
+PAIRS = rf"""{REPS}, b AS (SELECT id, body, date, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')), lambda w: length(w) > 2 AND w NOT IN ({STOP_LIST})) AS terms FROM (SELECT min(id) AS id, arg_min(text, id) AS text, body, date FROM n GROUP BY body, date)),
+t AS (SELECT id, unnest(terms) AS k FROM b),
+k AS (SELECT id, 't' || k AS k, 1 AS w FROM t UNION ALL SELECT id, 'd' || date, 2 FROM b UNION ALL SELECT id, 'x' || body, 1000 FROM b),
 p AS (SELECT x.id AS a, y.id AS b, sum(x.w)::BIGINT AS overlap FROM k x JOIN k y USING (k) WHERE x.id < y.id GROUP BY ALL HAVING sum(x.w) >= 2)"""
 
 
-def _day():
-    return F.concat(F.lit("2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0"))
-
-
 def _mentions(t):
-    """The mentions that the SQL of the pairs is about: the openings of the first turns."""
-    return t("conversations").where("turn <= 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 120).alias("text"), _day().alias("date"), "conv_id")
-
-
-def _all_mentions(t):
     """Every turn with its whole text. Ids leave room for 2 ** 20 turns."""
-    return t("conversations").select((F.col("conv_id").cast("long") * (1 << 20) + F.col("turn")).alias("id"), "text", _day().alias("date"), "conv_id")
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("conv_id") % 28 + 1).cast("string"), 2, "0"))
+    return t("conversations").select((F.col("conv_id").cast("long") * (1 << 20) + F.col("turn")).alias("id"), "text", day.alias("date"), "conv_id")
 
 
 @query(f"WITH {PAIRS} SELECT a, b, overlap FROM p")
 def event_blocks(spark, t):
-    return events.blocked_pairs(_mentions(t), most_seen=40)
+    return events.blocked_pairs(_mentions(t))
+
+
+@query(f"WITH {REPS} SELECT id, min(id) OVER (PARTITION BY body, date) AS rep FROM n")
+def event_copies(spark, t):
+    """Which mention stands for each in event_blocks."""
+    return events.representatives(_mentions(t))
 
 
 @query(f"WITH {PAIRS} SELECT p.a, p.b, round(len(list_intersect(x.terms, y.terms)) / greatest(1, least(len(x.terms), len(y.terms))), 6)::DOUBLE AS share FROM p JOIN b x ON x.id = p.a JOIN b y ON y.id = p.b WHERE x.date = y.date")
 def pair_similarity(spark, t):
     mentions = _mentions(t)
-    terms = mentions.select("id", "date", events.event_terms(F.col("text")).alias("terms"))
+    terms = mentions.select("id", "date", events.event_terms(F.coalesce("text", F.lit(""))).alias("terms"))
     x, y = (terms.select(F.col("id").alias(c), F.col("date").alias(f"{c}_date"), F.col("terms").alias(f"{c}_terms")) for c in "ab")
-    met = events.blocked_pairs(mentions, most_seen=40).join(x, "a").join(y, "b").where("a_date = b_date")
+    met = events.blocked_pairs(mentions).join(x, "a").join(y, "b").where("a_date = b_date")
     return met.select("a", "b", F.round(events.similar(F.col("a_terms"), F.col("b_terms")), 6).alias("share"))
 
 
+@query(f"WITH {PAIRS} SELECT p.a, p.b FROM p JOIN b x ON x.id = p.a JOIN b y ON y.id = p.b WHERE x.date = y.date AND (array_to_string(list_sort(list_distinct(regexp_extract_all(x.body, '[0-9]+(?:[.,][0-9]+)*'))), ' ') = array_to_string(list_sort(list_distinct(regexp_extract_all(y.body, '[0-9]+(?:[.,][0-9]+)*'))), ' ') OR NOT regexp_matches(x.body, '[0-9]') OR NOT regexp_matches(y.body, '[0-9]'))")
+def compatible_pairs(spark, t):
+    """Pairs that neither dates nor numbers keep apart."""
+    facts = _mentions(t).select("id", "date", events.numeric_signature(F.lower(F.coalesce("text", F.lit("")))).alias("numbers"))
+    x, y = (facts.select(F.col("id").alias(c), F.col("date").alias(f"{c}_date"), F.col("numbers").alias(f"{c}_numbers")) for c in "ab")
+    met = events.blocked_pairs(_mentions(t)).join(x, "a").join(y, "b")
+    return met.where(events.no_conflict(*map(F.col, ("a_date", "b_date", "a_numbers", "b_numbers")))).select("a", "b")
+
+
 @query()
 def cluster_greedy(spark, t):
-    return events.clustered(_all_mentions(t), "date").select("date", "id", "cluster")
+    return events.clustered(_mentions(t), "date").select("date", "id", "cluster")
 
 
 @query()
 def cluster_events(spark, t):
-    mentions = _all_mentions(t)
+    mentions = _mentions(t)
     found = events.clustered(mentions, "date").join(mentions.select("id", "text"), "id")
     out = events.cluster_events(found.withColumn("block", F.col("date")), "block", "cluster")
     return out.select("block", "cluster", F.size("mentions").alias("mentions"), "text", "date").orderBy(*events.event_order(key="cluster"))
@@ -149,59 +186,74 @@ def correspondence_flag(spark, t):
     return passages.sticky(t("conversations"), (F.col("role") == "assistant").cast("int"), "conv_id", order="turn").select("conv_id", "turn", "quoted")
 
 
-@query("SELECT event_id, event_type, day, row_number() OVER (ORDER BY coalesce(day, '9999'), event_type, event_id)::INT AS place FROM (SELECT event_id, event_type, CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events WHERE event_id < 500)")
+@query("SELECT event_id, event_type, day, row_number() OVER (ORDER BY coalesce(day, '9999'), event_type, event_id)::BIGINT AS place FROM (SELECT event_id, event_type, CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events)")
 def timeline_order(spark, t):
-    rows = t("events").where("event_id < 500").select("event_id", "event_type", F.when(F.col("event_id") % 5 > 0, F.date_format("ts", "yyyy-MM-dd")).alias("day"))
-    order = events.event_order("day", "event_type", "event_id")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    rows = t("events").select("event_id", "event_type", F.when(F.col("event_id") % 5 > 0, F.date_format("ts", "yyyy-MM-dd")).alias("day"))
+    return search.places(rows, *events.event_order("day", "event_type", "event_id"))
 
 
-@query("SELECT e.user_id, e.event_id, d.event_id AS date_id, date_diff('second', d.ts, e.ts)::BIGINT AS apart FROM events e JOIN events d ON d.user_id = e.user_id AND d.event_type = 'view' AND d.ts < e.ts AND date_diff('second', d.ts, e.ts) < 21600 WHERE e.event_type = 'purchase'")
+@query("WITH v AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS s FROM events), m AS (SELECT e.user_id, e.event_id, d.event_id AS date_id, e.s - d.s AS apart, (d.s >= e.s)::INT AS inside FROM v e JOIN v d ON d.user_id = e.user_id AND d.event_type = 'view' AND ((d.s >= e.s AND d.s <= e.s) OR (d.s <= e.s AND e.s - d.s < 21600)) WHERE e.event_type = 'purchase') SELECT user_id, event_id, date_id, apart FROM (SELECT *, max(inside) OVER (PARTITION BY user_id, event_id) AS best FROM m) WHERE inside = best")
 def nearby_dates(spark, t):
     ev = t("events").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    e = ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), "ts", F.col("s").alias("start"), F.col("s").alias("end"))
-    d = ev.where("event_type = 'view'").select("user_id", F.col("event_id").alias("date_id"), F.col("ts").alias("d_ts"), F.col("s").alias("d_start"), F.col("s").alias("d_end"))
-    met = e.join(d, "user_id").where((F.col("d_ts") < F.col("ts")) & (F.col("start") - F.col("d_start") < 21600))
+    told = ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("s").alias("start"), F.col("s").alias("end"))
+    seen = ev.where("event_type = 'view'").select("user_id", F.col("event_id").alias("date_id"), F.col("s").alias("d_start"), F.col("s").alias("d_end"))
+    met = events.nearby_dates(told, seen, "user_id", reach=21600)
     return met.select("user_id", F.col("id").alias("event_id"), "date_id", (F.col("start") - F.col("d_start")).alias("apart"))
 
 
-LOCATORS = ["8", "8(1)", "8(1)(a)", "8(1)(b)", "8(2)", "9.1", "9.1(1)", "9.1(2)", "10(3)(c)(ii)", "bad("]
-PICKED = ["8(1)(a)", "8(1)(b)", "9.1(1)", "8(1)"]
-_LOC = ", ".join(f"('{x}')" for x in LOCATORS)
-_PICK = ", ".join(f"('{x}')" for x in PICKED)
-ANCESTORS = r"(SELECT l, root || array_to_string(parts[:i], '') AS a, i FROM (SELECT l, regexp_extract(l, '^([0-9.]+)', 1) AS root, regexp_extract_all(l, '\([^()]+\)') AS parts, unnest(generate_series(0, len(regexp_extract_all(l, '\([^()]+\)')) - 1)) AS i FROM v WHERE regexp_matches(l, '^[0-9]+(\.[0-9]+)*(\([^()]+\))*$')))"
+# Every part names a provision, up to three steps deep; a few are malformed.
+_DEEP = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '(' || p_partkey % 5 || ')' WHEN 2 THEN '(' || p_partkey % 5 || ')(' || chr((97 + p_partkey % 3)::INT) || ')' ELSE '.1(' || p_partkey % 2 || ')' END"
+_LOCATED = f"v AS (SELECT DISTINCT l, odd FROM (SELECT p_size || {_DEEP} || CASE WHEN p_partkey % 97 = 0 THEN '(' ELSE '' END AS l, p_partkey % 3 = 0 AS odd FROM part))"
+_ROOTED = r"SELECT l, odd, regexp_extract(l, '^([0-9.]+)', 1) AS root, regexp_extract_all(l, '\([^()]+\)') AS parts FROM v WHERE regexp_matches(l, '^[0-9]+(\.[0-9]+)*(\([^()]+\))*$')"
+ANCESTORS = f"(SELECT l, odd, root || array_to_string(parts[:i], '') AS a, i FROM (SELECT *, unnest(generate_series(0, len(parts) - 1)) AS i FROM ({_ROOTED})))"
 
 
-def _locators(spark, values):
-    return spark.createDataFrame([(x,) for x in values], "locator string")
+def _located(t):
+    k = F.col("p_partkey")
+    step = lambda c: F.concat(F.lit("("), c, F.lit(")"))
+    one, letter = (k % 5).cast("string"), F.chr(97 + k % 3)
+    deep = F.when(k % 4 == 0, "").when(k % 4 == 1, step(one)).when(k % 4 == 2, F.concat(step(one), step(letter))).otherwise(F.concat(F.lit(".1"), step((k % 2).cast("string"))))
+    return t("part").select(F.concat(F.col("p_size").cast("string"), deep, F.when(k % 97 == 0, "(").otherwise("")).alias("locator"), (k % 3 == 0).alias("odd")).distinct()
 
 
-@query(f"WITH v(l) AS (VALUES {_LOC}) SELECT l AS locator, a AS ancestor FROM {ANCESTORS}")
+@query(f"WITH {_LOCATED} SELECT DISTINCT l AS locator, a AS ancestor FROM {ANCESTORS}")
 def locator_ancestors(spark, t):
-    return _locators(spark, LOCATORS).select("locator", F.explode(locators.ancestors(F.col("locator"))).alias("ancestor"))
+    return _located(t).select("locator").distinct().select("locator", F.explode(locators.ancestors(F.col("locator"))).alias("ancestor"))
 
 
-@query(f"WITH v(l) AS (VALUES {_PICK}) SELECT l AS locator FROM v WHERE l NOT IN (SELECT a FROM {ANCESTORS})")
+@query(f"WITH {_LOCATED} SELECT DISTINCT l AS locator FROM v WHERE odd AND l NOT IN (SELECT a FROM {ANCESTORS} WHERE odd)")
 def prune_ancestors(spark, t):
-    return trees.pruned(_locators(spark, PICKED))
+    return trees.pruned(_located(t).where("odd").select("locator"))
 
 
-@query("SELECT unnest(['8(1)', '9.1(1)']) AS locator")
+_FAMILY = f"a AS (SELECT DISTINCT l, a FROM {ANCESTORS}), n AS (SELECT DISTINCT l FROM ({_ROOTED})), lf AS (SELECT l FROM n WHERE l NOT IN (SELECT a FROM a)), pk AS (SELECT DISTINCT l FROM v WHERE odd), un AS (SELECT lf.l AS leaf, a.a AS node FROM lf JOIN a USING (l) UNION ALL SELECT l, l FROM lf), fu AS (SELECT node FROM un GROUP BY node HAVING bool_and(leaf IN (SELECT l FROM pk)) AND node IN (SELECT l FROM n))"
+
+
+@query(f"WITH {_LOCATED}, {_FAMILY} SELECT node AS locator FROM fu WHERE node NOT IN (SELECT a.l FROM a JOIN fu x ON x.node = a.a)")
 def collapse_complete(spark, t):
-    return trees.collapsed(_locators(spark, LOCATORS[:-1]), _locators(spark, ["8(1)(a)", "8(1)(b)", "9.1(1)"]))
+    good = _located(t).where(F.col("locator").rlike(locators.SHAPE))
+    return trees.collapsed(good.select("locator"), good.where("odd").select("locator"))
+
+
+@query(f"WITH {_LOCATED}, {_FAMILY}, an AS (SELECT l AS up, 'A' || l AS anchor FROM n WHERE length(l) % 2 = 1), li AS (SELECT l, l AS up, 99 AS i FROM n UNION ALL SELECT l, a, length(a) FROM a) SELECT n.l AS locator, arg_max(an.anchor, li.i) AS anchor FROM n LEFT JOIN li USING (l) LEFT JOIN an USING (up) GROUP BY n.l")
+def nearest_anchor(spark, t):
+    good = _located(t).select("locator").where(F.col("locator").rlike(locators.SHAPE)).distinct()
+    anchors = good.where("length(locator) % 2 = 1").select("locator", F.concat(F.lit("A"), "locator").alias("anchor"))
+    return trees.nearest_anchor(good, anchors)
 
 
-@query("SELECT * FROM (VALUES ('sec7subsec2', '7(2)'), ('#section12.1para(a', NULL), ('art5', '5'), ('rule3subruleX', NULL), ('sec7subsec2paraa', '7(2)(a)')) v(token, locator)")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || '(' || p_partkey || ')' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size || '(' || p_partkey || ')(a)' END AS locator FROM part")
 def provision_tokens(spark, t):
-    rows = spark.createDataFrame([(x,) for x in ("sec7subsec2", "#section12.1para(a", "art5", "rule3subruleX", "sec7subsec2paraa")], "token string")
-    return rows.select("token", locators.decode(F.col("token")).alias("locator"))
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    way = F.col("p_partkey") % 5
+    token = F.when(way == 0, F.concat(F.lit("sec"), size, F.lit("subsec"), k)).when(way == 1, F.concat(F.lit("#art"), size)).when(way == 2, F.concat(F.lit("section"), size, F.lit("subsec"), k, F.lit("paraa"))).when(way == 3, F.concat(F.lit("rule"), size, F.lit("subruleX"))).otherwise(F.concat(F.lit("sec"), size, F.lit("para(a")))
+    return t("part").select("p_partkey", locators.decode(token).alias("locator"))
 
 
 @query()
 def longest_run(spark, t):
-    run = F.udf(lambda v: passages.longest_run([int(x) for x in v]), "array<int>")
     rows = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"] % 9).alias("v"))
-    return rows.select("user_id", F.size(run("v")).alias("n"))
+    return rows.select("user_id", F.size(passages.longest_runs("v")).alias("n"))
 
 
 @query("SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, n, lag(n) OVER (PARTITION BY user_id ORDER BY n) AS before FROM (SELECT DISTINCT user_id, day(ts) AS n FROM events)) GROUP BY user_id HAVING count(*) >= 3 AND bool_and(before IS NULL OR n - before = 1)")
@@ -212,9 +264,8 @@ def consecutive_pages(spark, t):
 
 @query("SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS start, coalesce(lead(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id), 1706745600)::BIGINT AS \"end\" FROM events")
 def unit_ends(spark, t):
-    rows = t("events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("start"))
-    order = Window.partitionBy("user_id").orderBy("start", "event_id")
-    return rows.withColumn("end", F.coalesce(F.lead("start").over(order), F.lit(1706745600)))
+    rows = t("events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("start"), F.lit(1706745600).cast("long").alias("root_end"))
+    return passages.ends(rows, "user_id", total="root_end", tie=("event_id",)).select("user_id", "event_id", "start", "end")
 
 
 @query("""WITH r AS (SELECT p_partkey AS k, p_brand AS brand, p_type AS type, p_name AS name FROM part),
@@ -273,7 +324,7 @@ def _forest(t):
 def folder_closure(spark, t):
     many = t("supplier").count()
     filings = t("customer").select(F.col("c_custkey").alias("doc"), F.concat(F.lit("s"), F.col("c_custkey") % many).alias("folder"))
-    return trees.counts(filings, trees.closure(_forest(t), levels=4))
+    return trees.counts(filings, trees.closure(_forest(t)))
 
 
 @query(f"WITH RECURSIVE {FOREST}, fil AS (SELECT c_custkey AS doc, 'n' || c_nationkey AS folder FROM customer UNION SELECT c_custkey, 's' || s_suppkey FROM customer JOIN supplier ON s_suppkey = c_custkey AND s_nationkey = c_nationkey) SELECT doc, folder FROM fil x WHERE NOT EXISTS (SELECT 1 FROM fil y JOIN f ON f.id = y.folder AND f.parent = x.folder WHERE y.doc = x.doc)")
@@ -282,7 +333,7 @@ def shown_filings(spark, t):
     filings = c.select(F.col("c_custkey").alias("doc"), F.concat(F.lit("n"), "c_nationkey").alias("folder"))
     below = c.join(t("supplier"), (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
     filings = filings.unionByName(below.select(F.col("c_custkey").alias("doc"), F.concat(F.lit("s"), "s_suppkey").alias("folder"))).distinct()
-    return trees.shown(filings, trees.closure(_forest(t), levels=4))
+    return trees.shown(filings, trees.closure(_forest(t)))
 
 
 @query("SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_name)::INT - 1 AS place FROM supplier")
@@ -297,9 +348,9 @@ def near_duplicate_hash(spark, t):
     return rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query(r"""SELECT '"' || doc_id || '","' || CASE WHEN regexp_matches(c, '^[=+@\-\t\r]') THEN '''' ELSE '' END || replace(c, '"', '""') || '"' AS line FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' ELSE '' END || left(text, 30) AS c FROM documents)""")
+@query(r"""SELECT '"' || doc_id || '","' || CASE WHEN regexp_matches(c, '^[=+@\-\t\r]') THEN '''' ELSE '' END || replace(c, '"', '""') || '"' AS line FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' ELSE '' END || text AS c FROM documents)""")
 def csv_guard(spark, t):
-    cell = F.concat(F.when(F.col("doc_id") % 3 == 0, "=").otherwise(""), F.substring("text", 1, 30))
+    cell = F.concat(F.when(F.col("doc_id") % 3 == 0, "=").otherwise(""), F.col("text"))
     return writers.csv_lines(t("documents").select("doc_id", cell.alias("c")))
 
 
@@ -310,9 +361,9 @@ def fragment_links(spark, t):
     return made.select("doc_id", F.length("d").alias("chars"), fragments.find_directive("text", "d").alias("at")).select("doc_id", "chars", F.col("at.start").alias("start"))
 
 
-@query("SELECT o_orderkey, '<mark>' AS mark, regexp_replace(replace(replace(o_orderpriority, '&', '&amp;'), '<', '&lt;'), '(?i)\\b(URGENT|LOW)\\b', '<mark>\\1</mark>', 'g') AS html FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey, '<mark>' AS mark, regexp_replace(replace(replace(o_orderpriority, '&', '&amp;'), '<', '&lt;'), '(?i)\\b(URGENT|LOW)\\b', '<mark>\\1</mark>', 'g') AS html FROM orders")
 def highlighted(spark, t):
-    return t("orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.lit("<mark>").alias("mark"), tx.highlight(F.col("o_orderpriority"), ["urgent", "low"]).alias("html"))
+    return t("orders").select("o_orderkey", F.lit("<mark>").alias("mark"), tx.highlight(F.col("o_orderpriority"), ["urgent", "low"]).alias("html"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(?:if|unless|would|could|might|si)\\b') THEN 'conditional' WHEN regexp_matches(text, '(?i)\\b(?:not|never|denied|denies|refused|ne .{1,20} pas)\\b') THEN 'denied' WHEN regexp_matches(text, '(?i)\\b(?:please|request(?:ed|s)?|asked|demanded|veuillez)\\b') THEN 'requested' ELSE 'stated' END AS status FROM documents")
