@@ -98,3 +98,45 @@ def test_upserts_can_be_tried_again(spark, tmp_path):
         kept.apply(frame((1, 3, "A", False), (2, 2, None, True)), 1)
     kept.apply(frame((1, 2, "late", False)), 2)
     assert [tuple(r) for r in kept.current().select("k", "v").collect()] == [(1, "A")]
+
+
+def test_snapshots_are_checked(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"one")
+    (tmp_path / "y.bin").write_bytes(b"two!")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    files = [{"path": "a/x.bin", "size": 3, "sha256": sha(b"one").upper()}, {"path": "y.bin", "size": 3, "sha256": sha(b"two")}, {"path": "z.bin", "size": 0, "sha256": sha(b"")}]
+    assert {r.path: r.intact for r in readers.snapshot(spark, str(tmp_path), files).collect()} == {"a/x.bin": True, "y.bin": False, "z.bin": False}
+
+
+def test_upserts_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 2)
+    kept = incremental.Upserts(spark, str(tmp_path / "t"), "k", "seq")
+    for n in range(7):
+        for _ in range(2):  # every batch is tried twice
+            kept.apply(spark.createDataFrame([(n % 3, n, f"v{n}"), (9, 0, "first")], "k int, seq int, v string"), n)
+    assert sorted(tuple(r) for r in kept.current().select("k", "v").collect()) == [(0, "v6"), (1, "v4"), (2, "v5"), (9, "first")]
+    names = {p.name for p in (tmp_path / "t").iterdir()}
+    assert "v5" in names and "d6" in names and not names & {"d0", "d1", "v1"}
+
+
+def test_generic_text_goes_by_language(spark):
+    df = spark.createDataFrame([("a", "Fr", "bonjour"), ("b", "en", "hello")], "ID string, Language string, speech_text string")
+    assert [(r.text_en, r.text_fr, r.citation) for r in readers.projected(df).collect()] == [("", "bonjour", "a"), ("hello", "", "b")]
+
+
+def test_many_queries_go_in_blocks(spark, sf, monkeypatch):
+    from textloom.operators import nearest
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = rows.where("vec_id < 7").select(rows.vec_id.alias("query_id"), rows.embedding.alias("query"))
+    want = sorted(map(tuple, nearest.search(rows, asked, 3).collect()))
+    monkeypatch.setattr(nearest, "QUERIES", 2)
+    assert sorted(map(tuple, nearest.search(rows, asked, 3).collect())) == want
+
+
+def test_gaps_cross_ranges(spark):
+    rows = spark.createDataFrame([("a", p) for p in (0, 3, 4, 9, 17, 18)] + [("b", 12)], "term string, pid long")
+    assert sorted((r.term, r.pid, r.gap) for r in index.gaps(rows, 4).collect()) == [("a", 0, 0), ("a", 3, 2), ("a", 4, 0), ("a", 9, 4), ("a", 17, 7), ("a", 18, 0), ("b", 12, 12)]

@@ -62,12 +62,16 @@ def with_impacts(index: Index) -> DataFrame:
     return joined.select("term", "pid", impact(F.col("tf"), norm(F.col("len"), F.col("avgdl").cast("float").cast("double"))).alias("q"))
 
 
-def gaps(postings: DataFrame) -> DataFrame:
-    """Postings with the distance to the term's previous unit, as a compact store would keep them."""
+def gaps(postings: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Postings with the distance to the term's previous unit, as a compact store would keep them. A frequent term is
+    split by ranges of units; the first of a range looks back to the last of the range before."""
     from pyspark.sql.window import Window
 
-    before = Window.partitionBy("term").orderBy("pid")
-    return postings.withColumn("gap", F.col("pid") - F.coalesce(F.lag("pid").over(before), F.lit(-1)) - 1)
+    cut = postings.withColumn("__range", F.expr(f"pid div {span}"))
+    last = cut.groupBy("term", "__range").agg(F.max("pid").alias("__last"))
+    last = last.withColumn("__last", F.lag("__last").over(Window.partitionBy("term").orderBy("__range")))
+    before = F.coalesce(F.lag("pid").over(Window.partitionBy("term", "__range").orderBy("pid")), F.col("__last"), F.lit(-1))
+    return cut.join(last, ["term", "__range"]).withColumn("gap", F.col("pid") - before - 1).drop("__range", "__last")
 
 
 BLOCK = 256  # units whose greatest impact is kept for each term

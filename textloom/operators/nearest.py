@@ -26,14 +26,44 @@ def quantised(a: Column) -> Column:
     return F.struct(q.alias("q"), (1 / length(q)).cast("float").alias("inverse"))
 
 
+QUERIES = 1000  # that one task holds at a time
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", digits: int = 6) -> DataFrame:
-    """The k best rows for each of a few queries: every row is scored, and nothing but (query, key, score) is ranked.
-    queries has query_key and `query`; a fixed few, sent to all tasks."""
-    scored = rows.join(F.broadcast(queries)).select(query_key, key, F.round(cosine(F.col("query"), F.col(vector)), digits).alias("score"))
+    """The k best rows for each of a stated set of queries (query_key, query): every row is scored, and nothing but
+    (query, key, score) is ranked. Up to QUERIES of them are sent to all tasks; more go in blocks, which the rows meet
+    one after another."""
+    many = queries.count()
+    if many <= QUERIES:
+        met = rows.join(F.broadcast(queries))
+    else:
+        blocks = -(-many // QUERIES)
+        block = F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int")
+        met = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries.withColumn("__block", block), "__block")
+    scored = met.select(query_key, key, F.round(cosine(F.col("query"), F.col(vector)), digits).alias("score"))
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def window_maximum(scores: DataFrame, *keys: str, score: str = "score") -> DataFrame:
+    """What the best window of a passage scores, and how many windows it has."""
+    return scores.groupBy(*keys).agg(F.max(score).alias(score), F.count(F.lit(1)).alias("windows"))
+
+
+def reranked(candidates: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """Candidates in order of a new score, equal ones by key; scores that are no finite numbers are refused."""
+    bad = candidates.where(F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf")))
+    if not bad.isEmpty():
+        raise ValueError(f"{score} must be finite")
+    return candidates.orderBy(F.desc(score), F.asc(key))
+
+
+def dense_first(units: DataFrame, group: str, score: str, key: str, most: int = 96) -> DataFrame:
+    """The units that go to a costlier ranking: all of a group up to `most`, else the best `most` by their dense score."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(key)))
+    return units.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
 def quantised_scores(rows: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """(key, score) with 8-bit rows and an exact unit query."""
     size = sum(x * x for x in query) ** 0.5

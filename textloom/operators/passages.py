@@ -138,6 +138,11 @@ def word_windows(words: Column, size: int = 120, stride: int = 96) -> Column:
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i * stride).alias("start"), F.slice(words, i * stride + 1, F.lit(size)).alias("words"))))
 
 
+def budget_windows(words: Column, budget: int) -> Column:
+    """Windows (start, words) of `budget` words that overlap by a quarter of it, 64 at most."""
+    return word_windows(words, budget, budget - min(64, budget // 4))
+
+
 def merged(spans: DataFrame, *keys: str, start: str = "start", end: str = "end") -> DataFrame:
     """Overlapping and touching spans of a key as one (keys, start, end, parts)."""
     order = Window.partitionBy(*keys).orderBy(start, end)

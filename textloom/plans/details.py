@@ -287,3 +287,42 @@ def fresh_state(spark, t):
 def moved_handles(spark, t):
     c = t("customer").select(F.col("c_custkey").alias("tab"), F.col("c_nationkey").alias("doc"))
     return incremental.moved(c, c.where("tab % 2 = 0"))
+
+
+@query(f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws FROM documents), i AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(1, ceil((len(ws) - 100) / 75.0)::INT + 1) - 1)) AS i FROM w WHERE len(ws) > 0), s AS (SELECT doc_id, len(list_filter(ws[i * 75 + 1:i * 75 + 100], lambda x: x = 'license' OR x = 'License'))::DOUBLE AS score FROM i) SELECT doc_id, max(score) AS score, count(*)::BIGINT AS windows FROM s GROUP BY doc_id")
+def window_maximum(spark, t):
+    """The best window of each text, by a score that any model may give; here the count of one word."""
+    cut = t("documents").select("doc_id", F.explode(passages.budget_windows(tx.words(F.col("text")), 100)).alias("w"))
+    scored = cut.select("doc_id", F.size(F.filter("w.words", lambda x: x.isin("license", "License"))).cast("double").alias("score"))
+    return nearest.window_maximum(scored, "doc_id")
+
+
+@query("SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS place FROM (SELECT doc_id, round(sqrt(n_chars), 6) AS score FROM documents ORDER BY score DESC, doc_id LIMIT 50)")
+def rerank_order(spark, t):
+    ranked = nearest.reranked(t("documents").select("doc_id", F.round(F.sqrt("n_chars"), 6).alias("score")), "doc_id").limit(50)
+    return search.places(ranked, F.desc("score"), F.asc("doc_id")).withColumn("place", F.col("place").cast("int"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 20")
+def dense_candidates(spark, t):
+    units = t("documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("score"))
+    return nearest.dense_first(units, "source", "score", "doc_id", 20).select("doc_id", "source")
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'drop' WHEN b.k IS NULL THEN 'add' WHEN a.f = b.f THEN 'keep' ELSE 'rebuild' END AS action FROM (SELECT o_custkey AS k, max(o_orderkey)::VARCHAR AS f FROM orders GROUP BY o_custkey) a FULL JOIN (SELECT o_custkey AS k, max(o_orderkey)::VARCHAR AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey UNION ALL SELECT -p_partkey - 1, 'x' FROM part) b ON a.k = b.k")
+def index_actions(spark, t):
+    """What an index over customers' orders must do, known from fingerprints alone."""
+    mark = F.max("o_orderkey").cast("string").alias("f")
+    files = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(mark)
+    index = t("orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(mark)
+    index = index.unionByName(t("part").select((-F.col("p_partkey") - 1).alias("k"), F.lit("x").alias("f")))
+    return incremental.outdated(files, index, "k", "f")
+
+
+@query("SELECT event_id, event_type, user_id, length(event_type) + user_id % 7 AS judgment FROM events")
+def memoised_judgments(spark, t):
+    """Judgments of all events, half of whose kinds a memo knows already."""
+    judge = lambda rows: rows.withColumn("judgment", F.length("event_type") + F.col("user_id") % 7)
+    rows = t("events").select("event_id", "event_type", "user_id")
+    _, memo = incremental.memoised(rows.where("user_id % 2 = 0"), None, judge, "event_type", "user_id")
+    return incremental.memoised(rows, memo, judge, "event_type", "user_id")[0].select("event_id", "event_type", "user_id", "judgment")

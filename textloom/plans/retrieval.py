@@ -99,8 +99,7 @@ def dataset_config(spark, t):
 
 @query("SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) WHERE n % 7 = 0 OR doc_id IN (3, 5, 8)")
 def systematic_sample(spark, t):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return t("documents").select("doc_id", "source").withColumn("n", n).where((F.col("n") % 7 == 0) | F.col("doc_id").isin(3, 5, 8)).select("doc_id")
+    return search.systematic(t("documents").select("doc_id", "source"), "source", "doc_id", 7, [3, 5, 8]).select("doc_id")
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS words, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS pieces FROM documents")
@@ -227,7 +226,7 @@ def authority_rank(spark, t):
     items = t("benchmark").select(F.col("item_id").cast("long").alias("key"), F.col("text").alias("item"))
     first = F.regexp_extract("item", WORD, 0)
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("word"))
-    met = words.join(F.broadcast(items.withColumn("word", first)), "word").where(F.contains("text", F.col("item")))
+    met = words.join(items.withColumn("word", first), "word").where(F.contains("text", F.col("item")))
     mentions = met.select(F.col("doc_id").alias("doc"), "key").distinct()
     cited = search.cited_by(mentions, items.select("key", F.col("key").alias("doc")))
     return cited.select("doc", "cited_by", F.round(15 * F.log10(1 + F.col("cited_by")), 6).alias("authority"))

@@ -16,23 +16,25 @@ from pyspark.sql import functions as F
 from ..functions.html import read_blocks
 from ..functions.vectorised import vectorised
 
-# The names under which each logical column may come.
+# The names under which each logical column may come, and the names of French.
 ALIASES = {
-    "row_id": "id row_id doc_id",
-    "text_en": "unofficial_text_en text_en text intervention content",
+    "row_id": "row_id id doc_id",
+    "text_en": "unofficial_text_en text_en",
     "text_fr": "unofficial_text_fr text_fr",
-    "title": "name_en title name subjectofbusiness",
-    "citation": "citation_en citation",
-    "date": "document_date_en date document_date",
-    "dataset": "dataset source jurisdiction",
-    "url": "url_en url source_url",
-    "license": "license",
-    "speaker": "personspeaking speaker",
-    "title_fr": "name_fr title_fr",
-    "citation_fr": "citation_fr",
-    "url_fr": "url_fr",
-    "date_fr": "document_date_fr date_fr",
+    "title": "name_en name_fr SubjectofBusiness title name",
+    "citation": "citation_en citation_fr ID citation",
+    "date": "document_date_en document_date_fr Date",
+    "dataset": "dataset jurisdiction source",
+    "url": "url_en source_url url_fr url",
+    "license": "upstream_license license",
+    "speaker": "PersonSpeaking speaker",
+    "title_fr": "name_fr name_en SubjectofBusiness title name",
+    "citation_fr": "citation_fr citation_en ID citation",
+    "url_fr": "url_fr url_en source_url url",
+    "date_fr": "document_date_fr document_date_en Date",
 }
+ANY_TEXT = "Intervention speech_text text content"
+FRENCH = ("fr", "fra", "french", "français", "francais")
 DEPTH = 12  # of messages inside messages
 
 
@@ -41,11 +43,21 @@ class NoText(ValueError):
 
 
 def projected(df: DataFrame) -> DataFrame:
-    """The logical columns of a table, by alias whatever the case of names: the first that is set, as text, else ''."""
+    """The logical columns of a table, by alias whatever the case of names: the first that is set, as text, else ''.
+
+    Without a text column of a language, a text column of any language goes to French where `language` says so, else to
+    English. A table without either has no text.
+    """
     there = {c.lower() for c in df.columns}
-    if not any(a in there for k in ("text_en", "text_fr") for a in ALIASES[k].split()):
+    known = lambda names: any(a.lower() in there for a in names.split())
+    if any(known(ALIASES[k]) for k in ("text_en", "text_fr")):
+        return df.select(*[_logical(df, c) for c in ALIASES])
+    if not known(ANY_TEXT):
         raise NoText(f"no text among {df.columns}")
-    return df.select(*[_logical(df, c) for c in ALIASES])
+    french = F.lower(_first(df, "language")).isin(*FRENCH)
+    text = _first(df, ANY_TEXT)
+    own = {"text_en": F.when(french, "").otherwise(text), "text_fr": F.when(french, text).otherwise("")}
+    return df.select(*[own[c].alias(c) if c in own else _logical(df, c) for c in ALIASES])
 
 
 def in_language(language: str) -> list[Column]:
@@ -79,10 +91,27 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(*[_logical(kept, c) for c in ALIASES], F.col("__row").alias("row_index"), identity.alias("file_id"), kind.alias("doc_type"))
 
 
-def _logical(df: DataFrame, name: str) -> Column:
+def _first(df: DataFrame, names: str) -> Column:
+    """The first of the named columns that is set, whatever the case of names, as text; else ''."""
     there = {c.lower(): c for c in df.columns}
-    found = [F.nullif(F.col(f"`{there[a]}`").cast("string"), F.lit("")) for a in ALIASES[name].split() if a in there]
-    return (F.coalesce(*found, F.lit("")) if found else F.lit("")).alias(name)
+    found = [F.nullif(F.col(f"`{there[a.lower()]}`").cast("string"), F.lit("")) for a in names.split() if a.lower() in there]
+    return F.coalesce(*found, F.lit("")) if found else F.lit("")
+
+
+def _logical(df: DataFrame, name: str) -> Column:
+    return _first(df, ALIASES[name]).alias(name)
+
+
+def snapshot(spark: SparkSession, base: str, files: list[dict]) -> DataFrame:
+    """(path, size, sha256, intact) of the files of a pinned snapshot, from any store that Spark reads: files names each
+    path below base with the size and SHA-256 that it must have. A missing file is not intact."""
+    wanted = spark.createDataFrame([(f["path"], int(f["size"]), f["sha256"].lower()) for f in files], "path string, size long, sha256 string")
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    # The names of the list are matched at the end of the full paths, whatever scheme the store has.
+    got = got.select(F.col("path").alias("full"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+    met = wanted.join(got, F.col("full").endswith(F.concat(F.lit("/"), F.col("path"))), "left")
+    good = (F.col("bytes") == F.col("size")) & (F.col("digest") == F.col("sha256"))
+    return met.groupBy("path", "size", "sha256").agg(F.coalesce(F.bool_or(good), F.lit(False)).alias("intact"))
 
 
 def register(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:

@@ -27,31 +27,50 @@ def newer(batch: DataFrame, table: DataFrame, key: str, seq: str) -> DataFrame:
     return latest(batch, key, seq).join(known, (F.col(key) == F.col("__key")) & (F.col(seq) <= F.col("__seq")), "left_anti")
 
 
+COMPACT = 8  # batches after which the table is written anew
+
+
 class Upserts:
-    """A keyed table kept by a stream. Each batch writes a new version under its own number, so a batch that is
-    tried again leaves the same state, and late rows with an old sequence number change nothing."""
+    """A keyed table kept by a stream. Each batch writes its own rows under its number, so a batch that is tried again
+    leaves the same state, and late rows with an old sequence number change nothing. Every COMPACT batches the whole
+    table is written, and what two earlier such versions made unnecessary is removed."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, seq: str, deleted: str | None = None):
         self.spark, self.path, self.key, self.seq, self.deleted = spark, path, key, seq, deleted
 
-    def version(self, before: int | None = None) -> int | None:
+    def _store(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return None
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName()[:1] == "v" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max([v for v in done if before is None or v < before], default=None)
-
-    def table(self, before: int | None = None) -> DataFrame | None:
-        v = self.version(before)
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v{v}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _written(self) -> dict[str, list[int]]:
+        """Numbers of the finished whole versions (v) and batches (d)."""
+        p, fs = self._store()
+        out: dict[str, list[int]] = {"v": [], "d": []}
+        for s in fs.listStatus(p) if fs.exists(p) else ():
+            name = s.getPath().getName()
+            if name[:1] in out and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                out[name[0]].append(int(name[1:]))
+        return out
+
+    def table(self, upto: int | None = None) -> DataFrame | None:
+        """The state after all batches, or those up to a number: the latest whole version and the batches since."""
+        there = self._written()
+        fits = lambda n: upto is None or n <= upto
+        base = max(filter(fits, there["v"]), default=-1)
+        parts = [f"{self.path}/v{base}"] * (base >= 0) + [f"{self.path}/d{n}" for n in sorted(there["d"]) if n > base and fits(n)]
+        return latest(self.spark.read.parquet(*parts), self.key, self.seq) if parts else None
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        old = self.table(before=number)
-        new = latest(batch, self.key, self.seq)
-        if old is not None:
-            new = latest(old.unionByName(new), self.key, self.seq)
-        new.write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        latest(batch, self.key, self.seq).write.mode("overwrite").parquet(f"{self.path}/d{number}")
+        if number % COMPACT == COMPACT - 1:
+            p, fs = self._store()
+            whole = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{number}")
+            fs.delete(whole, True)  # of an earlier try
+            self.table(number).write.parquet(f"{self.path}/v{number}")
+            for kind, numbers in self._written().items():
+                for n in numbers:
+                    if n <= number - 2 * COMPACT:
+                        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}{n}"), True)
 
     def current(self) -> DataFrame | None:
         """The rows that are not deleted."""
@@ -62,6 +81,26 @@ class Upserts:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def outdated(files: DataFrame, index: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """What an index must do about each file (key, fingerprint): keep, rebuild or add it, or drop what is gone. The
+    index's rows say under which fingerprint a file was indexed; one that changed is built anew from its first block."""
+    a = files.select(key, F.col(fingerprint).alias("__now"))
+    b = index.groupBy(key).agg(F.max(fingerprint).alias("__then"), F.min(fingerprint).alias("__other"))
+    same = (F.col("__now") == F.col("__then")) & (F.col("__then") == F.col("__other"))
+    act = F.when(F.col("__now").isNull(), "drop").when(F.col("__then").isNull(), "add").when(same, "keep").otherwise("rebuild")
+    return a.join(b, key, "full").select(key, act.alias("action"))
+
+
+def memoised(requests: DataFrame, memo: DataFrame | None, judge, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Judgments of requests and the memo that holds them too. judge(rows) adds a column `judgment`; it sees each
+    distinct request (keys) once, and none that the memo answers."""
+    asked = requests.select(*keys).distinct()
+    new = asked if memo is None else asked.join(memo, list(keys), "left_anti")
+    found = judge(new).select(*keys, "judgment")
+    known = found if memo is None else memo.select(*keys, "judgment").unionByName(found)
+    return requests.join(known, list(keys), "left"), known
+
+
 def term_counts(changes: DataFrame) -> DataFrame:
     """Signed counts (term, df) of documents that come (sign 1) and go (-1): sums of them are the index's statistics."""
     return changes.groupBy("term").agg(F.sum("sign").alias("df"))
