@@ -569,7 +569,7 @@ def test_rare_words_meet_their_counts(spark, docs, monkeypatch):
 def _model(seed, size=30):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis=None: x / x.sum(axis, keepdims=axis is not None)
-    return hmm.Model(norm(rng.random(hmm.STATES)), norm(rng.random(hmm.STATES)), norm(rng.random((hmm.STATES, hmm.STATES)), 1), norm(rng.random((size, hmm.STATES)), 0))
+    return hmm.Model(norm(rng.random(hmm.STATES)), norm(rng.random((hmm.STATES, hmm.STATES)), 1), norm(rng.random((size, hmm.STATES)), 0))
 
 
 @settings(max_examples=30, deadline=None)
@@ -591,7 +591,10 @@ def test_expected_counts_are_those_of_all_paths(monkeypatch):
     monkeypatch.setattr(hmm, "STATES", 2)
     model, seq = _model(5, 4), np.array([0, 3, 1, 1])
     sums = np.zeros((4 + 2 + 1, 2))
-    hmm.expected(seq, np.array([0]), np.array([4]), np.array([True]), model, sums)
+    hmm.expected(seq, np.array([0, 4]), model, sums)
+    cut = np.zeros_like(sums)
+    hmm.expected(seq, np.array([0, 4]), model, cut, segment=2)  # transitions between segments count too
+    assert np.allclose(cut, sums)
     want, total = np.zeros_like(sums), 0.0
     for path in itertools.product(range(2), repeat=4):
         p = model.first[path[0]] * math.prod(model.emit[s, k] for s, k in zip(seq, path, strict=True)) * math.prod(model.step[a, b] for a, b in zip(path, path[1:]))
@@ -604,6 +607,22 @@ def test_expected_counts_are_those_of_all_paths(monkeypatch):
     assert np.allclose(sums, want / total)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=7), st.integers(0, 99), st.integers(1, 25), st.integers(5, 100))
+def test_counts_do_not_depend_on_segments(lengths, seed, segment, group):
+    model, rng = _model(seed), np.random.default_rng(seed)
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    flat = rng.integers(0, 30, bounds[-1])
+    whole, cut = np.zeros((30 + hmm.STATES + 1, hmm.STATES)), np.zeros((30 + hmm.STATES + 1, hmm.STATES))
+    hmm.expected(flat, bounds, model, whole)
+    old, hmm.GROUP = hmm.GROUP, group
+    try:
+        hmm.expected(flat, bounds, model, cut, segment)
+    finally:
+        hmm.GROUP = old
+    assert np.allclose(whole, cut) and whole[:30].sum() == pytest.approx(bounds[-1]) and whole[30:-1].sum() == pytest.approx(bounds[-1] - len(lengths))
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(0)
     seqs = [rng.integers(0, 15, 40) + 15 * (i % 2) for i in range(60)]
@@ -618,7 +637,7 @@ def test_training_raises_the_likelihood():
         assert now > last - 1
         last = now
         sums = np.zeros((30 + hmm.STATES + 1, hmm.STATES))
-        hmm.expected(flat, bounds[:-1], np.diff(bounds), np.ones(60, bool), model, sums)
+        hmm.expected(flat, bounds, model, sums)
         model = hmm.Model.of(sums, lex)
     hmm.PRIOR = monkey
 

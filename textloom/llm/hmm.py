@@ -6,8 +6,10 @@ changes. So the model's tables have a fixed size, and the probability of a text
 scaled forward recursion, times those shares. Word counts stay in a table; only the most frequent ones are sent to
 every task, and the rest meet their words in a join.
 
-Training cuts texts into segments of SEGMENT symbols, whose first state has the average distribution; scoring does
-not: a long text's segments become matrices, which chain to the exact likelihood of the whole.
+Long texts are cut into segments of SEGMENT symbols that are worked on side by side. In scoring, a segment becomes a
+matrix, which takes a state before it to the states at its end, and the matrices chain to the exact likelihood of the
+whole. In training they also chain to what stands before and after each segment, so expected counts are those of whole
+texts, transitions between segments included.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ SYMBOLS = 8192  # words that are symbols of their own
 TAILS = 1024  # classes of the other words
 FREQUENT = 1 << 18  # words whose counts every task holds, at most
 ROUNDS = 5
-SEGMENT = 512
+SEGMENT = 4096
+GROUP = 1 << 20  # symbols that are worked on side by side
 PRIOR = 50.0  # weight of the symbols' overall shares in every state
 _CASE = np.arange(256, dtype=np.uint64)
 _CASE[65:91] += 32
@@ -114,7 +117,6 @@ def lexicon(counts: DataFrame, texts: int) -> Lexicon:
 @dataclass
 class Model:
     first: np.ndarray  # of the states of a text's first symbol
-    inner: np.ndarray  # of the states of a later segment's first symbol
     step: np.ndarray
     emit: np.ndarray  # a row for each symbol
 
@@ -125,15 +127,15 @@ class Model:
         step = np.full((STATES, STATES), 0.05 / (STATES - 1))
         np.fill_diagonal(step, 0.95)
         even = np.full(STATES, 1 / STATES)
-        return Model(even, even, step, emit / emit.sum(0))
+        return Model(even, step, emit / emit.sum(0))
 
     @staticmethod
     def of(sums: np.ndarray, lex: Lexicon) -> Model:
         """From summed counts: a row for each symbol, then for each state (its successors), then firsts."""
         emit = sums[: lex.size] + PRIOR * lex.share[:, None]
         step = sums[lex.size : lex.size + STATES] + 1
-        first, inner = sums[-1] + 1, sums[: lex.size].sum(0) + 1
-        return Model(first / first.sum(), inner / inner.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+        first = sums[-1] + 1
+        return Model(first / first.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _packed(flat: np.ndarray, start: np.ndarray, length: np.ndarray):
@@ -144,14 +146,88 @@ def _packed(flat: np.ndarray, start: np.ndarray, length: np.ndarray):
     return order, start, alive
 
 
-def expected(flat: np.ndarray, start: np.ndarray, length: np.ndarray, opens: np.ndarray, model: Model, sums: np.ndarray) -> None:
-    """Add the expected counts of these segments to sums. opens marks segments that begin a text."""
+def _pieces(bounds: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and length of the segments of all sequences, in order."""
+    size = np.diff(bounds)
+    many = -(-size // segment)
+    text = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    start = bounds[:-1][text] + nth * segment
+    return text, start, np.minimum(segment, bounds[1:][text] - start)
+
+
+def _passed(flat: np.ndarray, start: np.ndarray, length: np.ndarray, into: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """State distributions at the end of segments that begin with the distributions `into`, and log10 probabilities."""
+    order, first, alive = _packed(flat, start, length)
+    a = into[order] * model.emit[flat[first]]
+    logs, last = np.zeros(len(order)), np.zeros((len(order), STATES))
+    for t in range(len(alive)):
+        if t:
+            last[alive[t] : len(a)] = a[alive[t] :]
+            a = (a[: alive[t]] @ model.step) * model.emit[flat[first[: alive[t]] + t]]
+        scale = a.sum(1)
+        a = a / scale[:, None]
+        logs[: len(a)] += np.log10(scale)
+    last[: len(a)] = a
+    ends, sizes = np.empty_like(last), np.empty_like(logs)
+    ends[order], sizes[order] = last, logs
+    return ends, sizes
+
+
+def _matrices(flat: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray, model: Model) -> tuple[list, list]:
+    """For each segment the distributions at its end and their log10 weights: one row for a segment that opens a text,
+    else one for each state before it."""
+    opens = np.concatenate(([True], text[1:] != text[:-1]))
+    rows = np.where(opens, 1, STATES)
+    piece = np.repeat(np.arange(len(text)), rows)
+    state = np.arange(len(piece)) - np.repeat(np.cumsum(rows) - rows, rows)
+    into = np.where(opens[piece][:, None], model.first, model.step[state])
+    ends, logs = _passed(flat, start[piece], length[piece], into, model)
+    cuts = np.cumsum(rows)[:-1]
+    return np.split(ends, cuts), np.split(logs, cuts)
+
+
+def _around(flat: np.ndarray, text: np.ndarray, start: np.ndarray, length: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment: the distribution of the state before it (of no use where it opens a text), and the weight of
+    every state at its end for what follows in the text."""
+    before, after = np.zeros((len(text), STATES)), np.ones((len(text), STATES))
+    several = np.flatnonzero(np.bincount(text)[text] > 1)
+    if not len(several):
+        return before, after
+    ends, logs = _matrices(flat, text[several], start[several], length[several], model)
+    weights = [10.0 ** (x - x.max()) for x in logs]
+    for j, i in enumerate(several.tolist()):
+        if j and text[several[j - 1]] == text[i]:
+            p = several[j - 1]
+            now = ends[j - 1][0] if len(ends[j - 1]) == 1 else (before[p] * weights[j - 1]) @ ends[j - 1]
+            before[i] = now / now.sum()
+    for j in range(len(several) - 2, -1, -1):
+        if text[several[j]] == text[several[j + 1]]:
+            now = weights[j + 1] * (ends[j + 1] @ after[several[j + 1]])
+            after[several[j]] = now / now.max()
+    return before, after
+
+
+def expected(flat: np.ndarray, bounds: np.ndarray, model: Model, sums: np.ndarray, segment: int = SEGMENT) -> None:
+    """Add the expected counts of the whole sequences flat[bounds[i]:bounds[i + 1]] (none empty) to sums."""
+    text, start, length = _pieces(bounds, segment)
+    before, after = _around(flat, text, start, length, model)
+    opens = np.concatenate(([True], text[1:] != text[:-1]))
+    rank = np.argsort(-length, kind="stable")
+    group = (np.cumsum(length[rank]) - 1) // GROUP  # segments of similar length go together
+    for own in np.split(rank, np.flatnonzero(np.diff(group)) + 1):
+        _counted(flat, start[own], length[own], opens[own], before[own], after[own], model, sums)
+
+
+def _counted(flat, start, length, opens, before, after, model: Model, sums: np.ndarray) -> None:
+    """Add the expected counts of segments, given what stands before and after them."""
     order, start, alive = _packed(flat, start, length)
-    opens = opens[order]
-    a = np.where(opens[:, None], model.first, model.inner) * model.emit[flat[start]]
+    opens, before, after = opens[order], before[order], after[order]
+    e = model.emit[flat[start]]
+    a = np.where(opens[:, None], model.first, before @ model.step) * e
     scale = a.sum(1)
     a /= scale[:, None]
-    alphas, emits, scales = [a], [None], [scale]
+    alphas, emits, scales = [a], [e], [scale]
     for t in range(1, len(alive)):
         e = model.emit[flat[start[: alive[t]] + t]]
         a = (a[: alive[t]] @ model.step) * e
@@ -160,16 +236,18 @@ def expected(flat: np.ndarray, start: np.ndarray, length: np.ndarray, opens: np.
         alphas.append(a)
         emits.append(e)
         scales.append(scale)
-    b = np.ones_like(alphas[-1])
+    ending = lambda t, n: after[n : alive[t]] / (alphas[t][n:] * after[n : alive[t]]).sum(1)[:, None]
+    b = ending(len(alive) - 1, 0)
     moves = np.zeros((STATES, STATES))
     gammas = [None] * len(alive)
     for t in range(len(alive) - 1, -1, -1):
         gammas[t] = alphas[t] * b
+        w = emits[t] * b / scales[t][:, None]
         if t:
-            w = emits[t] * b / scales[t][:, None]
             moves += alphas[t - 1][: alive[t]].T @ w
-            b = np.ones_like(alphas[t - 1])
-            b[: alive[t]] = w @ model.step.T
+            b = np.concatenate((w @ model.step.T, ending(t - 1, alive[t])))
+        else:
+            moves += before[~opens].T @ w[~opens]
     where = np.concatenate([start[: alive[t]] + t for t in range(len(alive))])
     gamma = np.concatenate(gammas)
     size = len(sums) - STATES - 1
@@ -179,50 +257,18 @@ def expected(flat: np.ndarray, start: np.ndarray, length: np.ndarray, opens: np.
     sums[-1] += gammas[0][opens].sum(0)
 
 
-def log10_likelihood(flat: np.ndarray, bounds: np.ndarray, model: Model, segment: int = 2 * SEGMENT) -> np.ndarray:
+def log10_likelihood(flat: np.ndarray, bounds: np.ndarray, model: Model, segment: int = 1024) -> np.ndarray:
     """log10 probability of each whole sequence flat[bounds[i]:bounds[i + 1]] (none empty)."""
-    text, start, length, state = [], [], [], []
-    for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        for at in range(lo, hi, segment):
-            own = [-1] if at == lo else range(STATES)  # -1: from the first states; else from one state before it
-            for k in own:
-                text.append(i)
-                start.append(at)
-                length.append(min(segment, hi - at))
-                state.append(k)
-    start, length, state = np.array(start), np.array(length), np.array(state)
-    order, sorted_start, alive = _packed(flat, start, length)
-    into = np.vstack((model.step, model.first))[state[order]]
-    a = into * model.emit[flat[sorted_start]]
-    logs = np.zeros(len(order))
-    last = np.zeros((len(order), STATES))
-    for t in range(len(alive)):
-        if t:
-            done = alive[t]
-            last[done : len(a)] = a[done:]
-            a = (a[:done] @ model.step) * model.emit[flat[sorted_start[:done] + t]]
-        scale = a.sum(1)
-        a = a / scale[:, None]
-        logs[: len(a)] += np.log10(scale)
-    last[: len(a)] = a
-    ends, sizes = np.empty_like(last), np.empty_like(logs)
-    ends[order], sizes[order] = last, logs
-    out = np.zeros(len(bounds) - 1)
-    now = None
-    at = 0
-    while at < len(text):
-        i = text[at]
-        if state[at] < 0:
-            now, out[i] = ends[at], sizes[at]
-            at += 1
+    text, start, length = _pieces(bounds, segment)
+    ends, logs = _matrices(flat, text, start, length, model)
+    out, now = np.zeros(len(bounds) - 1), None
+    for i, own, size in zip(text.tolist(), ends, logs, strict=True):
+        if len(own) == 1:
+            now, out[i] = own[0], size[0]
             continue
-        rows = slice(at, at + STATES)
-        top = sizes[rows].max()
-        now = (now * 10.0 ** (sizes[rows] - top)) @ ends[rows]
-        total = now.sum()
-        out[i] += top + math.log10(total)
-        now = now / total
-        at += STATES
+        now = (now * 10.0 ** (size - size.max())) @ own
+        out[i] += size.max() + math.log10(now.sum())
+        now = now / now.sum()
     return out
 
 
@@ -270,11 +316,8 @@ def _round(texts: DataFrame, lex: Lexicon, model: Model) -> Model:
         model, sums = shared.value, np.zeros((height, STATES))
         for batch in batches:
             flat, off = _sequences(batch.column(0))
-            pieces = [(at, min(SEGMENT, hi - at), at == lo) for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for at in range(lo, hi, SEGMENT)]
-            pieces.sort(key=lambda x: -x[1])
-            for at in range(0, len(pieces), 1000):
-                start, length, opens = (np.array(x) for x in zip(*pieces[at : at + 1000], strict=True))
-                expected(flat, start, length, opens, model, sums)
+            if len(off) > 1:
+                expected(flat, off, model, sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(height)), *(pa.array(sums[:, k]) for k in range(STATES))], names=["at", *(f"k{k}" for k in range(STATES))])
 
     parts = texts.select("symbols").mapInArrow(expect, "at long, " + ", ".join(f"k{k} double" for k in range(STATES)))
