@@ -296,6 +296,55 @@ def test_labels_reach_the_end_of_a_skip_chain():
     assert np.abs(belief[:401] - want).max() < 1e-2 and np.abs(belief[401:] - 0.2).max() < 1e-9
 
 
+def _field(rng, units, edges):
+    g = pii.Graph()
+    g.text, g.shape, g.label = [0] * units, rng.integers(0, pii.SHAPES, units).tolist(), [0] * units
+    g.sweeps, g.edges = [400] * units, edges
+    unary = np.log(rng.dirichlet(np.ones(pii.LABELS), pii.SHAPES))
+    pairs = rng.normal(0, 1, (2, pii.LABELS, pii.LABELS))
+    return g, unary, pairs
+
+
+def _marginals(g, unary, pairs):
+    """By all labelings of a small field."""
+    n = len(g.shape)
+    out = np.zeros((n, pii.LABELS))
+    for own in itertools.product(range(pii.LABELS), repeat=n):
+        if all(not seen or own[i] == seen for i, seen in enumerate(g.label)):
+            p = math.exp(sum(0 if g.label[i] else unary[g.shape[i], k] for i, k in enumerate(own)) + sum(pairs[kind][own[a], own[b]] for kind in range(2) for a, b in g.edges[kind]))
+            for i, k in enumerate(own):
+                out[i, k] += p
+    return out / out.sum(1, keepdims=True)
+
+
+def test_beliefs_are_marginals_where_no_path_closes():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        tree = [(int(rng.integers(0, i)), i) for i in range(1, 6)]
+        kinds = rng.integers(0, 2, 5)
+        g, unary, pairs = _field(rng, 6, tuple([e for e, k in zip(tree, kinds, strict=True) if k == kind] for kind in range(2)))
+        g.label[int(rng.integers(0, 6))] = int(rng.integers(1, pii.LABELS))
+        assert np.abs(pii.infer(g, unary, pairs) - _marginals(g, unary, pairs)).max() < 1e-3
+
+
+def test_loopy_beliefs_are_those_of_a_plain_loop():
+    for seed in range(8):
+        rng = np.random.default_rng(100 + seed)
+        g, unary, pairs = _field(rng, 6, ([(i, i + 1) for i in range(5)], [(0, 3), (1, 4), (3, 5)]))
+        pairs *= 0.4
+        own = np.exp(unary[g.shape])
+        sent = {(a, b, kind): np.ones(pii.LABELS) for kind in range(2) for x, y in g.edges[kind] for a, b in ((x, y), (y, x))}
+        for _ in range(300):
+            new = {}
+            for a, b, kind in sent:
+                psi = np.exp(pairs[kind] if (a, b) in g.edges[kind] else pairs[kind].T)
+                into = own[a] * np.prod([m for (c, d, _), m in sent.items() if d == a and c != b], axis=0) if any(d == a and c != b for c, d, _ in sent) else own[a]
+                new[a, b, kind] = (into @ psi) / (into @ psi).sum()
+            sent = new
+        want = np.array([own[i] * np.prod([m for (_, d, _), m in sent.items() if d == i], axis=0) for i in range(6)])
+        assert np.abs(pii.infer(g, unary, pairs) - want / want.sum(1, keepdims=True)).max() < 1e-2
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000 + "x", "a" * 200_000 + " @ b", "1." * 100_000, "+1" + "." * 200_000, "1 " * 100_000):
         pii.find(pa.array([text]), np.zeros((pii.SHAPES, pii.LABELS)), np.zeros((2, pii.LABELS, pii.LABELS)))
@@ -743,6 +792,26 @@ def test_quality(spark):
     assert {r.doc_id: pytest.approx(r.score) for r in quality.quality(shuffled, labels).collect()} == {i: r.score for i, r in rows.items()}
 
 
+def test_fit_is_ridge_and_pooling(spark, docs, sf):
+    """The model against normal equations in one place and pooling of adjacent violators by repeated passes."""
+    rows = docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("text", F.col("quality").alias("y")).collect()
+    x = np.concatenate([quality.statistics(pa.array([r.text])) for r in rows])
+    y = np.array([r.y for r in rows], float)
+    model = quality.fit(spark.createDataFrame([(row.tolist(), int(v)) for row, v in zip(x, y, strict=True)], "x array<double>, y int").repartition(3))
+    deviation = x.std(0)
+    z = quality.random_features(np.clip((x - x.mean(0)) / np.where(deviation > 1e-9, deviation, 1), -8, 8))
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(y) * np.eye(z.shape[1]) / z.shape[1], z.T @ y)
+    raw = z @ weights
+    assert np.abs(model.raw(x) - raw).max() < 1e-4
+    at = quality.bins(model.raw(x))
+    groups = [[b, [b], y[at == b].tolist()] for b in np.unique(at)]
+    falls = lambda: next((i for i in range(len(groups) - 1) if np.mean(groups[i][2]) >= np.mean(groups[i + 1][2])), None)
+    while (i := falls()) is not None:
+        groups[i : i + 2] = [[groups[i][0], groups[i][1] + groups[i + 1][1], groups[i][2] + groups[i + 1][2]]]
+    level = {b: np.mean(v) for _, own, v in groups for b in own}
+    assert model.score(x) == pytest.approx([level[b] for b in at])
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (6, None, None), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality.quality(odd(spark, ODD), labels).collect()

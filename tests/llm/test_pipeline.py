@@ -64,6 +64,31 @@ def test_the_keep_set_of_near_duplicates_is_that_of_all_pairs(spark, sf):
     assert kept == {d for d, g in group.items() if d == g} and len(kept) < len(group)
 
 
+def test_each_stage_keeps_what_its_operator_says(spark, sf):
+    """Keep sets and texts of the stages on one table, worked out row by row from the operators' own results."""
+    import re
+
+    from textloom.llm import quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    good = {r.doc_id for r in quality.quality(docs, labels).collect() if r.score >= 0.3}
+    assert ids(corpus_pipeline.quality_stage(spark, docs, sf)) == sorted(good)
+    flat = lambda t: " ".join((t or "").split()).lower()
+    held = {r.doc_id for r in docs.collect() if any(flat(b.text) in flat(r.text) for b in items.collect())}
+    assert ids(corpus_pipeline.decontamination_stage(spark, docs, sf)) == sorted({r.doc_id for r in docs.collect()} - held)
+    spans = {r.id: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.personal_data(docs).collect()}
+    out = {r.doc_id: r.text for r in corpus_pipeline.personal_data_stage(spark, docs, sf).collect()}
+    for r in docs.collect():
+        kept, far = [], 0
+        for a, b, _ in sorted(spans[r.doc_id]):
+            kept.append((r.text or "")[far:a]) if a >= far else None
+            far = max(far, b)
+        left = re.split(r"\[(?:EMAIL|IP|CARD|PHONE)\]", out[r.doc_id] or "") if spans[r.doc_id] else [out[r.doc_id] or ""]
+        assert "".join(left) == "".join([*kept, (r.text or "")[far:]])
+
+
 def test_an_empty_table_goes_through(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
