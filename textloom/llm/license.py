@@ -4,9 +4,9 @@ A text's blocks are its runs of consecutive words, SPREAD times as long as the t
 A template matches where at least `threshold` of its distinct words stand in one block.
 
 Template words are put in one global order, rarest in the corpus first (they are counted in all texts). An inverted
-index lists every template under its words, with their places in that order. Only texts that hold a word of some
-prefix, the first |T| - need + 1 words of a template, send their vocabulary words to the index. A text and a template
-go on when their first shared word lies in the prefix, so that enough words may follow it (prefix and positional
+index lists every template under its words, with their places in that order. One pass finds which template words each
+text holds; only texts that hold a word of some prefix, the first |T| - need + 1 words of a template, send them to the
+index. A text and a template go on when their first shared word lies in the prefix, so that enough words may follow it (prefix and positional
 filter), and when they share `need` words at all (length filter); then the words inside the blocks are counted exactly.
 
 Apart from that, fixed phrases are located word by word.
@@ -42,8 +42,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.9  # share of the words of a template
 SPREAD = 1.5  # length of a block in words, times that of the template
+KEYS = 1_000_000  # texts whose keys, of 16 bytes each, are sent to every task
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def lower(col: Column) -> Column:
@@ -51,6 +51,11 @@ def lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_keys() -> list[Column]:
+    """Two hashes that name a row (id, body); equal rows share a result."""
+    return [F.xxhash64("id", "body").alias("k1"), F.xxhash64("body", "id", F.lit("second")).alias("k2")]
+
+
 def word_list(col: Column) -> Column:
     return F.filter(F.split(lower(col), GAP), lambda w: w != "")
 
@@ -63,9 +68,9 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), hit)).otherwise(F.array().cast("array<int>"))
 
 
-def word_counts(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
+def word_counts(scanned: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many texts each of the given words stands."""
-    own = docs.select(F.explode(F.array_intersect(F.split(lower(F.col(text)), GAP), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    own = scanned.select(F.explode("vocabulary").alias("word"))
     return dict.fromkeys(vocabulary, 0) | {r[0]: r[1] for r in own.groupBy("word").count().collect()}
 
 
@@ -86,23 +91,28 @@ def template_index(counts: dict[str, int], templates: dict[str, str], threshold:
     return out
 
 
-def matches(docs: DataFrame, key: list[Column], body: Column, templates: dict[str, str], threshold: float) -> DataFrame:
-    """Rows (k1, k2, label, part) of the texts, named by two key columns, and the templates that one of their blocks holds."""
+def matches(docs: DataFrame, scanned: DataFrame, templates: dict[str, str], vocabulary: list[str], threshold: float) -> DataFrame:
+    """Rows (k1, k2, label, part) of the texts, named by two key columns, and the templates that one of their blocks holds.
+
+    scanned (k1, k2, vocabulary) has the template words of each text. Texts are read again only where the filters leave
+    them: their keys go to all tasks up to KEYS, beyond that only the places of their words are shuffled.
+    """
     spark = docs.sparkSession
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    index = template_index(word_counts(docs.select(body.alias("body")), "body", vocabulary), templates, threshold)
+    index = template_index(word_counts(scanned, vocabulary), templates, threshold)
     schema = "word string, label string, place int, of int, need int, prefix int"
     inverted = spark.createDataFrame([(w, t["label"], i, len(t["words"]), t["need"], t["prefix"]) for t in index for i, w in enumerate(t["words"])], schema)
     listed = spark.createDataFrame([(t["label"], t["words"], t["block"]) for t in index], "label string, words array<string>, block int")
-    lead = sorted({w for t in index for w in t["words"][: t["prefix"]]})
-    hint = "(?i)(?<!{0})(?:{1})(?!{0})".format(WORD, "|".join(w.replace(".", r"\.") for w in lead)) if lead else r"(?!)"
-    placed = F.transform(word_list(body), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    hits = docs.where(body.rlike(hint)).select(key[0].alias("k1"), key[1].alias("k2"), F.filter(placed, lambda x: x["word"].isin(vocabulary)).alias("hits"))
-    hits = written(hits.dropDuplicates(["k1", "k2"]), "hits")
-    met = hits.select("k1", "k2", F.explode(F.array_distinct("hits.word")).alias("word")).join(F.broadcast(inverted), "word")
+    lead = [w for t in index for w in t["words"][: t["prefix"]]]
+    some = scanned.where(F.arrays_overlap("vocabulary", F.array(*map(F.lit, sorted(set(lead)))))) if lead else scanned.where("false")
+    met = some.select("k1", "k2", F.explode("vocabulary").alias("word")).distinct().join(F.broadcast(inverted), "word")
     met = met.groupBy("k1", "k2", "label").agg(F.count(F.lit(1)).alias("shared"), F.min("place").alias("first"), F.first("of").alias("of"), F.first("need").alias("need"), F.first("prefix").alias("prefix"))
-    met = met.where("first < prefix AND shared >= need").join(F.broadcast(listed), "label").join(hits, ["k1", "k2"])
-    own = met.withColumn("hits", F.filter("hits", lambda x: F.array_contains("words", x["word"])))
+    met = written(met.where("first < prefix AND shared >= need").select("k1", "k2", "label", "of", "need"), "candidates")
+    keys = written(met.select("k1", "k2").distinct(), "keys")
+    placed = lambda rows: rows.withColumn("hits", F.filter(F.transform(word_list(F.col("body")), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(vocabulary)))
+    named = docs.select(*row_keys(), "body")
+    hits = placed(named.join(F.broadcast(keys), ["k1", "k2"])) if keys.count() <= KEYS else placed(named.where("body <> ''")).drop("body").join(keys, ["k1", "k2"])
+    hits = hits.groupBy("k1", "k2").agg(F.first("hits").alias("hits"))
+    own = met.join(F.broadcast(listed), "label").join(hits, ["k1", "k2"]).withColumn("hits", F.filter("hits", lambda x: F.array_contains("words", x["word"])))
     # A block holds no more hits than words, so the hits of the block that starts with one lie among the next `block`.
     inside = lambda i: F.filter(F.slice("hits", i + 1, F.col("block")), lambda x: x["at"] < F.get("hits", i)["at"] + F.col("block"))
     most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: F.size(F.array_distinct(F.transform(inside(i), lambda x: x["word"])))))
@@ -121,13 +131,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     """
     templates = TEMPLATES if templates is None else templates
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    body, key = F.col("body"), [F.xxhash64("id", "body"), F.xxhash64("body", "id", F.lit("second"))]
-    found = matches(docs, key, body, templates, threshold).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("part").alias("part"))
-    words = F.when(body.rlike("(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)), word_list(body))
-    rows = docs.select("id", key[0].alias("k1"), key[1].alias("k2"), F.size(word_list(body)).cast("long").alias("n_words"), words.alias("words"))
+    vocabulary = sorted({w for t in templates.values() for w in t.split()})
+    body, split = F.col("body"), F.col("split")
+    # One pass over all texts: what of it is needed later is written, a row of a few numbers and words for each text.
+    cut = docs.select("id", *row_keys(), "body", F.split(lower(body), GAP).alias("split"))
+    empty = F.when(F.get(split, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(split) > 1) & (F.element_at(split, -1) == ""), 1).otherwise(0)
+    words = F.when(body.rlike("(?i)" + "|".join(GAP.join(p.split()) for p in PHRASES)), F.filter(split, lambda w: w != ""))
+    held = F.array_intersect(split, F.array(*map(F.lit, vocabulary))) if vocabulary else F.array().cast("array<string>")
+    rows = cut.select("id", "k1", "k2", (F.size(split) - empty).cast("long").alias("n_words"), words.alias("words"), held.alias("vocabulary"))
     at = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
     starts = F.concat(*[F.transform(places(F.col("words"), p), at(label)) for p, label in PHRASES.items()])
-    rows = rows.select("id", "k1", "k2", "n_words", F.coalesce(starts, F.array().cast("array<struct<at:int,label:string>>")).alias("starts"))
+    none = F.array().cast("array<struct<at:int,label:string>>")
+    rows = written(rows.select("id", "k1", "k2", "n_words", "vocabulary", F.when(F.col("words").isNotNull(), starts).otherwise(none).alias("starts")), "scanned")
+    found = matches(docs, rows.select("k1", "k2", "vocabulary"), templates, vocabulary, threshold).groupBy("k1", "k2").agg(F.collect_set("label").alias("more"), F.max("part").alias("part"))
     rows = rows.join(found, ["k1", "k2"], "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return rows.select(
