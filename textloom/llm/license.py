@@ -101,7 +101,7 @@ def matches(docs: DataFrame, scanned: DataFrame, templates: dict[str, str], voca
     index = template_index(word_counts(scanned, vocabulary), templates, threshold)
     schema = "word string, label string, place int, of int, need int, prefix int"
     inverted = spark.createDataFrame([(w, t["label"], i, len(t["words"]), t["need"], t["prefix"]) for t in index for i, w in enumerate(t["words"])], schema)
-    listed = spark.createDataFrame([(t["label"], t["words"], t["block"]) for t in index], "label string, words array<string>, block int")
+    listed = spark.createDataFrame([(t["label"], t["words"], t["words"][: t["prefix"]], t["block"]) for t in index], "label string, words array<string>, lead array<string>, block int")
     lead = [w for t in index for w in t["words"][: t["prefix"]]]
     some = scanned.where(F.arrays_overlap("vocabulary", F.array(*map(F.lit, sorted(set(lead)))))) if lead else scanned.where("false")
     met = some.select("k1", "k2", F.explode("vocabulary").alias("word")).distinct().join(F.broadcast(inverted), "word")
@@ -113,10 +113,14 @@ def matches(docs: DataFrame, scanned: DataFrame, templates: dict[str, str], voca
     hits = placed(named.join(F.broadcast(keys), ["k1", "k2"])) if keys.count() <= KEYS else placed(named.where("body <> ''")).drop("body").join(keys, ["k1", "k2"])
     hits = hits.groupBy("k1", "k2").agg(F.first("hits").alias("hits"))
     own = met.join(F.broadcast(listed), "label").join(hits, ["k1", "k2"]).withColumn("hits", F.filter("hits", lambda x: F.array_contains("words", x["word"])))
+    # A block that matches holds a word of the prefix, so only places near one are looked at.
+    rare = F.transform(F.filter("hits", lambda x: F.array_contains("lead", x["word"])), lambda x: x["at"])
+    own = own.withColumn("rare", rare).withColumn("hits", F.filter("hits", lambda x: F.exists("rare", lambda p: F.abs(p - x["at"]) < F.col("block"))))
     # A block holds no more hits than words, so the hits of the block that starts with one lie among the next `block`.
     inside = lambda i: F.filter(F.slice("hits", i + 1, F.col("block")), lambda x: x["at"] < F.get("hits", i)["at"] + F.col("block"))
     most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: F.size(F.array_distinct(F.transform(inside(i), lambda x: x["word"])))))
-    return own.select("k1", "k2", "label", "of", "need", most.alias("most")).where("most >= need").select("k1", "k2", "label", (F.col("most") / F.col("of")).alias("part"))
+    counted = written(own.where("size(hits) >= need").select("k1", "k2", "label", "of", "need", most.alias("most")), "counted")
+    return counted.where("most >= need").select("k1", "k2", "label", (F.col("most") / F.col("of")).alias("part"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
