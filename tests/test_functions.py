@@ -175,8 +175,10 @@ def test_document_entry():
 
 def test_html():
     page = "<html><head><title>x</title></head><body><p>One<br><br>Two &amp; three<script>no</script></p><ul><li>Four</li></ul>tail</body></html>"
-    assert [t for _, t in html.read_blocks(page)] == ["One", "Two & three", "Four", "tail"]
-    assert html.read_blocks("<p>" + "x" * (html.MOST_BLOCK + 1) + "</p><p>y</p>") == [("p", "y")]
+    assert [t for _, t in html.read_blocks(page)[0]] == ["One", "Two & three", "Four", "tail"]
+    long = "<p>" + "x" * 70_000 + "</p><p>y</p>"
+    assert [len(t) for _, t in html.read_blocks(long)[0]] == [70_000, 1] and not html.read_blocks(long)[1]
+    assert html.read_blocks(long, most_block=65_536) == ([("p", "y")], True) and html.read_blocks(long, most_text=70_000)[1]
 
 
 def test_fragments():
@@ -215,3 +217,9 @@ def test_sentences_keep_abbreviations_and_initials(spark):
 def test_closure_reaches_the_end_of_long_paths(spark):
     path = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(150)], "id string, parent string")
     assert trees.closure(path).agg(F.max("distance")).first()[0] == 149
+
+
+def test_supreme_court_stands_for_itself(spark):
+    rows = spark.createDataFrame([(1, 2001, 2002, "ONCA", "SCC"), (2, 2001, 2002, "scc", "CSC"), (3, 2001, 2004, "SCC", "SCC"), (4, 2001, 2000, None, "ONCA")], "k int, base_year int, year int, a string, b string")
+    assert sorted(r.k for r in resolve.plausible(rows).collect()) == [1, 2, 4]
+    assert sorted(r.k for r in resolve.plausible(rows, base_court="a", court="b").collect()) == [2, 4]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 
@@ -11,7 +12,6 @@ from .vectorised import vectorised
 # Elements without readable text, and elements that begin and end a block.
 SILENT = frozenset("script style iframe object svg math form template noscript head".split())
 BLOCKS = frozenset("address article aside blockquote dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-MOST_BLOCK, MOST_TEXT = 65_536, 4_000_000
 SCHEMA = "array<struct<tag: string, text: string>>"
 
 
@@ -25,7 +25,7 @@ class Reader(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.parts).split())
         self.parts, self.breaks = [], 0
-        if text and len(text) <= MOST_BLOCK:  # a longer block is left out whole
+        if text:
             self.blocks.append((self.open[-1], text))
 
     def handle_starttag(self, tag, attrs):
@@ -57,25 +57,24 @@ class Reader(HTMLParser):
                 self.breaks = 0
 
 
-def read_blocks(html: str) -> list[tuple[str, str]]:
+def read_blocks(html: str, most_block: int | None = None, most_text: int | None = None) -> tuple[list[tuple[str, str]], bool]:
+    """Blocks (tag, text) of a page, and whether a budget left any out: blocks longer than most_block, or what comes
+    when most_text characters are reached. Without budgets the page is read whole."""
     reader = Reader()
     reader.feed(html)
     reader.close()
     reader.flush()
-    total, out = 0, []
-    for tag, text in reader.blocks:
-        total += len(text)
-        if total > MOST_TEXT:
-            break
-        out.append((tag, text))
-    return out
+    fit = [b for b in reader.blocks if most_block is None or len(b[1]) <= most_block]
+    ends = accumulate(len(text) for _, text in fit)
+    out = [b for b, end in zip(fit, ends, strict=True) if most_text is None or end <= most_text]
+    return out, len(out) < len(reader.blocks)
 
 
 @vectorised(SCHEMA)
 def html_blocks(s: pd.Series) -> pd.Series:
-    return s.map(lambda h: [{"tag": t, "text": x} for t, x in read_blocks(h)] if h else [])
+    return s.map(lambda h: [{"tag": t, "text": x} for t, x in read_blocks(h)[0]] if h else [])
 
 
 @vectorised("string")
 def html_text(s: pd.Series) -> pd.Series:
-    return s.map(lambda h: "\n".join(x for _, x in read_blocks(h)) if h else "")
+    return s.map(lambda h: "\n".join(x for _, x in read_blocks(h)[0]) if h else "")

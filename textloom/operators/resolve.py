@@ -85,8 +85,14 @@ def merged_maps(ours: Column, theirs: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
 
 
-def plausible(rows: DataFrame, base_year: str = "base_year", year: str = "year") -> DataFrame:
-    return rows.where(F.abs(F.col(base_year) - F.col(year)) <= 1)
+def plausible(rows: DataFrame, base_year: str = "base_year", year: str = "year", base_court: str | None = None, court: str | None = None) -> DataFrame:
+    """Rows whose target can be meant: its year is at most one off, and, where courts are given, a decision of the
+    Supreme Court (SCC, CSC) only stands for one of that court."""
+    near = rows.where(F.abs(F.col(base_year) - F.col(year)) <= 1)
+    if base_court is None or court is None:
+        return near
+    supreme = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).isin("scc", "csc")
+    return near.where(supreme(base_court) == supreme(court))
 
 
 def labelled(rows: DataFrame, *keys: str, label: str = "label", year: str = "year") -> DataFrame:

@@ -194,7 +194,7 @@ def snippet(text: Column, at: Column, width: int = 600) -> Column:
     start = F.greatest(F.lit(0), at - width // 3)
     body = F.substring(text, start + 1, F.lit(width))
     body = F.when(start > 0, F.regexp_replace(body, r"^\S*\s+", "")).otherwise(body)
-    return F.when(F.length(text) > start + width, F.regexp_replace(body, r"\s+\S*$", "")).otherwise(body)
+    return F.when(F.length(text) > start + width, F.regexp_replace(body, r"\s+\S*\z", "")).otherwise(body)
 
 
 def places(rows: DataFrame, *order: Column, to: str = "place") -> DataFrame:

@@ -56,7 +56,7 @@ def marked_words(spark, t):
     return search.marked_hits(hits, "doc_id", LOUD)
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN length(text) > s + 600 THEN regexp_replace(body, '\s+\S*\z', '') ELSE body END AS snippet FROM (SELECT doc_id, text, s, CASE WHEN s > 0 THEN regexp_replace(substr(text, s + 1, 600), '^\S*\s+', '') ELSE substr(text, s + 1, 600) END AS body FROM (SELECT doc_id, text, greatest(0, strpos(text, 'icense') - 201) AS s FROM documents WHERE strpos(text, 'icense') > 0))")
 def snippets(spark, t):
     at = F.instr("text", "icense")
     return t("documents").where(at > 0).select("doc_id", search.snippet(F.col("text"), at - 1).alias("snippet"))

@@ -337,7 +337,12 @@ def character_windows(spark, t):
     return rows.select("doc_id", "n", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+o AS (SELECT doc_id, n, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS s, NOT regexp_matches(line, '\S') AS blank, regexp_matches(line, '^\s*(?:\[\d+\]|\d+[.)](?:\s|$))') AS item, regexp_extract(line, '^\s*(\d+(?:\.\d+)*)\.(\d+)[.)]?(?:\s|$)', 1) AS under, try_cast(regexp_extract(line, '^\s*(\d+(?:\.\d+)*)\.(\d+)[.)]?(?:\s|$)', 2) AS HUGEINT) AS number FROM l),
+c AS (SELECT doc_id, n, lag(number) OVER w + 1 = number OR lead(number) OVER w = number + 1 AS section FROM o WHERE under <> '' AND NOT item WINDOW w AS (PARTITION BY doc_id, under ORDER BY n)),
+b AS (SELECT o.*, NOT blank AND (item OR coalesce(section, false) OR coalesce(lag(blank) OVER (PARTITION BY o.doc_id ORDER BY o.n), true)) AS opens FROM o LEFT JOIN c USING (doc_id, n)),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY n) AS p FROM b)
+SELECT doc_id, count(*)::BIGINT AS paragraphs, sum(chars)::BIGINT AS chars FROM (SELECT doc_id, p, max(s + length(line)) - min(s) AS chars FROM g WHERE NOT blank GROUP BY doc_id, p) GROUP BY doc_id""")
 def paragraph_spans(spark, t):
     rows = t("documents").select("doc_id", F.explode(passages.paragraphs("text")).alias("p"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.col("p.end") - F.col("p.start")).alias("chars"))

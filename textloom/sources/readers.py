@@ -179,7 +179,7 @@ def read_mail(data: bytes, depth: int = 0) -> list[dict]:
     if body is not None:
         text = body.get_content()
         if body.get_content_type() == "text/html":
-            text = "\n\n".join(x for _, x in read_blocks(text))
+            text = "\n\n".join(x for _, x in read_blocks(text)[0])
         out += [{"part": "body", "locator": str(i), "text": p.strip()} for i, p in enumerate(re.split(r"\n\s*\n", text)) if p.strip()]
     for part in message.iter_attachments():
         name = part.get_filename() or ""
@@ -227,7 +227,7 @@ def read_any(name: str, data: bytes) -> list[dict]:
         return read_pdf(data)
     text = data.decode("utf-8-sig", errors="replace")
     if kind in ("html", "htm"):
-        return [{"part": t, "locator": str(i), "text": x} for i, (t, x) in enumerate(read_blocks(text))]
+        return [{"part": t, "locator": str(i), "text": x} for i, (t, x) in enumerate(read_blocks(text)[0])]
     return [{"part": "body", "locator": str(i), "text": p.strip()} for i, p in enumerate(re.split(r"\n\s*\n", text)) if p.strip()]
 
 
