@@ -97,8 +97,6 @@ def test_runs_and_chains():
                     run.append(j)
             best = run if v <= 3 and len(run) > len(best) else best
         assert passages.longest_run(values) == (best if len(best) > 2 else [])
-    assert passages.provision_chain([(0, "1"), (1, "a"), (1, "b"), (0, "2"), (2, "i")]) == [["1"], ["1", "a"], ["1", "b"], ["2"], ["2", "i"]]
-    assert passages.reflow([(0, 10, "a"), (12, 10, "b"), (50, 10, "c")]) == ["a b", "c"]
 
 
 def test_boolean_grammar(spark):
@@ -223,3 +221,11 @@ def test_supreme_court_stands_for_itself(spark):
     rows = spark.createDataFrame([(1, 2001, 2002, "ONCA", "SCC"), (2, 2001, 2002, "scc", "CSC"), (3, 2001, 2004, "SCC", "SCC"), (4, 2001, 2000, None, "ONCA")], "k int, base_year int, year int, a string, b string")
     assert sorted(r.k for r in resolve.plausible(rows).collect()) == [1, 2, 4]
     assert sorted(r.k for r in resolve.plausible(rows, base_court="a", court="b").collect()) == [2, 4]
+
+
+def test_provision_chains_and_reflow(spark):
+    marks = spark.createDataFrame([(i, r, x) for i, (r, x) in enumerate([(0, "1"), (1, "a"), (1, "b"), (0, "2"), (2, "i"), (1, "c"), (2, "ii")])], "n int, rank int, label string").withColumn("doc", F.lit(1))
+    got = [r.chain for r in passages.provision_chains(marks, "doc", order="n").orderBy("n").collect()]
+    assert got == [["1"], ["1", "a"], ["1", "b"], ["2"], ["2", "i"], ["2", "c"], ["2", "c", "ii"]]
+    lines = spark.createDataFrame([(1, 0.0, 10.0, "a"), (1, 12.0, 10.0, "b"), (1, 50.0, 10.0, "c")], "doc int, y double, height double, text string")
+    assert sorted((r.paragraph, r.text) for r in passages.reflowed(lines, "doc").collect()) == [(0, "a b"), (1, "c")]

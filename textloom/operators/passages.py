@@ -242,26 +242,21 @@ def sticky(df: DataFrame, flag: Column, *keys: str, order: str, to: str = "quote
     return df.withColumn(to, F.max(flag).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def provision_chain(markers: list[tuple[int, str]]) -> list[list[str]]:
-    """For each (rank, label): the labels it stands under, by the nearest earlier marker of every lower rank."""
-    stack: list[tuple[int, str]] = []
-    out = []
-    for rank, label in markers:
-        while stack and stack[-1][0] >= rank:
-            stack.pop()
-        out.append([x for _, x in stack] + [label])
-        stack.append((rank, label))
-    return out
-
-
-def reflow(rows: list[tuple[float, float, str]], gap: float = 1.7) -> list[str]:
-    """Paragraphs of printed lines (y, height, text): a gap of more than `gap` heights divides."""
-    out: list[str] = []
-    last = None
-    for y, height, text in rows:
-        if last is not None and y - last <= gap * height and out:
-            out[-1] += " " + text
-        else:
-            out.append(text)
-        last = y
-    return out
+def provision_chains(markers: DataFrame, *keys: str, order: str, rank: str = "rank", label: str = "label", ranks: int = 8) -> DataFrame:
+    """markers with `chain`: the labels each one stands under, by the nearest earlier marker of every lower rank, and its
+    own. A marker ends those of its rank and above; ranks go from 0 to ranks - 1."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col(rank) == r, F.struct(F.col(order).alias("at"), F.col(label).alias("label"))), ignorenulls=True).over(before) for r in range(ranks)]
+    rows = markers.withColumn("__last", F.array(*last))
+    # One still stands if no marker of a lower rank came after it.
+    below = lambda x, r: F.forall(F.slice("__last", F.lit(1), r), lambda q: q.isNull() | (q["at"] < x["at"]))
+    standing = F.filter("__last", lambda x, r: x.isNotNull() & (r < F.col(rank)) & below(x, r))
+    return rows.withColumn("chain", F.concat(F.transform(standing, lambda x: x["label"]), F.array(label))).drop("__last")
+
+
+def reflowed(lines: DataFrame, *keys: str, y: str = "y", height: str = "height", text: str = "text", tie: tuple[str, ...] = (), gap: float = 1.7) -> DataFrame:
+    """(keys, paragraph, text) of printed lines (y, height, text): a gap of more than `gap` heights divides."""
+    order = Window.partitionBy(*keys).orderBy(y, *tie)
+    starts = F.coalesce((F.col(y) - F.lag(y).over(order) > gap * F.col(height)).cast("int"), F.lit(0))
+    rows = lines.withColumn("__starts", starts).withColumn("paragraph", F.sum("__starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(y, *tie, F.col(text).alias("__text")))), lambda x: x["__text"]), " ").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dates, fragments, html, locators
 from ..functions import text as tx
@@ -376,3 +377,25 @@ def language_projection(spark, t):
     docs = t("documents")
     fr = docs.select("doc_id", "lang", F.when(F.col("lang") == "fr", F.col("text")).otherwise("").alias("text_fr"), F.lit("").alias("text_en"), F.col("source").alias("dataset"), *[F.lit("").alias(c) for c in ("title", "citation", "url", "date", "title_fr", "citation_fr", "url_fr", "date_fr")])
     return fr.where(readers.accepted("RC1")).select("doc_id", "lang", readers.in_language("fr")[0], "dataset")
+
+
+_AT = "l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT l_orderkey, {_AT} AS pos, (l_partkey % 4)::INT AS rank, l_suppkey::VARCHAR AS label FROM lineitem),
+up AS (SELECT a.l_orderkey, a.pos, string_agg(b.label, '/' ORDER BY b.rank) AS above FROM m a JOIN m b ON b.l_orderkey = a.l_orderkey AND b.pos < a.pos AND b.rank < a.rank AND NOT EXISTS (SELECT 1 FROM m k WHERE k.l_orderkey = a.l_orderkey AND k.pos > b.pos AND k.pos < a.pos AND k.rank <= b.rank) GROUP BY ALL)
+SELECT l_orderkey, pos, CASE WHEN above IS NULL THEN label ELSE above || '/' || label END AS chain FROM m LEFT JOIN up USING (l_orderkey, pos)""")
+def provision_chain(spark, t):
+    pos = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")
+    marks = t("lineitem").select("l_orderkey", pos.alias("pos"), (F.col("l_partkey") % 4).cast("int").alias("rank"), F.col("l_suppkey").cast("string").alias("label")).distinct()
+    found = passages.provision_chains(marks, "l_orderkey", order="pos", ranks=4)
+    return found.select("l_orderkey", "pos", F.array_join("chain", "/").alias("chain"))
+
+
+@query("WITH m AS (SELECT l_orderkey, l_linenumber * 12 + sum(l_suppkey % 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) * 9 AS y, l_returnflag || l_linenumber || '-' || l_partkey AS text FROM lineitem), g AS (SELECT *, sum(far) OVER (PARTITION BY l_orderkey ORDER BY y, text ROWS UNBOUNDED PRECEDING) AS paragraph FROM (SELECT *, coalesce((y - lag(y) OVER (PARTITION BY l_orderkey ORDER BY y, text) > 1.7 * 12)::INT, 0) AS far FROM m)) SELECT l_orderkey, paragraph::BIGINT AS paragraph, string_agg(text, ' ' ORDER BY y, text) AS text FROM g GROUP BY l_orderkey, paragraph")
+def reflowed_lines(spark, t):
+    """Order lines as lines of print, some with more space above them."""
+    down = F.sum(F.col("l_suppkey") % 3).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    text = F.concat("l_returnflag", F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    lines = t("lineitem").select("l_orderkey", (F.col("l_linenumber") * 12 + down * 9).alias("y"), F.lit(12).alias("height"), text.alias("text"))
+    return passages.reflowed(lines, "l_orderkey", tie=("text",))
