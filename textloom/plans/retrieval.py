@@ -331,6 +331,21 @@ def segment_passages(spark, t):
     return rows.select("doc_id", "n", F.col("p.start").alias("start"), F.col("p.end").alias("end"), F.xxhash64("p.text").alias("hash"))
 
 
+_PIECES = r"[^ \t\r\n\x{A0}]+"
+
+
+@query(rf"""WITH RECURSIVE ln AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para) AS n, w, greatest(0, ceil((w - {passages.MOST}) / {passages.CHUNK}.0))::INT AS k FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS para, len(regexp_extract_all(line, '{_PIECES}')) AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE w > 0),
+f(doc_id, n, k, p, size, growing) AS (SELECT doc_id, n, k, k + 1, w - {passages.CHUNK} * k, k = 0 AND w < {passages.LEAST} FROM ln WHERE n = 1
+ UNION ALL SELECT l.doc_id, l.n, l.k, CASE WHEN growing AND l.k = 0 AND size + w <= {passages.MOST} THEN p ELSE p + l.k + 1 END, CASE WHEN growing AND l.k = 0 AND size + w <= {passages.MOST} THEN size + w ELSE w - {passages.CHUNK} * l.k END,
+  l.k = 0 AND CASE WHEN growing AND size + w <= {passages.MOST} THEN size + w ELSE w END < {passages.LEAST} FROM f JOIN ln l ON l.doc_id = f.doc_id AND l.n = f.n + 1),
+s AS (SELECT doc_id, p, max(size) AS size, arg_max(growing, n) AS growing FROM f GROUP BY doc_id, p UNION ALL SELECT doc_id, unnest(generate_series(p - k, p - 1)), {passages.CHUNK}, false FROM f WHERE k > 0),
+e AS (SELECT *, p = max(p) OVER (PARTITION BY doc_id) AND growing AND size < {passages.TAIL} AND lag(size) OVER (PARTITION BY doc_id ORDER BY p) + size <= {passages.MOST} AS joins FROM s)
+SELECT doc_id, (p - 1)::INT AS n, (size + coalesce(lead(CASE WHEN joins THEN size END) OVER (PARTITION BY doc_id ORDER BY p), 0))::INT AS words FROM e QUALIFY NOT coalesce(joins, false)""")
+def passage_sizes(spark, t):
+    rows = t("documents").select("doc_id", F.posexplode(passages.passages("text")).alias("n", "p"))
+    return rows.select("doc_id", "n", F.size(tx.words(F.col("p.text"), _PIECES)).alias("words"))
+
+
 @query()
 def character_windows(spark, t):
     rows = t("documents").select("doc_id", F.posexplode(passages.character_windows("text")).alias("n", "p"))
