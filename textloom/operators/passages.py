@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from itertools import accumulate, pairwise
 
@@ -176,13 +177,17 @@ def ends(units: DataFrame, *keys: str, start: str = "start", total: str = "total
     return units.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(*keys).orderBy(start, *tie)), F.col(total)))
 
 
-def containing(points: DataFrame, ranges: DataFrame, point: str, first: str, *keys: str) -> DataFrame:
-    """Each point with the greatest range start at or before it, by one sorted pass inside the keys and no range join."""
-    left = points.select("*", F.lit(None).cast(ranges.schema[first].dataType).alias("__start"), F.lit(1).alias("__kind"))
-    right = ranges.select(*keys, F.col(first).alias(point), F.col(first).alias("__start"), F.lit(0).alias("__kind"))
+def containing(points: DataFrame, ranges: DataFrame, point: str, first: str, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with the greatest range start at or before it, by one sorted pass inside the keys and no range join.
+    Columns of ranges in `carry` come along; of ranges with one start those of the greatest count."""
+    known = [F.col(c).isNotNull() for c in (first, *keys)]
+    own = ranges.where(functools.reduce(Column.__and__, known))
+    right = own.select(*keys, F.col(first).alias(point), F.struct(first, *carry).alias("__range"), F.lit(0).alias("__kind"))
+    left = points.select("*", F.lit(None).cast(right.schema["__range"].dataType).alias("__range"), F.lit(1).alias("__kind"))
     both = left.unionByName(right, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(point, "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(first, F.last("__start", ignorenulls=True).over(order)).where("__kind = 1").drop("__start", "__kind")
+    order = Window.partitionBy(*keys).orderBy(point, "__kind", "__range").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__range", F.last("__range", ignorenulls=True).over(order)).where("__kind = 1")
+    return both.withColumns({c: F.col(f"__range.{c}") for c in (first, *carry)}).drop("__range", "__kind")
 
 
 def longest_run(values: list[int], step: int = 2, first: int = 3, least: int = 3) -> list[int]:
