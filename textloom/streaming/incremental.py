@@ -131,6 +131,8 @@ def fresh(table: DataFrame, read_at: str, now: Column, recheck: str = "10 minute
 def moved(handles: DataFrame, registry: DataFrame, tab: str = "tab", doc: str = "doc") -> DataFrame:
     """The tab each result handle (tab, doc) points to now: its own where that still shows the document, else any tab
     that does; none where the document is gone."""
-    now = registry.select(F.col(tab).alias("now"), doc)
-    met = handles.join(now, doc)
-    return met.groupBy(tab, doc).agg(F.coalesce(F.max(F.when(F.col("now") == F.col(tab), F.col("now"))), F.min("now")).alias("now"))
+    shown = registry.groupBy(doc).agg(F.min(tab).alias("__least"))
+    own = registry.select(F.col(tab).alias("__tab"), F.col(doc).alias("__doc")).distinct()
+    met = handles.select(tab, doc).distinct().join(shown, doc)
+    met = met.join(own, (F.col(tab) == F.col("__tab")) & (F.col(doc) == F.col("__doc")), "left")
+    return met.select(tab, doc, F.coalesce("__tab", "__least").alias("now"))
