@@ -130,7 +130,7 @@ def sentences(col: Column) -> Column:
 
 def lines(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """keep, para and text: one row for each non-empty line."""
-    return df.select(*keep, F.posexplode_outer(F.split(F.col(text), "\n")).alias("para", "line")).where(F.trim("line") != "")
+    return df.select(*keep, F.posexplode_outer(F.split(F.col(text), "\n")).alias("para", "line")).where(F.col("line").rlike(r"[^\p{Zs}]"))
 
 
 def word_windows(words: Column, size: int = 120, stride: int = 96) -> Column:
