@@ -152,14 +152,17 @@ def impact_topk(spark, t):
 
 
 _STORED: dict[tuple, str] = {}
+FINER = 8  # partitions of postings for one of the scan: a posting takes more memory than its word in a file
 
 
 def stored(spark, t) -> str:
     """The place of the stored index of a session's documents, written at the first call."""
     known = (spark.sparkContext.applicationId, t.place)
     if known not in _STORED:
-        place = folder(spark)
-        index.write(index.build(doc_tokens(t), "doc_id"), place, max(4, spark.sparkContext.defaultParallelism))
+        place, docs = folder(spark), t("documents").select("doc_id", "text")
+        parts = max(4, spark.sparkContext.defaultParallelism, FINER * docs.rdd.getNumPartitions())
+        tokens = tx.with_fold(tx.exploded(docs.repartition(parts, "doc_id"), "doc_id"))
+        index.write(index.build_dealt(tokens, "doc_id"), place, parts)
         _STORED[known] = place
     return _STORED[known]
 

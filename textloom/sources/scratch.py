@@ -34,5 +34,12 @@ def _gone(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet and read again."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by written(), once nothing reads it any more."""
+    _gone(df.sparkSession, df._textloom_path)
